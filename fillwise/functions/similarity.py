@@ -2,6 +2,7 @@
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -44,7 +45,7 @@ def token_set_ratio(a: str | None, b: str | None) -> float:
     return score
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _score(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([token_set_ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.clean import blank_to_null, fill_ratio
-from .supply import CONFIRMED, ORDERED, totals_by, vendor_performance
+from .supply import confirmed, ordered, totals_by, vendor_performance
 
 
 def _described(df: DataFrame) -> list:
@@ -13,10 +13,10 @@ def _described(df: DataFrame) -> list:
 
 def top_risk_products(acks: DataFrame, top_n: int = 10) -> DataFrame:
     """Products with the lowest fill; the backorder is the net one and may be negative."""
-    fill = fill_ratio(CONFIRMED, ORDERED)
+    fill = fill_ratio(confirmed(), ordered())
     return (
         totals_by(acks, "vendor_sku", *_described(acks))
-        .withColumns({"backorder_qty": ORDERED - CONFIRMED, "fill_rate": fill,
+        .withColumns({"backorder_qty": ordered() - confirmed(), "fill_rate": fill,
                       "risk_score": F.greatest(1 - fill, F.lit(0.0))})
         .orderBy(F.desc("risk_score"), F.desc("backorder_qty"), "vendor_sku").limit(top_n)
     )

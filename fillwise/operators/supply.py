@@ -7,12 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.clean import blank_to_null, fill_ratio
 from .accuracy import mape, wmape
 
-ORDERED, CONFIRMED = F.col("ordered_qty"), F.col("confirmed_qty")
 
+def ordered() -> Column:
+    return F.col("ordered_qty")
 
-def line_short(ordered: Column = ORDERED, confirmed: Column = CONFIRMED) -> Column:
+
+def confirmed() -> Column:
+    return F.col("confirmed_qty")
+
+
+def line_short() -> Column:
     """What a line is short of, never negative."""
-    return F.greatest(F.coalesce(ordered, F.lit(0.0)) - F.coalesce(confirmed, F.lit(0.0)), F.lit(0.0))
+    return F.greatest(F.coalesce(ordered(), F.lit(0.0)) - F.coalesce(confirmed(), F.lit(0.0)), F.lit(0.0))
 
 
 def totals_by(acks: DataFrame, key: str, *more: Column) -> DataFrame:
@@ -27,14 +33,14 @@ def vendor_fill_pct(acks: DataFrame) -> DataFrame:
     """Fill percentage and number of lines per vendor, best first."""
     return (
         totals_by(acks, "vendor", F.count("*").alias("orders"))
-        .select("vendor", (fill_ratio(CONFIRMED, ORDERED) * 100).alias("fill_rate"), "orders")
+        .select("vendor", (fill_ratio(confirmed(), ordered()) * 100).alias("fill_rate"), "orders")
         .orderBy(F.desc("fill_rate"), "vendor")
     )
 
 
 def vendor_performance(acks: DataFrame) -> DataFrame:
     """Fill per vendor, best first; the score is the fill rate (see `risk.vendor_reliability` for a composite)."""
-    fill = fill_ratio(CONFIRMED, ORDERED)
+    fill = fill_ratio(confirmed(), ordered())
     return (
         totals_by(acks, "vendor")
         .select("vendor", "ordered_qty", "confirmed_qty", fill.alias("fill_rate"),
@@ -45,7 +51,7 @@ def vendor_performance(acks: DataFrame) -> DataFrame:
 
 def fill_rate_histogram(acks: DataFrame, width: int = 5) -> DataFrame:
     """Number of products per fill-rate class; fills of 100 and more share the last class."""
-    pct = fill_ratio(CONFIRMED, ORDERED) * 100
+    pct = fill_ratio(confirmed(), ordered()) * 100
     low = F.least(F.floor(pct / width) * width, F.lit(100)).cast("int")
     return (
         totals_by(acks, "vendor_sku").groupBy(low.alias("bin_start")).agg(F.count("*").alias("products"))
@@ -64,7 +70,7 @@ def customer_behavior(acks: DataFrame) -> DataFrame:
 
 def short_sku_count(acks: DataFrame) -> DataFrame:
     """Number of SKUs whose total confirmed quantity stays below the ordered one."""
-    return totals_by(acks, "vendor_sku").agg(F.count_if(ORDERED > CONFIRMED).alias("short_skus"))
+    return totals_by(acks, "vendor_sku").agg(F.count_if(ordered() > confirmed()).alias("short_skus"))
 
 
 def po_summary(acks: DataFrame) -> DataFrame:
@@ -97,14 +103,14 @@ def report_summary(forecasts: DataFrame, acks: DataFrame) -> DataFrame:
 def dashboard_kpis(forecasts: DataFrame, acks: DataFrame, low_fill: float = 0.8) -> DataFrame:
     """The headline numbers as one row. `mape` and `wmape` are errors: lower is better."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    vendor_fill = totals_by(acks, "vendor").select(fill_ratio(CONFIRMED, ORDERED).alias("fill"))
+    vendor_fill = totals_by(acks, "vendor").select(fill_ratio(confirmed(), ordered()).alias("fill"))
     return one_row(
         forecasts.agg(zero(F.sum("forecast_qty")).alias("forecast_value")),
         acks.agg(
             zero(F.sum("ordered_qty")).alias("ordered_quantity"),
             zero(F.sum("confirmed_qty")).alias("confirmed_quantity"),
             zero(fill_ratio(F.sum("confirmed_qty"), F.sum("ordered_qty"))).alias("fill_rate"),
-            F.count_if(CONFIRMED > ORDERED).alias("products_over_supplied"),
+            F.count_if(confirmed() > ordered()).alias("products_over_supplied"),
             F.lit(0).alias("high_risk_products")),
         short_sku_count(acks).withColumnRenamed("short_skus", "products_short"),
         vendor_fill.agg(zero(F.avg("fill")).alias("vendor_reliability"),

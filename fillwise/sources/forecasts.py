@@ -38,23 +38,29 @@ LONG_MONTH_COLUMNS, LONG_QTY_COLUMNS = ["forecast month", "month"], ["forecast q
 BROADCAST_FILES = 2000
 
 
-def read_sheet_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file.
-
-    Lines of one file block are read in order by one task, hence the increasing `seq`; blocks of a
-    file are ordered by their offset.
-    """
-    lines = (
-        spark.read.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .load(list(paths))
-    )
-    return lines.select(
+def _text_source(reader, *paths: str) -> DataFrame:
+    reader = reader.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+    return (reader.load(paths[0]) if len(paths) == 1 else reader.load(list(paths))).select(
         F.url_decode("_metadata.file_path").alias("source_file"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("seq"),
-        F.col("value").alias("line"),
-    )
+        F.col("value").alias("line"))
+
+
+def with_place(lines: DataFrame) -> DataFrame:
+    """Adds `seq`: lines of one file block are read in order by one task, hence the increasing number;
+    blocks of a file are ordered by their offset."""
+    return lines.withColumn("seq", F.monotonically_increasing_id())
+
+
+def read_sheet_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file."""
+    return with_place(_text_source(spark.read, *paths))
+
+
+def stream_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same lines as a stream, without `seq`, which only a micro-batch can number."""
+    return _text_source(spark.readStream, path)
 
 
 def snapshot_time(file_name: Column, modified_at: Column) -> Column:
