@@ -27,8 +27,9 @@ def _first_of(year: Column, month: Column) -> Column:
     return F.when(month.between(1, 12) & year.between(1900, 9999), F.make_date(year, month, F.lit(1)))
 
 
-def _part(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+def _number(text: Column) -> Column:
+    """Whole number, or null for anything but digits."""
+    return F.when(text.rlike(r"^\d+$"), text).try_cast("int")
 
 
 def fiscal_month(name: Column, period: Column) -> Column:
@@ -38,7 +39,7 @@ def fiscal_month(name: Column, period: Column) -> Column:
     """
     short = F.substring(F.lower(F.trim(name)), 1, 3)
     number = _lookup({n[:3]: i for i, n in enumerate(MONTH_NAMES, 1)}, short)
-    year = _part(period, r"(?i)\b(\d{4})\s*P\d{1,2}\b", 1)
+    year = F.regexp_extract(period, r"(?i)\b(\d{4})\s*P\d{1,2}\b", 1).try_cast("int")
     return _first_of(year + F.when(number == 1, 1).otherwise(0), number)
 
 
@@ -51,16 +52,39 @@ def month_label(header: Column) -> Column:
     """
     text = F.regexp_replace(squeeze(F.translate(header, "_", " ")),
                             r"^(?:(?:forecast|qty|quantity|month) )+", "")
-    named, short = r"^([a-z]{3,9})\.?[ \-/]+(\d{4})$", r"^([a-z]{3,9})\.?[ \-/]+'?(\d{2})$"
-    iso, month_first = r"^(\d{4})[\-/](\d{1,2})(?:[\-/]\d{1,2}(?:[ t].*)?)?$", r"^(\d{1,2})[\-/](\d{4})$"
-    us, fiscal = r"^(\d{1,2})/\d{1,2}/(\d{4})$", r"^(\d{4}) ?p(\d{1,2})$"
-    period = _part(text, fiscal, 2)
-    return F.coalesce(
-        _first_of(_part(text, named, 2), _name_to_number(F.regexp_extract(text, named, 1))),
-        _first_of(_part(text, short, 2) + 2000, _name_to_number(F.regexp_extract(text, short, 1))),
-        _first_of(_part(text, iso, 1), _part(text, iso, 2)),
-        _first_of(_part(text, month_first, 2), _part(text, month_first, 1)),
-        _first_of(_part(text, us, 2), _part(text, us, 1)),
-        F.when(period.between(1, 12),
-               _first_of(_part(text, fiscal, 1) + F.when(period == 12, 1).otherwise(0), period % 12 + 1)),
+    text = F.regexp_replace(text, r"^(\d{4})p(\d{1,2})$", "$1 p$2")
+    return _bind(_bind(F.split(text, r"[ \-/.]+"), _tokens), _month_of_tokens)
+
+
+def _bind(value: Column, body) -> Column:
+    """`body(value)` with `value` computed once, however often `body` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _tokens(parts: Column) -> Column:
+    first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
+    return F.struct(
+        F.size(parts).alias("n"), _name_to_number(first).alias("name"),
+        _number(first).alias("a"), _number(second).alias("b"), _number(third).alias("c"),
+        F.length(first).alias("len_a"), F.length(second).alias("len_b"), F.length(third).alias("len_c"),
+        F.when(second.startswith("p"), _number(F.substring(second, 2, 2))).alias("period"),
+        third.rlike(r"^\d{1,2}(?:t.*)?$").alias("is_day"))
+
+
+def _month_of_tokens(t: Column) -> Column:
+    a, b, c, name, period = t["a"], t["b"], t["c"], t["name"], t["period"]
+    two = (
+        F.when(name.isNotNull() & (t["len_b"] == 4), F.struct(b.alias("year"), name.alias("month")))
+        .when(name.isNotNull() & (t["len_b"] == 2), F.struct((b + 2000).alias("year"), name.alias("month")))
+        .when((t["len_a"] == 4) & period.between(1, 12),
+              F.struct((a + F.when(period == 12, 1).otherwise(0)).alias("year"), (period % 12 + 1).alias("month")))
+        .when((t["len_a"] == 4) & (t["len_b"] <= 2), F.struct(a.alias("year"), b.alias("month")))
+        .when((t["len_b"] == 4) & (t["len_a"] <= 2), F.struct(b.alias("year"), a.alias("month")))
     )
+    found = (
+        F.when(t["n"] == 2, two)
+        .when((t["n"] == 3) & (t["len_c"] == 4) & (t["len_a"] <= 2) & (t["len_b"] <= 2),
+              F.struct(c.alias("year"), a.alias("month")))
+        .when((t["n"] >= 3) & (t["len_a"] == 4) & (t["len_b"] <= 2) & t["is_day"], F.struct(a.alias("year"), b.alias("month")))
+    )
+    return _bind(found, lambda m: _first_of(m["year"], m["month"]))
