@@ -23,7 +23,7 @@ def scratch(spark, name: str) -> str:
         return f"{shared_folder(spark, 'runs')}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp") + "/data"
+    return tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp")
 
 
 # --- documents -----------------------------------------------------------------
@@ -107,7 +107,7 @@ def _streamed(spark, d):
     root = scratch(spark, "acks")
     _documents(spark, d).select("document").write.text(f"{root}/in")
     for _ in range(2):
-        ingest.ingest_acks(spark, f"{root}/in", f"{root}/table", f"{root}/checkpoint", json_lines=True).awaitTermination()
+        ingest.ingest_acks(spark, f"{root}/in", f"{root}/table", f"{root}/checkpoint", json_lines=True, pattern="*.txt").awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("po_number", "vendor").agg(
         F.count("*").alias("lines"), F.sum("ordered_qty").alias("ordered_qty"), F.sum("confirmed_qty").alias("confirmed_qty"))
 

@@ -28,8 +28,7 @@ def first_number(*columns: Column) -> Column:
 
 def number(column: Column) -> Column:
     """Double, or null for unparsable text and NaN (NaN would poison sums)."""
-    value = column.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.nanvl(column.try_cast("double"), F.lit(None).cast("double"))
 
 
 def quantity(column: Column) -> Column:

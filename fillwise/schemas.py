@@ -40,14 +40,44 @@ INVENTORY = T.StructType(
     + _strings("inventory_source_file", "inventory_description")
 )
 
-# Line items of a nested acknowledgement document. Objects are read as text maps: their keys
-# are case-sensitive, and numbers and numeric text are both accepted.
-_TEXT_MAP = T.MapType(T.StringType(), T.StringType())
-LINE_ITEMS = T.ArrayType(T.StructType(
-    [T.StructField("OrderLine", _TEXT_MAP)]
-    + [T.StructField(n, T.ArrayType(_TEXT_MAP)) for n in
-       ("LineItemAcknowledgement", "ProductOrItemDescription", "PhysicalDetails", "Dates")]
-))
-FLAT_LINES = T.ArrayType(_TEXT_MAP)
-ORDER_HEADER = T.StructType([T.StructField("OrderHeader", _TEXT_MAP)])
-TEXT_MAP = _TEXT_MAP
+# --- acknowledgement documents -------------------------------------------------
+# Every scalar is read as text, so numbers and numeric text are both accepted and identifiers keep their
+# spelling. JSON keys differ by case only in two places ("Header" and "header", "BuyerPartNumber" and
+# "buyerPartNumber"), which column names must not: a document is parsed by `ACK_DOCUMENT` and then cast,
+# by position, to `ACK_DOCUMENT_NAMED`.
+
+_ORDER_HEADER = T.StructType(_strings(
+    "Vendor", "Customer", "PurchaseOrderNumber", "PurchaseOrderDate", "AcknowledgementDate"))
+_SCHEDULES = T.ArrayType(T.StructType(_strings("ItemStatusCode", "ItemScheduleQty", "confirmedQty", "ItemScheduleDate")))
+_FLAT_LINES = T.ArrayType(T.StructType(_strings(
+    "vendor_sku", "vendorSku", "seller_item_id", "buyer_part_number", "buyerPartNumber", "upc", "gtin", "description",
+    "ordered_quantity", "orderedQty", "ordered", "confirmed_quantity", "confirmedQty", "confirmed", "pack_value",
+    "price", "status_code", "status", "delivery_date")))
+
+
+def _line_items(buyer_variant: str) -> T.ArrayType:
+    order_line = T.StructType(_strings(
+        "LineSequenceNumber", "VendorPartNumber", "vendorSku", "seller_item_id", "BuyerPartNumber", buyer_variant,
+        "GTIN", "OrderQty", "orderedQty", "ordered", "PurchasePrice"))
+    return T.ArrayType(T.StructType([
+        T.StructField("OrderLine", order_line),
+        T.StructField("LineItemAcknowledgement", _SCHEDULES),
+        T.StructField("ProductOrItemDescription", T.ArrayType(T.StructType(_strings("ProductDescription")))),
+        T.StructField("PhysicalDetails", T.ArrayType(T.StructType(_strings("PackValue")))),
+        T.StructField("Dates", T.ArrayType(T.StructType(_strings("DateTimeQualifier", "Date")))),
+    ]))
+
+
+def _document(flat_header: str, buyer_variant: str, damaged: str) -> T.StructType:
+    return T.StructType([
+        T.StructField("Header", T.StructType([T.StructField("OrderHeader", _ORDER_HEADER)])),
+        T.StructField("LineItem", _line_items(buyer_variant)),
+        T.StructField("line_items", _line_items(buyer_variant)),
+        T.StructField(flat_header, T.StructType(_strings("vendor", "customer", "po_number", "po_date", "ack_date"))),
+        T.StructField("lines", _FLAT_LINES),
+        *_strings("vendor", "customer", "poNumber", "po", damaged),
+    ])
+
+
+ACK_DOCUMENT = _document("header", "buyerPartNumber", "_corrupt_record")
+ACK_DOCUMENT_NAMED = _document("flat_header", "buyer_part_variant", "damaged")

@@ -3,29 +3,26 @@
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.clean import blank_to_null, day, first_number, first_text, number
-from ..schemas import ACK_LINES, FLAT_LINES, LINE_ITEMS, ORDER_HEADER, TEXT_MAP
+from ..schemas import ACK_DOCUMENT, ACK_DOCUMENT_NAMED, ACK_LINES
 
 
-def read_documents(spark: SparkSession, *paths: str, streaming: bool = False, json_lines: bool = False) -> DataFrame:
+def read_documents(spark: SparkSession, *paths: str, streaming: bool = False, json_lines: bool = False,
+                   pattern: str = "*.json*") -> DataFrame:
     """One row per document: `document` text and `source_file`.
 
     One document per file by default; `json_lines=True` reads one document per line, which lets Spark
     split large files.
     """
     reader = spark.readStream if streaming else spark.read
-    reader = reader.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json*")
+    reader = reader.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if not json_lines:
         reader = reader.option("wholetext", True)
     df = reader.load(paths[0]) if streaming else reader.load(list(paths))
     return df.select(F.col("value").alias("document"), F.url_decode("_metadata.file_path").alias("source_file"))
 
 
-def _get(values: Column, *keys: str) -> Column:
-    return first_text(*[F.try_element_at(values, F.lit(k)) for k in keys])
-
-
-def _get_number(values: Column, *keys: str) -> Column:
-    return first_number(*[F.try_element_at(values, F.lit(k)) for k in keys])
+def _fields(parent: str, *names: str) -> list[Column]:
+    return [F.col(f"{parent}.{n}") for n in names]
 
 
 def _pack(text: Column) -> Column:
@@ -35,113 +32,88 @@ def _pack(text: Column) -> Column:
 
 
 def _dated(dates: Column, qualifier: str) -> Column:
-    hits = F.filter(dates, lambda d: F.try_element_at(d, F.lit("DateTimeQualifier")) == qualifier)
-    return day(F.try_element_at(F.get(hits, F.lit(0)), F.lit("Date")))
-
-
-def _line(**fields: Column) -> Column:
-    names = ("line_no", "vendor_sku", "buyer_part_number", "upc", "description", "ordered_cases",
-             "confirmed_cases", "pack_value", "price", "status_code", "delivery_date",
-             "requested_dt", "estimated_dt")
-    return F.struct(*[fields[n].alias(n) for n in names])
+    return day(F.get(F.filter(dates, lambda d: d["DateTimeQualifier"] == qualifier), F.lit(0))["Date"])
 
 
-def _nested_line(item: Column, position: Column, sum_schedules: bool) -> Column:
-    order = item["OrderLine"]
-    schedules, dates = item["LineItemAcknowledgement"], item["Dates"]
-    first = F.get(schedules, F.lit(0))
-    confirmed = _get_number(first, "ItemScheduleQty", "confirmedQty")
+def _line_fields(sum_schedules: bool) -> dict[str, Column]:
+    """Fields of one exploded line: `nested` is set in the EDI layout, `flat` in the flat one."""
+    schedules = F.col("nested.LineItemAcknowledgement")
+    schedule = F.get(schedules, F.lit(0))
+    confirmed = first_number(schedule["ItemScheduleQty"], schedule["confirmedQty"],
+                             *_fields("flat", "confirmed_quantity", "confirmedQty", "confirmed"))
     if sum_schedules:
-        confirmed = F.coalesce(F.aggregate(
-            schedules, F.lit(0.0), lambda acc, s: acc + _get_number(s, "ItemScheduleQty", "confirmedQty")),
-            F.lit(0.0))
-    return _line(
-        line_no=F.coalesce(_get(order, "LineSequenceNumber").try_cast("int"), position + 1),
-        vendor_sku=blank_to_null(_get(order, "VendorPartNumber", "vendorSku", "seller_item_id")),
-        buyer_part_number=blank_to_null(_get(order, "BuyerPartNumber", "buyerPartNumber")),
-        upc=blank_to_null(_get(order, "GTIN")),
-        description=_get(F.get(item["ProductOrItemDescription"], F.lit(0)), "ProductDescription"),
-        ordered_cases=_get_number(order, "OrderQty", "orderedQty", "ordered"),
-        confirmed_cases=confirmed,
-        pack_value=_pack(_get(F.get(item["PhysicalDetails"], F.lit(0)), "PackValue")),
-        price=number(_get(order, "PurchasePrice")),
-        status_code=_get(first, "ItemStatusCode"),
-        delivery_date=_get(first, "ItemScheduleDate"),
-        requested_dt=_dated(dates, "002"),
-        estimated_dt=_dated(dates, "017"),
-    )
-
-
-def _flat_line(item: Column, position: Column) -> Column:
-    return _line(
-        line_no=position + 1,
-        vendor_sku=blank_to_null(_get(item, "vendor_sku", "vendorSku", "seller_item_id")),
-        buyer_part_number=blank_to_null(_get(item, "buyer_part_number", "buyerPartNumber")),
-        upc=blank_to_null(_get(item, "upc", "gtin")),
-        description=_get(item, "description"),
-        ordered_cases=_get_number(item, "ordered_quantity", "orderedQty", "ordered"),
-        confirmed_cases=_get_number(item, "confirmed_quantity", "confirmedQty", "confirmed"),
-        pack_value=_pack(_get(item, "pack_value")),
-        price=number(_get(item, "price")),
-        status_code=_get(item, "status_code", "status"),
-        delivery_date=_get(item, "delivery_date"),
-        requested_dt=F.lit(None).cast("date"),
-        estimated_dt=F.lit(None).cast("date"),
-    )
+        total = F.aggregate(schedules, F.lit(0.0), lambda acc, s: acc + first_number(s["ItemScheduleQty"], s["confirmedQty"]))
+        confirmed = F.coalesce(F.when(F.size(schedules) > 1, total), confirmed)
+    order, flat = "nested.OrderLine", "flat"
+    return {
+        "line_no": F.coalesce(F.col(f"{order}.LineSequenceNumber").try_cast("int"), F.col("pos") + 1),
+        "vendor_sku": blank_to_null(first_text(*_fields(order, "VendorPartNumber", "vendorSku", "seller_item_id"),
+                                               *_fields(flat, "vendor_sku", "vendorSku", "seller_item_id"))),
+        "buyer_part_number": blank_to_null(first_text(*_fields(order, "BuyerPartNumber", "buyer_part_variant"),
+                                                      *_fields(flat, "buyer_part_number", "buyerPartNumber"))),
+        "upc": blank_to_null(first_text(*_fields(order, "GTIN"), *_fields(flat, "upc", "gtin"))),
+        "description": first_text(F.get("nested.ProductOrItemDescription", F.lit(0))["ProductDescription"],
+                                  F.col("flat.description")),
+        "ordered_cases": first_number(*_fields(order, "OrderQty", "orderedQty", "ordered"),
+                                      *_fields(flat, "ordered_quantity", "orderedQty", "ordered")),
+        "confirmed_cases": confirmed,
+        "pack_value": _pack(F.coalesce(F.get("nested.PhysicalDetails", F.lit(0))["PackValue"], F.col("flat.pack_value"))),
+        "price": number(F.coalesce(F.col(f"{order}.PurchasePrice"), F.col("flat.price"))),
+        "status_code": first_text(schedule["ItemStatusCode"], *_fields(flat, "status_code", "status")),
+        "delivery_date": first_text(schedule["ItemScheduleDate"], F.col("flat.delivery_date")),
+        "requested_dt": _dated(F.col("nested.Dates"), "002"),
+        "estimated_dt": _dated(F.col("nested.Dates"), "017"),
+    }
 
 
 def flatten_documents(documents: DataFrame, sum_schedules: bool = False) -> DataFrame:
-    """Every line of every document, lines without a PO number included (see `split_rejects`).
+    """Every line of every document, lines without a PO number included (see `rejected_lines`).
 
     Both the nested EDI layout and the flat `header` / `lines` layout are understood. Only the first
-    schedule of a line counts unless `sum_schedules`. A document that is no JSON object gives one row
-    without line fields, so that it can be reported.
+    schedule of a line counts unless `sum_schedules`. A document without lines gives one row without a
+    line number, so that it can be reported.
     """
-    top = F.col("top")
     parsed = documents.select(
-        "source_file", F.from_json("document", TEXT_MAP).alias("top")
-    ).select(
-        "source_file", "top",
-        F.from_json(_get(top, "Header"), ORDER_HEADER)["OrderHeader"].alias("head"),
-        F.from_json(_get(top, "header"), TEXT_MAP).alias("flat_head"),
-        F.from_json(F.coalesce(F.nullif(_get(top, "LineItem"), F.lit("[]")), _get(top, "line_items")),
-                    LINE_ITEMS).alias("nested"),
-        F.from_json(_get(top, "lines"), FLAT_LINES).alias("flat"),
-    )
-    lines = F.coalesce(
-        F.transform("nested", lambda x, i: _nested_line(x, i, sum_schedules)),
-        F.transform("flat", _flat_line),
-    )
+        "source_file", F.from_json("document", ACK_DOCUMENT).cast(ACK_DOCUMENT_NAMED).alias("d")
+    ).select("source_file", "d.*")
+    nested = F.coalesce(F.when(F.size("LineItem") > 0, F.col("LineItem")), F.col("line_items"))
+    empty = lambda column: F.array().cast(parsed.schema[column].dataType)
+    items = F.arrays_zip(F.coalesce(nested, empty("LineItem")).alias("nested"),
+                         F.coalesce(F.col("lines"), empty("lines")).alias("flat"))
+    head, flat = "Header.OrderHeader", "flat_header"
     exploded = parsed.select(
-        "source_file",
-        first_text(_get(F.col("head"), "PurchaseOrderNumber"), _get(F.col("flat_head"), "po_number"),
-                   _get(top, "poNumber", "po")).alias("po_number"),
-        first_text(_get(F.col("head"), "Vendor"), _get(F.col("flat_head"), "vendor"), _get(top, "vendor")).alias("vendor"),
-        first_text(_get(F.col("head"), "Customer"), _get(F.col("flat_head"), "customer"),
-                   _get(top, "customer")).alias("customer"),
-        day(first_text(_get(F.col("head"), "PurchaseOrderDate"), _get(F.col("flat_head"), "po_date"))).alias("po_date"),
-        day(first_text(_get(F.col("head"), "AcknowledgementDate"), _get(F.col("flat_head"), "ack_date"))).alias("ack_date"),
-        F.explode_outer(lines).alias("line"),
-    ).select("*", "line.*").drop("line")
-    return exploded.withColumns({
+        "source_file", F.col("damaged").isNull().alias("readable"),
+        first_text(*_fields(head, "PurchaseOrderNumber"), *_fields(flat, "po_number"), F.col("poNumber"), F.col("po")).alias("po_number"),
+        first_text(*_fields(head, "Vendor"), *_fields(flat, "vendor"), F.col("vendor")).alias("vendor"),
+        first_text(*_fields(head, "Customer"), *_fields(flat, "customer"), F.col("customer")).alias("customer"),
+        day(first_text(*_fields(head, "PurchaseOrderDate"), *_fields(flat, "po_date"))).alias("po_date"),
+        day(first_text(*_fields(head, "AcknowledgementDate"), *_fields(flat, "ack_date"))).alias("ack_date"),
+        F.posexplode_outer(items).alias("pos", "item"),
+    )
+    names = exploded.schema["item"].dataType.fieldNames()
+    lines = exploded.withColumns({"nested": F.col("item")[names[0]], "flat": F.col("item")[names[1]]})
+    return lines.withColumns(_line_fields(sum_schedules)).withColumns({
         "ordered_qty": F.col("ordered_cases") * F.col("pack_value"),
         "confirmed_qty": F.col("confirmed_cases") * F.col("pack_value"),
         "delivery_dt": day(F.col("delivery_date")),
-    }).select(ACK_LINES.fieldNames())
+    }).select("readable", *ACK_LINES.fieldNames())
 
 
 def valid_lines(lines: DataFrame) -> DataFrame:
-    """Lines that carry a PO number."""
-    return lines.filter(F.col("po_number").isNotNull() & F.col("ordered_cases").isNotNull())
+    """Lines that carry a PO number.
+
+    One condition over document and line together: a test of the PO number alone would be pushed below
+    the explode, and the documents would be parsed a second time for it.
+    """
+    return lines.filter(F.when(F.col("line_no").isNotNull(), F.col("po_number")).isNotNull()).select(ACK_LINES.fieldNames())
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """What `valid_lines` leaves out, with the reason."""
-    return lines.filter(F.col("po_number").isNull() | F.col("ordered_cases").isNull()).withColumn(
-        "reject_reason",
-        F.when(F.col("ordered_cases").isNull() & F.col("po_number").isNull(), "unreadable document")
-        .when(F.col("ordered_cases").isNull(), "no lines")
-        .otherwise("no po number"))
+    reason = (F.when(~F.col("readable"), "unreadable document").when(F.col("line_no").isNull(), "no lines")
+              .when(F.col("po_number").isNull(), "no po number"))
+    return lines.withColumn("reject_reason", reason).filter(reason.isNotNull()).select(
+        *ACK_LINES.fieldNames(), "reject_reason")
 
 
 def read_ack_lines(spark: SparkSession, *paths: str, json_lines: bool = False, sum_schedules: bool = False) -> DataFrame:

@@ -276,10 +276,9 @@ def read_forecasts(spark: SparkSession, *paths: str) -> DataFrame:
 
 def melt_months(df: DataFrame, id_columns: list[str]) -> DataFrame:
     """Wide to long for a frame with named columns: every column whose name is a month becomes rows."""
-    others = [c for c in df.columns if c not in id_columns]
-    spark = df.sparkSession
-    probe = spark.range(1).select(*[month_label(F.lit(c)).alias(f"m{i}") for i, c in enumerate(others)]).first()
-    months = {c: probe[i] for i, c in enumerate(others) if probe[i] is not None}
+    others = df.sparkSession.createDataFrame([(c,) for c in df.columns if c not in id_columns], "name string")
+    found = others.select("name", month_label(F.col("name")).alias("month")).filter(F.col("month").isNotNull())
+    months = {r["name"]: r["month"] for r in found.collect()}  # column names, not data
     names = F.create_map(*[x for c, m in months.items() for x in (F.lit(c), F.lit(m))])
     typed = df.select(*id_columns, *[F.coalesce(number(F.col(f"`{c}`")), F.lit(0.0)).alias(c) for c in months])
     return typed.unpivot(id_columns, list(months), "month_label", "forecast_qty").select(

@@ -22,16 +22,16 @@ def _append(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
 
 
 def ingest_acks(spark: SparkSession, source: str, table: str, checkpoint: str | None = None,
-                json_lines: bool = False) -> StreamingQuery:
+                json_lines: bool = False, pattern: str = "*.json*") -> StreamingQuery:
     """Append the valid lines of all new documents below `source`."""
-    documents = read_documents(spark, source, streaming=True, json_lines=json_lines)
+    documents = read_documents(spark, source, streaming=True, json_lines=json_lines, pattern=pattern)
     return _append(valid_lines(flatten_documents(documents)), table, checkpoint or shared_folder(spark, "acks"))
 
 
 def ingest_ack_rejects(spark: SparkSession, source: str, table: str, checkpoint: str | None = None,
-                       json_lines: bool = False) -> StreamingQuery:
+                       json_lines: bool = False, pattern: str = "*.json*") -> StreamingQuery:
     """Append what `ingest_acks` leaves out."""
-    documents = read_documents(spark, source, streaming=True, json_lines=json_lines)
+    documents = read_documents(spark, source, streaming=True, json_lines=json_lines, pattern=pattern)
     return _append(rejected_lines(flatten_documents(documents)), table, checkpoint or shared_folder(spark, "ack_rejects"))
 
 
