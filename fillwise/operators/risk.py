@@ -14,7 +14,7 @@ XYZ_LIMITS = (0.5, 1.0)
 RELIABILITY_WEIGHTS = {"fill": 0.7, "on_time": 0.2, "complete": 0.1}
 SAFETY_FACTOR = 1.65
 # Number of value classes the ABC running sum is split into.
-ABC_CLASSES = 256
+ABC_CLASSES = 128
 
 
 def demand_trend(acks: DataFrame) -> DataFrame:
@@ -116,6 +116,16 @@ def repeated_shortage(acks: DataFrame, at_least: int = 3) -> DataFrame:
     )
 
 
+def _place(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds lie below the value, by bisection."""
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value <= F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+    return search(0, len(bounds))
+
+
 def abc_class(acks: DataFrame) -> DataFrame:
     """Pareto class per SKU by ordered value (cases times case price).
 
@@ -133,8 +143,7 @@ def abc_class(acks: DataFrame) -> DataFrame:
     values = skus.groupBy("value").agg(F.sum("value").alias("total"))
     steps = [i / ABC_CLASSES for i in range(1, ABC_CLASSES)]
     bounds = values.agg(F.percentile_approx("value", steps, 10000).alias("bounds")).first()["bounds"] or []
-    limits = F.array(*[F.lit(b) for b in sorted(set(bounds))]).cast("array<decimal(38,4)>")
-    classed = values.withColumn("class", F.size(F.filter(limits, lambda b: b >= F.col("value"))))
+    classed = values.withColumn("class", -_place(F.col("value"), sorted(set(bounds))))  # highest values first
     higher = (
         classed.groupBy("class").agg(F.sum("total").alias("class_total"))
         .withColumn("higher", F.sum("class_total").over(Window.orderBy("class")) - F.col("class_total"))

@@ -28,7 +28,8 @@ def ranked_series(months: DataFrame, key: str, window: int = 3, live: Column | N
 
     A series skips its gaps (quantity 0, fill unknown) and months that are not `live`. The rows are
     partitioned by key once; the flag of each series is a second window key on top of that, so no
-    window shuffles again. Adds `z_score` against the `window` preceding kept months.
+    window shuffles again. Adds `z_score` against the mean and population deviation of the `window`
+    preceding kept months (0 when they are all equal).
     """
     live = F.lit(True) if live is None else live
     df = months.repartition(key).withColumns({
@@ -42,13 +43,15 @@ def ranked_series(months: DataFrame, key: str, window: int = 3, live: Column | N
         series = part.orderBy("month")
         df = df.withColumn(f"rank_{flag}", F.row_number().over(series))
         if flag == "a":
-            before = series.rowsBetween(-window, -1)
-            df = df.withColumns({"window_mean": F.avg("confirmed_qty").over(before),
-                                 "window_std": F.stddev_pop("confirmed_qty").over(before)})
+            df = df.withColumn("before", F.array(*[F.lag("confirmed_qty", i).over(series) for i in range(1, window + 1)]))
         df = df.withColumn(f"end_{flag}", F.count("*").over(part) - F.col(f"rank_{flag}") + 1)
-    z = F.when(F.col("window_std") == 0, F.lit(0.0)).otherwise(
-        (F.col("confirmed_qty") - F.col("window_mean")) / F.col("window_std"))
-    return df.withColumn("z_score", F.when(F.col("in_a") & (F.col("rank_a") > window), z))
+    before = F.col("before")
+    mean = F.aggregate(before, F.lit(0.0), lambda acc, x: acc + x) / window
+    df = df.withColumn("window_mean", mean)
+    spread = F.aggregate(before, F.lit(0.0), lambda acc, x: acc + (x - F.col("window_mean")) * (x - F.col("window_mean")))
+    flat = F.array_max(before) == F.array_min(before)
+    z = F.when(flat, F.lit(0.0)).otherwise((F.col("confirmed_qty") - F.col("window_mean")) / F.sqrt(spread / window))
+    return df.withColumn("z_score", F.when(F.col("in_a") & (F.col("rank_a") > window), z)).drop("before")
 
 
 def spike_pick(z_threshold: float = 3.0, recent_months: int = 6) -> Column:
