@@ -40,7 +40,7 @@ def quantity(column: Column) -> Column:
 def day(column: Column) -> Column:
     """Date from text that starts with yyyy-mm-dd; a bare year is not a date."""
     text = F.trim(column.cast("string"))
-    return F.when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}"), text.try_cast("timestamp").cast("date"))
+    return F.when((F.length(text) >= 8) & (F.substring(text, 5, 1) == "-"), text.try_cast("date"))
 
 
 def month(column: Column) -> Column:

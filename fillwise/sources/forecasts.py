@@ -177,10 +177,13 @@ def sheet_layouts(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
         .withColumn("columns", _named(columns))
         .withColumn("columns", _unique_names(columns))
     )
+    places = {f"{field}_pos": _position(columns, names) for field, names in PRODUCT_COLUMNS.items()}
+    found = found.withColumns(places)
+    is_product = lambda c: F.array_contains(F.array_compact(F.array(*places)), c["pos"])
     return found.select(
-        "source_file", "header_row", "header_seq", "columns",
+        "source_file", "header_row", "header_seq", *places,
         F.filter(columns, lambda c: c["month"].isNotNull()).alias("months"),
-        *[_position(columns, names).alias(f"{field}_pos") for field, names in PRODUCT_COLUMNS.items()],
+        F.filter(columns, lambda c: c["month"].isNull() & ~is_product(c)).alias("others"),
         _position(columns, [TOTALS_LAYOUT_COLUMN]).isNotNull().alias("has_totals"),
         _position(columns, LONG_MONTH_COLUMNS).alias("long_month_pos"),
         _position(columns, LONG_QTY_COLUMNS).alias("long_qty_pos"),
@@ -206,7 +209,8 @@ def parse_sheets(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
     cell = lambda pos: F.get("cells", F.col(pos))
     blank = lambda c: F.when(~c.isin("", "nan", "None"), c)
     rows = rows.withColumns({field: blank(F.trim(cell(f"{field}_pos"))) for field in PRODUCT_COLUMNS})
-    rows = rows.filter(F.col("vendor_sku").isNotNull() | ~F.col("has_totals") | F.col("vendor_sku_pos").isNull())
+    # Total rows get no facts. A filter instead would be pushed below the split and repeat it.
+    is_total = F.col("vendor_sku").isNull() & F.col("has_totals") & F.col("vendor_sku_pos").isNotNull()
 
     wide = F.transform("months", lambda m: F.struct(
         m["pos"].alias("pos"), m["month"].alias("forecast_month"), m["name"].alias("month_label"),
@@ -214,21 +218,19 @@ def parse_sheets(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
     long = F.array(F.struct(
         F.col("long_qty_pos").alias("pos"), month_label(cell("long_month_pos")).alias("forecast_month"),
         cell("long_month_pos").alias("month_label"), cell("long_qty_pos").alias("qty")))
-    facts = F.when(F.size("months") > 0, wide).when(
-        F.col("long_month_pos").isNotNull() & F.col("long_qty_pos").isNotNull(), long)
+    facts = F.when(~is_total & (F.size("months") > 0), wide).when(
+        ~is_total & F.col("long_month_pos").isNotNull() & F.col("long_qty_pos").isNotNull(), long)
 
-    product = [f"{f}_pos" for f in PRODUCT_COLUMNS]
-    others = F.filter("columns", lambda c: c["month"].isNull()
-                      & ~F.coalesce(F.array_contains(F.array(*product), c["pos"]), F.lit(False)))
     attributes = F.map_filter(
-        F.map_from_arrays(F.transform(others, lambda c: c["name"]),
-                          F.transform(others, lambda c: F.get("cells", c["pos"]))),
+        F.map_from_arrays(F.col("others.name"), F.transform("others.pos", lambda pos: F.get("cells", pos))),
         lambda _, v: v.isNotNull() & (v != ""))
+    file_name = F.element_at(F.split("source_file", "/"), -1)
 
-    return rows.select(
-        *PRODUCT_COLUMNS, "source_file", "block", "seq",
-        snapshot_time(F.element_at(F.split("source_file", "/"), -1), F.col("modified_at")).alias("snapshot_at"),
-        attributes.alias("attributes"), F.explode(facts).alias("fact"),
+    # What a row has only once is computed before the explode.
+    return rows.withColumns({
+        "attributes": attributes, "snapshot_at": snapshot_time(file_name, F.col("modified_at")),
+    }).select(
+        *PRODUCT_COLUMNS, "source_file", "block", "seq", "snapshot_at", "attributes", F.explode(facts).alias("fact"),
     ).select(
         *PRODUCT_COLUMNS, "fact.forecast_month", "fact.month_label",
         F.coalesce(number(F.col("fact.qty")), F.lit(0.0)).alias("forecast_qty"),
