@@ -17,8 +17,6 @@ from ..schemas import FORECASTS
 HEADER_WORDS = ["upc", "vendor", "vendor sku", "sku", "retail", "retail item", "description", "brand",
                 "department", "forecast", "qty", "quantity", "month", "forecast month", "report date"]
 HEADER_SEARCH_ROWS = 20
-# Lines looked at to find those rows; leaves room for blank lines between them.
-HEADER_SEARCH_LINES = 200
 
 # Header names (after `squeeze`) of the known product columns, first match wins.
 PRODUCT_COLUMNS = {
@@ -128,51 +126,35 @@ def _position(columns: Column, names: list[str]) -> Column:
     return F.get(columns["pos"], (place - 1).cast("int"))
 
 
-def _top_lines(lines: DataFrame, broadcast_files: bool) -> DataFrame:
-    """The first lines of every file, numbered from 0.
+def header_rows(lines: DataFrame) -> DataFrame:
+    """Per file: number and cells of the header row, the row above it, and the text of all rows so far.
 
-    Sorting every line just to keep a few per file would be wasteful, so the place of the first line is
-    found by a hash aggregate, and only the lines right behind it are numbered.
+    The header is the first of the top rows with two known words, else the first row. Blank lines do not
+    count. A task sends at most `HEADER_SEARCH_ROWS` lines per file.
     """
-    head = lines.filter((F.col("block") == 0) & (F.trim("line") != ""))
-    first = head.groupBy("source_file").agg(F.min("seq").alias("first_seq"))
-    if broadcast_files:
-        first = F.broadcast(first)
     order = Window.partitionBy("source_file").orderBy("seq")
-    return (
-        head.join(first, "source_file").filter(F.col("seq") < F.col("first_seq") + HEADER_SEARCH_LINES)
-        .withColumn("row", F.row_number().over(order)).filter(F.col("row") <= HEADER_SEARCH_ROWS)
-        .select("source_file", "seq", "line", (F.col("row") - 1).alias("row"))
-    )
-
-
-def header_rows(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
-    """Per file: place and cells of the header row and of the row above it.
-
-    The header is the first of the top rows with two known words, else the first row. Blank lines do
-    not count.
-    """
     top = (
-        _top_lines(lines, broadcast_files)
+        lines.filter((F.col("block") == 0) & (F.trim("line") != ""))
+        .withColumn("row", F.row_number().over(order)).filter(F.col("row") <= HEADER_SEARCH_ROWS)
         .withColumn("cells", split_cells(F.col("line")))
         .withColumn("hit", header_word_hits(F.col("cells")) >= 2)
     )
     per_file = top.groupBy("source_file").agg(
-        F.sort_array(F.collect_list(F.struct("row", "seq", "cells"))).alias("rows"),  # HEADER_SEARCH_ROWS at most
-        F.coalesce(F.min(F.when(F.col("hit"), F.col("row"))), F.lit(0)).alias("header_row"),
+        F.sort_array(F.collect_list(F.struct("row", "cells", "line"))).alias("rows"),  # HEADER_SEARCH_ROWS at most
+        F.coalesce(F.min(F.when(F.col("hit"), F.col("row"))) - 1, F.lit(0)).alias("header_row"),
     )
-    at = F.get("rows", F.col("header_row"))
     above = F.get("rows", F.col("header_row") - 1)
     return per_file.select(
-        "source_file", "header_row", at["seq"].alias("header_seq"), at["cells"].alias("header"),
-        F.coalesce(above["cells"], F.array().cast("array<string>")).alias("periods"))
+        "source_file", "header_row", F.get("rows", F.col("header_row"))["cells"].alias("header"),
+        F.coalesce(above["cells"], F.array().cast("array<string>")).alias("periods"),
+        F.slice("rows.line", F.lit(1), F.col("header_row") + 1).alias("head_lines"))
 
 
-def sheet_layouts(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
+def sheet_layouts(lines: DataFrame) -> DataFrame:
     """Per file: where its header is and what each column holds."""
     columns = F.col("columns")
     found = (
-        header_rows(lines, broadcast_files)
+        header_rows(lines)
         .withColumn("columns", _described(F.col("header"), F.col("periods")))
         .withColumn("columns", _named(columns))
         .withColumn("columns", _unique_names(columns))
@@ -181,7 +163,7 @@ def sheet_layouts(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
     found = found.withColumns(places)
     is_product = lambda c: F.array_contains(F.array_compact(F.array(*places)), c["pos"])
     return found.select(
-        "source_file", "header_row", "header_seq", *places,
+        "source_file", "header_row", "head_lines", *places,
         F.filter(columns, lambda c: c["month"].isNotNull()).alias("months"),
         F.filter(columns, lambda c: c["month"].isNull() & ~is_product(c)).alias("others"),
         _position(columns, [TOTALS_LAYOUT_COLUMN]).isNotNull().alias("has_totals"),
@@ -196,14 +178,18 @@ def parse_sheets(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
     `broadcast_files` is for callers that know the number of files to be small; otherwise the join adapts
     to the measured size (and splits a file that holds most of the lines). Besides the forecast columns the
     result has `row_order`, the place of the cell in its file.
+
+    Lines that equal the header or a line above it are no data, also when a page break repeats them.
+    They are told by their text: the numbers in `seq` hold within one scan, but not from the scan that
+    finds the layouts to the one that reads the rows, which may be split differently.
     """
-    layouts = sheet_layouts(lines, broadcast_files)
+    layouts = sheet_layouts(lines)
     if broadcast_files:
         layouts = F.broadcast(layouts)
     rows = (
         lines.filter((F.trim("line") != "") & ~is_broken(F.col("line")))
         .join(layouts, "source_file")
-        .filter((F.col("block") > 0) | (F.col("seq") > F.col("header_seq")))
+        .filter((F.col("block") > 0) | ~F.array_contains("head_lines", F.col("line")))
         .withColumn("cells", split_cells(F.col("line")))
     )
     cell = lambda pos: F.get("cells", F.col(pos))

@@ -69,6 +69,11 @@ def test_last_row_of_a_sheet_wins(spark, tmp_path):
     assert facts(sheets.read_forecasts(spark, str(tmp_path))) == {("S1", D(2026, 7, 1)): 4.0}
 
 
+def test_header_repeated_by_a_page_break(spark, tmp_path):
+    write(tmp_path, **{"a_csv": "Plan\nVendor SKU,Jul-26\nS1,1\nPlan\nVendor SKU,Jul-26\nS2,2\n"})
+    assert facts(sheets.read_forecasts(spark, str(tmp_path))) == {("S1", D(2026, 7, 1)): 1.0, ("S2", D(2026, 7, 1)): 2.0}
+
+
 def test_repeated_header_names(spark, tmp_path):
     write(tmp_path, **{"a_csv": "Vendor SKU,Jul-26,Note,Note,,\nS1,1,x,y,z,\n"})
     row = sheets.read_forecasts(spark, str(tmp_path)).first()
