@@ -1,5 +1,7 @@
 """Table shaping: tidy columns and chronological order."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.clean import blank_to_null, day, number
@@ -25,31 +27,45 @@ def tidy_columns(df: DataFrame) -> DataFrame:
     return df.select(*columns[:place], text.alias("Product Description"), *columns[place:])
 
 
-def _calendar_value(df: DataFrame, name: str) -> Column | None:
-    """The column as date (or year number) if its name calls for it."""
+def _kind(name: str) -> str | None:
+    """`date` or `year` if the name of a column calls for it."""
     words = name.lower().replace("_", " ")
-    column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
     if any(w in words for w in DATE_WORDS):
-        if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return column
-        text = column.cast("string")
-        return F.coalesce(day(text), month_label(text))
-    return number(column) if YEAR_WORD in words else None
+        return "date"
+    return "year" if YEAR_WORD in words else None
+
+
+def _date_of(text: Column) -> Column:
+    return F.coalesce(day(text), month_label(text))
+
+
+def _is_typed(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
+def _calendar_value(df: DataFrame, name: str) -> Column:
+    """The column as date or year number."""
+    column = F.col(f"`{name}`")
+    if _kind(name) == "year":
+        return number(column)
+    return column if _is_typed(df, name) else _date_of(column.cast("string"))
 
 
 def calendar_columns(df: DataFrame) -> DataFrame:
     """How much of each calendar-like column parses: (column_name, filled, parsed, is_calendar).
 
-    All columns are counted in one pass.
+    Calendar columns repeat their values, so the distinct values are counted first and each is parsed once.
     """
-    values = {c: v for c in df.columns if (v := _calendar_value(df, c)) is not None}
-    if not values:
+    names = [c for c in df.columns if _kind(c)]
+    if not names:
         return df.sparkSession.createDataFrame([], "column_name string, filled long, parsed long, is_calendar boolean")
-    counts = df.agg(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.count(F.col(f"`{c}`")).alias("filled"), F.count(v).alias("parsed"))
-        for c, v in values.items()]).alias("found"))
-    return counts.select(F.explode("found").alias("f")).select(
-        "f.*", ((F.col("f.filled") > 0) & (F.col("f.parsed") >= F.col("f.filled") * CALENDAR_SHARE)).alias("is_calendar"))
+    values = reduce(lambda a, b: a.unionByName(b), [
+        df.select(F.lit(c).alias("column_name"), F.lit(_kind(c)).alias("kind"), F.col(f"`{c}`").cast("string").alias("value"))
+        for c in names]).groupBy("column_name", "kind", "value").agg(F.count("value").alias("n"))
+    parses = F.when(F.col("kind") == "year", number(F.col("value")).isNotNull()).otherwise(_date_of(F.col("value")).isNotNull())
+    counts = values.groupBy("column_name").agg(
+        F.sum("n").alias("filled"), F.sum(F.when(parses, F.col("n")).otherwise(0)).alias("parsed"))
+    return counts.withColumn("is_calendar", (F.col("filled") > 0) & (F.col("parsed") >= F.col("filled") * CALENDAR_SHARE))
 
 
 def prepare_calendar(df: DataFrame, x: str | None = None) -> DataFrame:

@@ -132,8 +132,8 @@ def abc_class(acks: DataFrame) -> DataFrame:
     A SKU's cumulative share covers all SKUs of at least its value. A window over all SKUs would run in
     one task; instead distinct values fall into classes of similar size (bounds from an approximate
     quantile, which decides the split but never the result), a running sum is taken inside each class,
-    and the totals of the higher classes, at most `ABC_CLASSES` of them, are added. The bounds are
-    fetched first (one row), so that every later use sees the same ones.
+    and the totals of the higher classes, at most `ABC_CLASSES` of them, are added. The bounds and
+    the grand total are fetched first (one row), so that every later use sees the same ones.
     """
     value = F.coalesce(F.col("ordered_cases") * F.col("price"), F.lit(0.0)).cast("decimal(38,4)")
     skus = (
@@ -142,7 +142,8 @@ def abc_class(acks: DataFrame) -> DataFrame:
     )
     values = skus.groupBy("value").agg(F.sum("value").alias("total"))
     steps = [i / ABC_CLASSES for i in range(1, ABC_CLASSES)]
-    bounds = values.agg(F.percentile_approx("value", steps, 10000).alias("bounds")).first()["bounds"] or []
+    known = values.agg(F.percentile_approx("value", steps, 10000).alias("bounds"), F.sum("total").alias("whole")).first()
+    bounds = known["bounds"] or []
     classed = values.withColumn("class", -_place(F.col("value"), sorted(set(bounds))))  # highest values first
     higher = (
         classed.groupBy("class").agg(F.sum("total").alias("class_total"))
@@ -152,8 +153,7 @@ def abc_class(acks: DataFrame) -> DataFrame:
     inside = F.sum("total").over(Window.partitionBy("class").orderBy(F.desc("value")))
     running = classed.withColumn("inside", inside).join(F.broadcast(higher), "class").select(
         "value", (F.col("inside") + F.col("higher")).alias("running"))
-    whole = skus.agg(F.sum("value").alias("whole"))
-    share = ratio(F.col("running").cast("double"), whole.scalar().cast("double"))
+    share = ratio(F.col("running").cast("double"), F.lit(known["whole"]).cast("double"))
     return skus.join(running, "value").withColumn("cumulative_share", share).select(
         "vendor_sku", F.col("value").cast("double").alias("value"), "cumulative_share",
         F.when(F.col("cumulative_share") <= ABC_LIMITS[0], "A").when(F.col("cumulative_share") <= ABC_LIMITS[1], "B")
