@@ -10,7 +10,7 @@ from fillwise.session import shared_folder
 from fillwise.sources import acks as ack_source, forecasts as sheets, inventory as stock
 from fillwise.streaming import ingest
 
-from .views import acks, forecasts, rounded, snapshots, sql, table
+from .views import forecasts, rounded, snapshots, sql, table
 
 _ACK = ["source_file", "line_no", "po_number", "vendor", "vendor_sku", "buyer_part_number", "upc", "ordered_cases",
         "confirmed_cases", "pack_value", "ordered_qty", "confirmed_qty", "price", "status_code", "delivery_dt",
