@@ -13,14 +13,17 @@ def con():
     return database(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+LIBRARY = [name for group in entry.LIBRARY for name in group.QUERIES]
+
+
+@pytest.mark.parametrize("name", LIBRARY)
 def test_query_agrees_with_sql(spark, con, name):
     verdict, rows, _ = compare(spark, con, SF, entry.queries()[name], entry.oracle_sql().get(name))
     assert verdict in ("ok", "rows only"), verdict
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(LIBRARY) <= set(entry.oracle_sql())
 
 
 def test_entry_returns_rows(spark):

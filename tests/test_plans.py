@@ -9,7 +9,7 @@ ARROW = {"match_fuzzy", "match_best"}
 EAGER = {"stream_ingest_acks"}
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted({name for group in entry.LIBRARY for name in group.QUERIES} - EAGER))
 def test_plan(spark, name):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
