@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, packing, token_counts
-from fillwise.llm.common import scratch, table
+from fillwise.llm import bpe, packing, quality, secrets, token_counts
+from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
 SEQUENCE_TOKENS, TOKEN_LIMIT = 2048, 1024
@@ -16,6 +16,14 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the base and by cutoffs certified on the labels."""
+    docs = table(spark, sf_dir, "documents")
+    cutoffs = stored(quality.certified_cutoffs(docs, table(spark, sf_dir, "labels")), "cutoffs")
+    return quality.rated(docs.select("doc_id", "lang", "text"), cutoffs).select(
+        "doc_id", "counts.n_words", "counts.word_chars", "counts.n_symbols", "counts.n_dup_lines", "counts.n_repeat_words", "base_failed", "kept")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, with a cache of this call's own, so that its work shows whole."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), scratch(spark, "token-cache"))
@@ -27,10 +35,17 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the fixed patterns, and strings that the trained models find random."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.log_ratios(secrets.labelled_samples(docs)))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into training sequences."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_bpe_round_trip, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
