@@ -18,9 +18,9 @@ LETTER, NUMBER, WHITE, OTHER = 0, 1, 2, 3
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Words a worker remembers; beyond, it forgets all and begins anew.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 1_000_000
 #: Characters cut at a time.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 250_000
 
 
 def load(path: str):
@@ -148,14 +148,18 @@ class Encoder:
             return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         parts = [split_special(t, list(self.special)) for t in texts]
         words, counts = cut([s for p in parts for s in p[::2]], self.table)
+        own = dict.fromkeys(words)  # small, so that most look-ups stay in the processor's cache
         known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        found = list(map(known.get, own))
+        new = [w for w, ids in zip(own, found) if ids is None]
         if new:
+            made = dict(zip(new, self.encode_words(new)))
+            found = [made[w] if ids is None else ids for w, ids in zip(own, found)]
             if len(known) + len(new) > CACHED_WORDS:
                 known.clear()
-                new = list(dict.fromkeys(words))
-            known.update(zip(new, self.encode_words(new)))
-        ids = list(map(known.__getitem__, words))
+            known.update(made)
+        own = dict(zip(own, found))
+        ids = list(map(own.__getitem__, words))
         ends = np.cumsum(counts).tolist()
         out, segment, first = [], 0, 0
         for p in parts:
