@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, packing, quality, secrets, token_counts
+from fillwise.llm import bpe, fuzzy_lines, minmax, packing, quality, secrets, token_counts
 from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
@@ -24,6 +24,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "counts.n_words", "counts.word_chars", "counts.n_symbols", "counts.n_dup_lines", "counts.n_repeat_words", "base_failed", "kept")
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the lines that repeat another, as digests of what is left."""
+    left = fuzzy_lines.without_repeated_lines(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_removed", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op6_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents by word pairs."""
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents, with a cache of this call's own, so that its work shows whole."""
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), scratch(spark, "token-cache"))
@@ -47,5 +58,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
+    op1_quality_rules, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
