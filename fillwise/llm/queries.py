@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, forest, fuzzy_lines, minmax, packing, quality, secrets, token_counts
+from fillwise.llm import bpe, forest, fuzzy_lines, minmax, mixing, packing, quality, secrets, token_counts
 from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "counts.n_words", "counts.word_chars", "counts.n_symbols", "counts.n_dup_lines", "counts.n_repeat_words", "base_failed", "kept")
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by the unigram base and by the mixing model."""
+    return mixing.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all embeddings."""
     return forest.near_vectors(table(spark, sf_dir, "embeddings"))
@@ -63,5 +68,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_projection_forest, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
+    op1_quality_rules, op2_context_mixing, op3_projection_forest, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
