@@ -11,9 +11,9 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from fillwise.llm.common import chunks_by_size, stored
+from fillwise.llm.common import WORD, chunks_by_size, stored
 from fillwise.llm.hashing import band_keys, permutations, shingle_sets
 from fillwise.llm.linking import resolve
 
@@ -114,6 +114,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     without doc_id are compared with nothing: component_id null, kept true. Rows that share a doc_id
     are judged each by its own text.
     """
+    rows, components = _sets_and_components(docs, width, percent)
+    return labelled(rows, components)
+
+
+def _sets_and_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     rows = stored(shingled(docs, width), "signatures")
     named = rows.filter("doc_id is not null and id is not null")
     keys = named.filter("keys is not null").select(F.explode("keys").alias("key"), "id", F.col("n_shingles").alias("size"))
@@ -124,8 +129,27 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
         found = numbered(docs).join(chosen.hint("shuffle_hash"), ["doc_id", "text_hash"])
         return found.select("id", F.col("text").alias("value"))
 
-    components = resolve(keys, values_of, short_signatures(width), prepared_set(width), alike(percent), percent)
-    return labelled(rows, components)
+    return rows, resolve(keys, values_of, short_signatures(width), prepared_set(width), alike(percent), percent)
+
+
+def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, of which near_duplicates() leaves one a group: the least doc_id, then text hash.
+
+    Of rows that agree in doc_id and text one stays. Rows without words or without doc_id all stay.
+    """
+    rows, components = _sets_and_components(docs, width, percent)
+    named = rows.filter("doc_id is not null and id is not null").select("doc_id", "text_hash", "id")
+    named = named.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    place = F.struct("doc_id", "text_hash")
+    stays = named.groupBy("component").agg(F.min(place).alias("first"))
+    gone = named.join(stays, "component").filter(place != F.col("first")).select(
+        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.lit(True).alias("__gone")).distinct()
+    text = F.col("text").cast("string")
+    marked = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__hash": F.xxhash64(text)})
+    left = marked.join(gone.hint("shuffle_hash"), ["__doc", "__hash"], "left").filter("__gone is null")
+    copy = F.row_number().over(Window.partitionBy("__doc", "__hash").orderBy("__doc"))
+    free = F.col("__doc").isNull() | ~F.coalesce(text, F.lit("")).rlike(WORD)
+    return left.withColumn("__copy", copy).filter((F.col("__copy") == 1) | free).select(*docs.columns)
 
 
 def labelled(rows: DataFrame, components: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, forest, fuzzy_lines, minmax, mixing, packing, quality, secrets, token_counts
+from fillwise.llm import bpe, bwt, forest, fuzzy_lines, minmax, mixing, packing, quality, secrets, token_counts
 from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
@@ -34,6 +34,11 @@ def op3_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op4_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the bytes of repeated 200-byte strings, as digests of what is left."""
+    return bwt.report(table(spark, sf_dir, "documents"))
+
+
 def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents less the lines that repeat another, as digests of what is left."""
     left = fuzzy_lines.without_repeated_lines(table(spark, sf_dir, "documents"))
@@ -68,5 +73,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_context_mixing, op3_projection_forest, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
+    op1_quality_rules, op2_context_mixing, op3_projection_forest, op4_bwt_repeats, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {}
