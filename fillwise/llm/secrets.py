@@ -116,8 +116,8 @@ def evidence(value: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.split(value, ""), start, add)["bits"]
 
 
-def with_spans(docs: DataFrame, ratios: list[float], *, text: str = "text", least_bits: float = 24.0, bits_a_sign: float = 1.0) -> DataFrame:
-    """Adds `spans`, an array of (start, kind, end, value) by start and kind; a column of that name is replaced.
+def with_spans(docs: DataFrame, ratios: list[float], *, text: str = "text", least_bits: float = 24.0, bits_a_sign: float = 1.0, name: str = "spans") -> DataFrame:
+    """Adds the column `name`, an array of (start, kind, end, value) by start and kind; one of that name is replaced.
 
     Spans of the fixed patterns always stay. A run of 20 or more SIGNS that touches none of them is
     a span of kind `random` if the models' evidence reaches `least_bits` and `bits_a_sign` a sign.
@@ -131,7 +131,7 @@ def with_spans(docs: DataFrame, ratios: list[float], *, text: str = "text", leas
         return F.array_sort(F.concat(x["base"], good))
 
     runs = _found(whole, CANDIDATE, 3, whole.rlike(CANDIDATE))
-    return docs.withColumn("spans", let(F.struct(base_spans(whole).alias("base"), runs.alias("runs")), judged))
+    return docs.withColumn(name, let(F.struct(base_spans(whole).alias("base"), runs.alias("runs")), judged))
 
 
 def report(docs: DataFrame, ratios: list[float]) -> DataFrame:
@@ -164,9 +164,9 @@ def redacted(docs: DataFrame, ratios: list[float], mark: str = "[SECRET]") -> Da
         done = F.aggregate(spans, start, add)
         return let(done, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(whole, d["at"] + 1, F.length(whole))))
 
-    rows = with_spans(docs, ratios)
-    text = F.when(F.size("spans") > 0, rebuilt(F.col("spans"))).otherwise(whole)
-    rows = rows.withColumn("text", text)
+    rows = with_spans(docs, ratios, name="__spans")
+    found = F.size("__spans") > 0
+    rows = rows.withColumn("text", F.when(found, rebuilt(F.col("__spans"))).otherwise(whole))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.drop("spans")
+        rows = rows.withColumn("n_chars", F.when(found, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.drop("__spans")
