@@ -46,12 +46,13 @@ def fiscal_month(name: Column, period: Column) -> Column:
 def month_label(header: Column) -> Column:
     """Month named by a whole header cell, or null.
 
-    Understood: ``Jul 2026``, ``July-2026``, ``Jul-26``, ``2026-07``, ``2026/07``, ``2026-07-01``,
-    ``07/2026``, ``07/01/2026`` and the fiscal ``2026 P06``, each optionally led by "forecast" or
-    "qty". Labels that merely contain a year ("total 2026", "q1 2026") are no months.
+    Understood: ``Jul 2026``, ``2026 July``, ``July-2026``, ``Jul-26``, ``2026-07``, ``2026/07``,
+    ``2026-07-01``, ``07/2026``, ``07/01/2026``, ``7/1/26``, ``1-Jul-26``, ``15-Jul-2026``,
+    ``July 1, 2026`` and the fiscal ``2026 P06``, each optionally with "forecast", "qty" or the like
+    before or after. Labels that merely contain a year ("total 2026", "q1 2026") are no months.
     """
-    text = F.regexp_replace(squeeze(F.translate(header, "_", " ")),
-                            r"^(?:(?:forecast|qty|quantity|month) )+", "")
+    text = F.regexp_replace(squeeze(F.translate(header, "_,", "  ")),
+                            r"^(?:(?:forecast|qty|quantity|month) )+|(?: (?:forecast|qty|quantity))+$", "")
     text = F.regexp_replace(text, r"^(\d{4})p(\d{1,2})$", "$1 p$2")
     return _bind(_bind(F.split(text, r"[ \-/.]+"), _tokens), _month_of_tokens)
 
@@ -64,7 +65,7 @@ def _bind(value: Column, body) -> Column:
 def _tokens(parts: Column) -> Column:
     first, second, third = (F.get(parts, F.lit(i)) for i in range(3))
     return F.struct(
-        F.size(parts).alias("n"), _name_to_number(first).alias("name"),
+        F.size(parts).alias("n"), _name_to_number(first).alias("name"), _name_to_number(second).alias("second_name"),
         _number(first).alias("a"), _number(second).alias("b"), _number(third).alias("c"),
         F.length(first).alias("len_a"), F.length(second).alias("len_b"), F.length(third).alias("len_c"),
         F.when(second.startswith("p"), _number(F.substring(second, 2, 2))).alias("period"),
@@ -78,11 +79,16 @@ def _month_of_tokens(t: Column) -> Column:
         .when(name.isNotNull() & (t["len_b"] == 2), F.struct((b + 2000).alias("year"), name.alias("month")))
         .when((t["len_a"] == 4) & period.between(1, 12),
               F.struct((a + F.when(period == 12, 1).otherwise(0)).alias("year"), (period % 12 + 1).alias("month")))
+        .when((t["len_a"] == 4) & t["second_name"].isNotNull(), F.struct(a.alias("year"), t["second_name"].alias("month")))
         .when((t["len_a"] == 4) & (t["len_b"] <= 2), F.struct(a.alias("year"), b.alias("month")))
         .when((t["len_b"] == 4) & (t["len_a"] <= 2), F.struct(b.alias("year"), a.alias("month")))
     )
+    year = F.when(t["len_c"] == 4, c).when(t["len_c"] == 2, c + 2000)
     found = (
         F.when(t["n"] == 2, two)
+        .when((t["n"] == 3) & t["second_name"].isNotNull() & a.between(1, 31) & (t["len_a"] <= 2), F.struct(year.alias("year"), t["second_name"].alias("month")))
+        .when((t["n"] == 3) & name.isNotNull() & b.between(1, 31) & (t["len_b"] <= 2), F.struct(year.alias("year"), name.alias("month")))
+        .when((t["n"] == 3) & (t["len_c"] == 2) & (t["len_a"] <= 2) & (t["len_b"] <= 2) & b.between(1, 31), F.struct(year.alias("year"), a.alias("month")))
         .when((t["n"] == 3) & (t["len_c"] == 4) & (t["len_a"] <= 2) & (t["len_b"] <= 2),
               F.struct(c.alias("year"), a.alias("month")))
         .when((t["n"] >= 3) & (t["len_a"] == 4) & (t["len_b"] <= 2) & t["is_day"], F.struct(a.alias("year"), b.alias("month")))

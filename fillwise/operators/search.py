@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.clean import any_of, blank_to_null, contains_text
 
@@ -13,31 +13,48 @@ PRODUCT_IDS = ["vendor_sku", "buyer_part_number", "upc"]
 EXACT_FIELDS = ["vendor_sku", "upc", "buyer_part_number", "product_id"]
 
 
-def drop_copies(df: DataFrame) -> DataFrame:
-    """One of each set of equal rows (maps cannot be compared and stay out of the comparison)."""
-    return df.dropDuplicates([f.name for f in df.schema if not isinstance(f.dataType, T.MapType)])
+def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Two hashes of a row's values, maps included; equal for equal rows only, as far as 96 bits tell."""
+    comparable = lambda f: F.array_sort(F.map_entries(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name)
+    values = [comparable(f) for f in df.schema if columns is None or f.name in columns]
+    flags = [v.isNull() for v in values]  # hashes skip nulls
+    return F.struct(F.xxhash64(*values, *flags).alias("a"), F.hash(*values[::-1], *flags).alias("b"))
 
 
 def _mentions(df: DataFrame, fields: list[str], query: str) -> Column:
     return any_of([contains_text(F.col(c), query) for c in fields if c in df.columns])
 
 
+def once_if(df: DataFrame, some: DataFrame) -> DataFrame:
+    """One of each set of equal rows if `some` has any row, else all rows."""
+    copy = F.row_number().over(Window.partitionBy("_row").orderBy("_row"))
+    any_row = some.limit(1).agg((F.count("*") > 0).alias("any"))
+    numbered = df.withColumn("_row", row_digest(df)).withColumn("_copy", copy)
+    return numbered.filter((F.col("_copy") == 1) | ~any_row.scalar()).select(df.columns)
+
+
 def related_forecasts(forecasts: DataFrame, lines: DataFrame, direct: Column) -> DataFrame:
     """Forecast rows that satisfy `direct` or share an identifier with one of `lines`.
 
-    Each shared identifier is a left join with distinct values, so forecasts are read once and never
-    multiplied; the joins adapt to the size of the values.
+    The identifiers of the lines are gathered in one pass and one shuffle and joined to the distinct
+    identifier sets of the forecasts; forecasts are never multiplied. If any forecast is reached
+    through a line, one of each set of equal rows stays.
     """
-    result, hits = forecasts.withColumn("_hit_direct", F.coalesce(direct, F.lit(False))), ["_hit_direct"]
-    for name in PRODUCT_IDS:
-        if name in lines.columns and name in forecasts.columns:
-            key, hit = f"_key_{name}", f"_hit_{name}"
-            ids = (lines.select(blank_to_null(F.col(name)).alias(key)).filter(F.col(key).isNotNull()).distinct()
-                   .withColumn(hit, F.lit(True)))
-            result = result.withColumn(key, F.trim(F.col(name).cast("string"))).join(ids, key, "left").drop(key)
-            hits.append(hit)
-    found = reduce(lambda a, b: a | b, [F.coalesce(F.col(h), F.lit(False)) for h in hits])
-    return drop_copies(result.filter(found).select(forecasts.columns))
+    names = [n for n in PRODUCT_IDS if n in lines.columns and n in forecasts.columns]
+    if not names:
+        return forecasts.filter(direct)
+    pair = lambda n: F.struct(F.lit(n).alias("name"), blank_to_null(F.col(n)).alias("value"))
+    pairs = lambda df: df.select(F.inline(F.array(*map(pair, names)))).filter(F.col("value").isNotNull()).distinct()
+    ids = [F.trim(F.col(n).cast("string")) for n in names]
+    sets = forecasts.select(*[i.alias(f"_{n}") for i, n in zip(ids, names)]).distinct()
+    own = F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("value")) for n in names])
+    reached = (sets.withColumn("pair", F.explode(own)).select(*[f"_{n}" for n in names], "pair.*")
+               .join(pairs(lines), ["name", "value"], "left_semi").select(*[f"_{n}" for n in names]).distinct()
+               .withColumn("_reached", F.lit(True)))
+    same = reduce(lambda a, b: a & b, [i.eqNullSafe(F.col(f"_{n}")) for i, n in zip(ids, names)])
+    result = forecasts.withColumn("_direct", F.coalesce(direct, F.lit(False))).join(reached, same, "left")
+    found = result.filter(F.col("_direct") | F.coalesce("_reached", F.lit(False))).select(forecasts.columns)
+    return once_if(found, reached)
 
 
 def search_records(forecasts: DataFrame, acks: DataFrame, query: str | None, expand: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -61,16 +78,18 @@ def search_inventory_snapshot(inventory: DataFrame, query: str | None) -> DataFr
     return inventory.filter(_mentions(inventory, ["vendor_sku", "inventory_description"], text)) if text else inventory
 
 
-def product_records(forecasts: DataFrame, acks: DataFrame, product: str, po_number: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Records of exactly one product identifier, or of all products of a PO.
+def product_records(forecasts: DataFrame, acks: DataFrame, *, product: str | None = None,
+                    po_number: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Records of exactly one product identifier, of a PO with the forecasts of its products, or of both together.
 
-    The PO defaults to the same text, so one entry field serves both.
+    Equal lines all count, unless the PO has lines: then one of each set stays.
     """
-    wanted = str(product)
-    po = str(po_number if po_number is not None else product).strip()
-    exact = lambda df: any_of([F.col(c).cast("string") == wanted for c in EXACT_FIELDS if c in df.columns])
-    if not po or "po_number" not in acks.columns:
-        return forecasts.filter(exact(forecasts)), acks.filter(exact(acks))
+    def named(df: DataFrame) -> Column:
+        return F.lit(False) if product is None else any_of([F.col(c).cast("string") == str(product) for c in EXACT_FIELDS if c in df.columns])
+
+    po = "" if po_number is None or "po_number" not in acks.columns else str(po_number).strip()
+    if not po:
+        return forecasts.filter(named(forecasts)), acks.filter(named(acks))
     on_po = F.trim(F.col("po_number").cast("string")) == po
-    lines = drop_copies(acks.filter(exact(acks) | on_po))
-    return related_forecasts(forecasts, acks.filter(on_po), exact(forecasts)), lines
+    of_po = acks.filter(on_po)
+    return related_forecasts(forecasts, of_po, named(forecasts)), once_if(acks.filter(named(acks) | on_po), of_po)

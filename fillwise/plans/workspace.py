@@ -108,7 +108,7 @@ class Workspace:
 
         Only records of that product or PO are read on, all under one entity.
         """
-        f, a = search.product_records(self.forecasts, self.acks, product, po_number)
+        f, a = search.product_records(self.forecasts, self.acks, product=product, po_number=product if po_number is None else po_number)
         text = str(product).strip()
         one = self.spark.range(1).select(F.lit(text).alias("entity"))
         asked = lambda df: df.withColumn("asked_for", F.lit(text))
