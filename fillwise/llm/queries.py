@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, bwt, forest, fuzzy_lines, minmax, mixing, packing, quality, secrets, token_counts
+from fillwise.llm import bpe, bwt, forest, fuzzy_lines, minmax, mixing, oracles, packing, quality, secrets, token_counts
 from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
@@ -74,4 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_context_mixing, op3_projection_forest, op4_bwt_repeats, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    "op1_quality_rules": oracles.QUALITY, "op3_projection_forest": oracles.VECTORS, "op4_bwt_repeats": oracles.REPEATED_STRINGS,
+    "op6_minmax_near_dedup": oracles.NEAR_DOCUMENTS,
+}
