@@ -34,7 +34,20 @@ def _scores(spark, d):
     return matching.similarity(pairs.distinct(), "a", "b")
 
 
+# Descriptions of orders: thousands of distinct texts that share words with some others.
+_ORDER = "concat(o_orderpriority, ' ', substring(cast(o_orderdate as string), 1, 7), ' c', cast(o_custkey as string), ' n', cast(o_orderkey % 50 as string))"
+_ORDERS = "select distinct {text} as {name} from orders where o_orderkey % 2 = {side}"
+
+
+def _similar(spark, d):
+    """Descriptions of even orders against those of odd ones."""
+    orders = table(spark, d, "orders")
+    side = lambda n, name: orders.filter(f"o_orderkey % 2 = {n}").selectExpr(f"{_ORDER} as {name}").distinct()
+    return matching.similar_pairs(side(0, "a"), side(1, "b"), 90.0)
+
+
 QUERIES = {
+    "match_similar": lambda s, d: rounded(_similar(s, d), score=6),
     "match_exact": lambda s, d: matching.match_exact(_candidates(s, d), _targets(s, d)),
     "match_fuzzy": lambda s, d: rounded(_scores(s, d), score=6),
     "match_best": lambda s, d: rounded(matching.match_best(_candidates(s, d), _targets(s, d)), score=6),
@@ -76,6 +89,12 @@ def _scored(pairs: str, body: str, **ctes: str) -> str:
 
 
 ORACLE = {
+    "match_similar": _scored(
+        """select a, b from (select a, unnest(list_distinct(string_split_regex(trim(a), '\\s+'))) as w from lefts) x join
+           (select b, unnest(list_distinct(string_split_regex(trim(b), '\\s+'))) as w from rights) y using (w)
+           group by a, b having 200.0 * (sum(length(w)) + count(*) - 1) / (sum(length(w)) + count(*) - 1 + least(length(a), length(b))) >= 90""",
+        "select a, b, round(score, 6) as score from scored",
+        lefts=_ORDERS.format(text=_ORDER, name="a", side=0), rights=_ORDERS.format(text=_ORDER, name="b", side=1)),
     "match_exact": sql("select * from exact", **_EXACT),
     "match_fuzzy": _scored(
         """select distinct c.description as a, p.p_name as b from cand c join part p
@@ -85,7 +104,8 @@ ORACLE = {
         """select r.description as a, p.description as b from (select distinct description from cand
            where candidate_id not in (select candidate_id from exact)) r cross join (select distinct description from v_products) p""",
         """, named as (select description as b, min(cast(vendor_sku as bigint)) as target_id from v_products group by 1),
-           best as (select a, target_id, score from scored join named using (b) where score > 0
+           best as (select a, target_id, score from scored join named using (b) join keyed using (a, b)
+             where len(c) > 0 and (al = 0 or bl = 0 or 200.0::double * cl / (2 * cl + 1 + al) >= 60 or 200.0::double * cl / (2 * cl + 1 + bl) >= 60)
              qualify row_number() over (partition by a order by score desc, target_id) = 1)
            select candidate_id, target_id, round(score, 6) as score, tier from exact
            union all select candidate_id, target_id, round(score, 6), 'description' from cand join best on description = a

@@ -5,20 +5,16 @@ Candidates (`candidate_id`) and targets (`target_id`) both carry `vendor_sku`, `
 their smallest id before any join: joins are many-to-one and no list of pairs is built.
 """
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import blank_to_null
-from ..functions.similarity import description_score, token_set_ratio
+from ..functions.similarity import description_score
 
 # Score of each identifier, and the name of its tier.
 SKU_SCORE, UPC_SCORE, BUYER_SCORE = 100.0, 99.0, 98.0
 
-# Up to this many distinct target descriptions (and this much text) every one is compared; the list is
-# then a broadcast variable of a few megabytes at most.
-DICTIONARY_ROWS, DICTIONARY_CHARS = 4096, 1 << 21
+# Default of `min_score`: the score that the common words of two descriptions must reach by themselves.
+MIN_SCORE = 60.0
 
 
 def _clean(df: DataFrame, id_column: str) -> DataFrame:
@@ -44,11 +40,11 @@ def match_exact(candidates: DataFrame, targets: DataFrame) -> DataFrame:
     by_upc = two.groupBy("upc").agg(
         at(1, "target_id").alias("upc_first"), at(2, "target_id").alias("upc_second"),
         at(1, "buyer_part_number").alias("upc_first_buyer"))
-    joined = (
-        c.join(by("vendor_sku"), "vendor_sku", "left")
-        .join(by_upc, "upc", "left")
-        .join(by("buyer_part_number"), "buyer_part_number", "left")
-    )
+    # Candidates without an identifier stay out of its join, so that blanks don't meet in one task.
+    joined = c
+    for key, side in (("vendor_sku", by("vendor_sku")), ("upc", by_upc), ("buyer_part_number", by("buyer_part_number"))):
+        has, rest = joined.filter(F.col(key).isNotNull()), joined.filter(F.col(key).isNull())
+        joined = has.join(side, key, "left").unionByName(rest, allowMissingColumns=True)
     same_buyer = F.coalesce(F.col("upc_first_buyer") == F.col("buyer_part_number"), F.lit(False))
     tiers = [
         (F.col("vendor_sku_target"), SKU_SCORE, "vendor_sku"),
@@ -91,70 +87,61 @@ def _rare_first(bag: DataFrame, text: str, frequency: DataFrame, share: float) -
     return known.withColumn("keep", F.sum("weight").over(rest) >= needed).filter("keep").select(text, "token")
 
 
-def similar_pairs(left: DataFrame, right: DataFrame, min_score: float = 60.0) -> DataFrame:
-    """Distinct pairs of descriptions (columns `a`, `b`) whose common tokens alone reach `min_score`.
+def shared_score(a: Column, b: Column) -> Column:
+    """Score (0 to 100) that two descriptions get for their common words alone; 100 if one has all words of the other."""
+    bag = lambda c: F.array_distinct(F.split(F.trim(c), r"\s+"))
+    size = lambda words: F.length(F.array_join(words, " "))
+    common = F.array_intersect(bag(a), bag(b))
+    part = size(common)
+    best = F.greatest(200.0 * part / (part + size(bag(a))), 200.0 * part / (part + size(bag(b))))
+    return F.when(F.size(common) > 0, best).otherwise(0.0)
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """All distinct pairs of descriptions (columns `a`, `b`) whose common words alone reach `min_score`, with `score`.
 
-    The score of common tokens c against a whole description a is 200 |c| / (|c| + |a|), so c must make
-    up min_score / (200 - min_score) of a or of b. Such pairs share one of the rare tokens of that
-    description; only those tokens are joined, against all tokens of the other side.
+    The score of common words c against a whole description a is 200 |c| / (|c| + |a|), so c must make
+    up min_score / (200 - min_score) of a or of b. Such pairs share one of the rare words of that
+    description; only those words are joined, against all words of the other side. What is found does
+    not depend on the other descriptions. Only pairs that pass the bound are scored in Arrow batches.
     """
     share = min_score / (200.0 - min_score)
     bag_a, bag_b = _bag(left, "a"), _bag(right, "b")
     uses = bag_a.select("token").unionAll(bag_b.select("token")).groupBy("token").agg(F.count("*").alias("uses"))
     from_a = _rare_first(bag_a, "a", uses, share).join(bag_b.select("b", "token"), "token")
     from_b = bag_a.select("a", "token").join(_rare_first(bag_b, "b", uses, share), "token")
-    return from_a.select("a", "b").unionByName(from_b.select("a", "b")).distinct().withColumn(
-        "score", description_score(F.col("a"), F.col("b"))).filter(F.col("score") >= min_score)
-
-
-def _best_in_list(texts: list[str]):
-    """Scores Arrow batches of distinct descriptions against a short list, the first best one wins."""
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for text in batch["a"]:
-                best, best_score = None, 0.0
-                for other in texts:
-                    value = token_set_ratio(text, other)
-                    if value > best_score:
-                        best, best_score = other, value
-                        if value == 100.0:
-                            break
-                rows.append((text, best, best_score))
-            yield pd.DataFrame(rows, columns=["a", "b", "score"])
-    return score
-
-
-def best_descriptions(candidates: DataFrame, targets: DataFrame, min_score: float | None = None) -> DataFrame:
-    """Best target per distinct candidate description: (description, target_id, score).
-
-    Distinct descriptions are compared, never rows. A short list of target descriptions is compared in
-    full (exact for any score above 0). A long one is searched through rare common tokens, and finds
-    the targets whose common tokens alone reach `min_score` (default 60).
+    found = from_a.select("a", "b").unionByName(from_b.select("a", "b")).distinct()
+    return found.filter(shared_score(F.col("a"), F.col("b")) >= min_score).withColumn("score", description_score(F.col("a"), F.col("b")))
+
+
+def best_descriptions(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE, exhaustive: bool = False) -> DataFrame:
+    """Best target per distinct candidate description: (description, target_id, score); smallest id on a tie.
+
+    Distinct descriptions are compared, never rows. Targets are found through common words that alone
+    reach `min_score` (see similar_pairs), whatever the number of targets. With `exhaustive` every
+    description is scored against every other and any score from `min_score` on (above 0) counts;
+    that is for the caller who knows both sides to be small.
     """
     wanted = _descriptions(candidates).distinct().withColumnRenamed("description", "a")
     named = (_clean(targets, "target_id").filter(F.col("description").isNotNull())
              .groupBy(F.col("description").alias("b")).agg(F.min("target_id").alias("target_id")))
-    probe = named.limit(DICTIONARY_ROWS + 1).agg(
-        F.count("*").alias("n"), F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("chars")).first()
-    if probe["n"] <= DICTIONARY_ROWS and probe["chars"] <= DICTIONARY_CHARS:
-        listed = [r["b"] for r in named.orderBy("target_id").select("b").collect()]
-        scored = wanted.mapInPandas(_best_in_list(listed), "a string, b string, score double")
-        scored = scored.filter(F.col("score") > (min_score or 0.0)) if not min_score else scored.filter(F.col("score") >= min_score)
-        return scored.join(named, "b").select(F.col("a").alias("description"), "target_id", "score")
-    pairs = similar_pairs(wanted, named.select("b"), min_score or 60.0).join(named, "b")
+    if exhaustive:
+        pairs = wanted.crossJoin(named).withColumn("score", description_score(F.col("a"), F.col("b")))
+        pairs = pairs.filter((F.col("score") > 0) & (F.col("score") >= min_score))
+    else:
+        pairs = similar_pairs(wanted, named.select("b"), min_score).join(named, "b")
     return pairs.groupBy(F.col("a").alias("description")).agg(
         F.max_by(F.struct("target_id", "score"), F.struct("score", -F.col("target_id"))).alias("best")
     ).select("description", "best.*")
 
 
-def match_best(candidates: DataFrame, targets: DataFrame, min_score: float | None = None) -> DataFrame:
+def match_best(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE, exhaustive: bool = False) -> DataFrame:
     """One target per candidate: the exact tiers decide, descriptions are compared for the rest.
 
     Candidates without any match are left out.
     """
     exact = match_exact(candidates, targets)
     rest = _clean(candidates, "candidate_id").join(exact, "candidate_id", "left_anti")
-    fuzzy = rest.join(best_descriptions(rest, targets, min_score), "description").select(
+    fuzzy = rest.join(best_descriptions(rest, targets, min_score, exhaustive), "description").select(
         "candidate_id", "target_id", "score", F.lit("description").alias("tier"))
     return exact.unionByName(fuzzy)

@@ -51,32 +51,42 @@ def products(spark, name, rows):
         f"{name} long, vendor_sku string, buyer_part_number string, upc string, description string")
 
 
-def test_rare_words_find_every_pair_they_promise(spark):
+def by_words(x, y):
+    common = len(" ".join(set(x.split()) & set(y.split())))
+    return max(200 * common / (common + len(x)), 200 * common / (common + len(y)))
+
+
+def test_pairs_are_exactly_those_that_reach_the_score_by_common_words(spark):
     left, right = NAMES[::2], NAMES[1::3]
     a = spark.createDataFrame([(x,) for x in left], "a string")
     b = spark.createDataFrame([(x,) for x in right], "b string")
     found = {(r["a"], r["b"]): r["score"] for r in matching.similar_pairs(a, b, 60.0).collect()}
-    for x, y in itertools.product(left, right):
-        common = len(" ".join(set(x.split()) & set(y.split())))
-        by_words = max(200 * common / (common + len(x)), 200 * common / (common + len(y)))
-        if by_words >= 60:
-            assert abs(found[(x, y)] - token_set_ratio(x, y)) < 1e-9
-    assert all(score >= 60 for score in found.values())
+    wanted = {(x, y) for x, y in itertools.product(left, right) if by_words(x, y) >= 60}
+    assert set(found) == wanted
+    assert all(abs(found[x, y] - token_set_ratio(x, y)) < 1e-9 for x, y in wanted)
 
 
-def test_both_searches_agree_with_brute_force(spark, monkeypatch):
+def test_best_descriptions_against_brute_force(spark):
     left, right = NAMES[::2], NAMES[1::3]
-    best = {}
+    c, t = products(spark, "candidate_id", left), products(spark, "target_id", right)
+    found = {r["description"]: (r["score"], -r["target_id"]) for r in matching.best_descriptions(c, t).collect()}
+    every = {r["description"]: (r["score"], -r["target_id"]) for r in matching.best_descriptions(c, t, 0.0, exhaustive=True).collect()}
     for x in left:
-        best[x] = max(((token_set_ratio(x, y), -i) for i, y in enumerate(right)))
-    short = {r["description"]: r for r in matching.best_descriptions(
-        products(spark, "candidate_id", left), products(spark, "target_id", right)).collect()}
-    for x, (score, i) in best.items():
-        assert abs(short[x]["score"] - score) < 1e-9 and short[x]["target_id"] == -i
-    monkeypatch.setattr(matching, "DICTIONARY_ROWS", 1)
-    long = matching.best_descriptions(products(spark, "candidate_id", left), products(spark, "target_id", right), 60.0)
-    for r in long.collect():
-        assert abs(r["score"] - best[r["description"]][0]) < 1e-9
+        scores = [(token_set_ratio(x, y), -i) for i, y in enumerate(right)]
+        near = [s for s, y in zip(scores, right) if by_words(x, y) >= 60]
+        assert found.get(x) == (max(near) if near else None)
+        assert every[x] == max(scores)
+
+
+def test_an_answer_does_not_depend_on_the_other_targets(spark):
+    c = products(spark, "candidate_id", ["lipstik rd", "small red bolt x9"])
+    few = ["lipstick red", "red bolt small x1"]
+    many = few + [f"thing number {i} red" for i in range(5000)]
+    for texts in (few, many):
+        got = {r["description"]: r["target_id"] for r in matching.best_descriptions(c, products(spark, "target_id", texts)).collect()}
+        assert got == {"small red bolt x9": 1}
+    every = matching.best_descriptions(c, products(spark, "target_id", few), exhaustive=True).collect()
+    assert {(r["description"], r["target_id"]) for r in every} == {("lipstik rd", 0), ("small red bolt x9", 1)}
 
 
 def test_hot_identifiers_make_one_row_per_candidate(spark):

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-ARROW = {"match_fuzzy", "match_best"}
+ARROW = {"match_fuzzy", "match_best", "match_similar"}
 EAGER = {"stream_ingest_acks"}
 
 
