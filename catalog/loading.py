@@ -18,12 +18,10 @@ _ACK = ["source_file", "line_no", "po_number", "vendor", "vendor_sku", "buyer_pa
 
 
 def scratch(spark, name: str) -> str:
-    """A new folder that all tasks can reach: below the shared folder, or local when Spark runs on one machine."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return f"{shared_folder(spark, 'runs')}/{name}-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return tempfile.mkdtemp(prefix=f"run-{name}-", dir="/tmp")
+    """A new folder below the shared folder, which all tasks can reach; a session without one gets its own."""
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-shared-"))
+    return f"{shared_folder(spark, 'runs')}/{name}-{uuid.uuid4().hex}"
 
 
 # --- documents -----------------------------------------------------------------
@@ -161,6 +159,20 @@ def _sheet_facts(spark, d):
         "forecast_month", "month_label", "forecast_qty"), forecast_qty=4)
 
 
+def _read_sheets(spark, d):
+    """The sheets written to files, every seventh description with a line break, and read by the file reader."""
+    folder = scratch(spark, "sheets")
+    lines = _sheet_lines(spark, d).withColumn("line", F.when(
+        (F.col("seq") > 100) & (F.col("seq") % 7 == 0), F.replace("line", F.lit(", boxed"), F.lit(",\n boxed"))).otherwise(F.col("line")))
+    file = F.regexp_extract("source_file", r"^plans/(.*)\.csv$", 1)
+    whole = lines.groupBy(file.alias("sheet")).agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("rows"))  # one sheet
+    whole.select("sheet", F.array_join("rows.line", "\n").alias("text")).repartition("sheet").write.partitionBy("sheet").format("csv").option(
+        "quote", "").option("sep", "\x01").option("lineSep", "\n").option("emptyValue", "").save(folder)
+    read = sheets.parse_sheets(sheets.read_sheet_lines(spark, folder))
+    sheet = F.regexp_extract("source_file", r"sheet=([^/]*)/", 1)
+    return rounded(read.select(sheet.alias("sheet"), "vendor_sku", "description", "forecast_month", "forecast_qty"), forecast_qty=4)
+
+
 def _header_rows(spark, d):
     return sheets.sheet_layouts(_sheet_lines(spark, d)).select(
         "source_file", "header_row", F.size("months").alias("month_columns"), "has_totals",
@@ -173,14 +185,17 @@ def _sheet_totals(spark, d):
 
 
 def _labels(spark, d):
-    """Every forecast month written in one of eight ways, and read again."""
+    """Every forecast month written in one of fourteen ways, and read again."""
     f = forecasts(spark, d)
-    m, way = F.col("forecast_month"), F.col("vendor_sku").cast("bigint") % 8
+    m, way = F.col("forecast_month"), F.col("vendor_sku").cast("bigint") % 14
     label = (
         F.when(way == 0, F.date_format(m, "MMM yyyy")).when(way == 1, F.date_format(m, "MMMM-yyyy"))
         .when(way == 2, F.concat(F.lit("Forecast "), F.date_format(m, "MMM yyyy"))).when(way == 3, F.date_format(m, "yyyy-MM"))
         .when(way == 4, F.date_format(m, "yyyy/MM")).when(way == 5, F.date_format(m, "MM/yyyy"))
-        .when(way == 6, F.concat(F.lit("total "), F.year(m).cast("string"))).otherwise(F.date_format(m, "yyyy-MM-dd")))
+        .when(way == 6, F.concat(F.lit("total "), F.year(m).cast("string"))).when(way == 7, F.date_format(m, "yyyy-MM-dd"))
+        .when(way == 8, F.date_format(m, "d-MMM-yyyy")).when(way == 9, F.concat(F.lit("15-"), F.date_format(m, "MMM-yyyy")))
+        .when(way == 10, F.date_format(m, "M/d/yyyy")).when(way == 11, F.date_format(m, "MMMM d, yyyy"))
+        .when(way == 12, F.date_format(m, "yyyy MMMM")).otherwise(F.concat(F.date_format(m, "MMM yyyy"), F.lit(" forecast"))))
     return f.select("vendor_sku", "forecast_month", month_label(label).alias("parsed_month"))
 
 
@@ -256,6 +271,7 @@ QUERIES = {
     "ack_rejects": _rejects,
     "ack_flat_variants": _flat,
     "forecast_sheet_long": _sheet_facts,
+    "forecast_read_files": _read_sheets,
     "forecast_header_row": _header_rows,
     "forecast_drop_totals": _sheet_totals,
     "fiscal_month": _fiscal,
@@ -312,13 +328,16 @@ ORACLE = {
         date '2026-07-01' as po_date from lineitem"""),
     "forecast_sheet_long": sql("""select source_file, snapshot_at, vendor_sku, description, forecast_month, month_label,
         round(q, 4) as forecast_qty from facts""", **_SHEET),
+    "forecast_read_files": sql("""select source_file[7:-5] as sheet, vendor_sku, case when (cast(vendor_sku as bigint) + 100) % 7 = 0
+        then replace(description, ', boxed', ',' || chr(10) || ' boxed') else description end as description, forecast_month, round(q, 4) as forecast_qty
+        from facts""", **_SHEET),
     "forecast_header_row": sql("""select source_file, cast(cast(source_file[13:13] as int) // 2 + 2 as int) as header_row,
         cast(count(distinct forecast_month) as int) as month_columns, true as has_totals, min(forecast_month) as first_month
         from grid group by source_file""", **_SHEET),
     "forecast_drop_totals": sql("""select source_file, count(*) as cells, round(sum(q), 3) as forecast_qty from facts group by 1""", **_SHEET),
     "fiscal_month": sql("select vendor_sku, forecast_month, forecast_month as parsed_month from v_forecasts"),
     "month_label_parse": sql("""select vendor_sku, forecast_month,
-        case when cast(vendor_sku as bigint) % 8 <> 6 then forecast_month end as parsed_month from v_forecasts"""),
+        case when cast(vendor_sku as bigint) % 14 <> 6 then forecast_month end as parsed_month from v_forecasts"""),
     "forecast_unpivot": sql("""select g.vendor_sku, strftime(g.forecast_month, '%b %Y') as month_label, g.forecast_month, round(q, 4) as forecast_qty
         from facts g where snapshot_at = date '2001-06-01'""", **_SHEET),
     "union_align": """select cast(p_partkey as varchar) as item, cast(p_size as double) as quantity, p_name as description,

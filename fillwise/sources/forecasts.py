@@ -32,9 +32,6 @@ TOTALS_LAYOUT_COLUMN = "ulta item description"
 # Columns of the layout with one row per product and month.
 LONG_MONTH_COLUMNS, LONG_QTY_COLUMNS = ["forecast month", "month"], ["forecast qty", "forecast quantity", "qty", "quantity"]
 
-# The layout table has one row of a few kilobytes per file; up to this many files it is broadcast.
-BROADCAST_FILES = 2000
-
 
 def _text_source(reader, *paths: str) -> DataFrame:
     reader = reader.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
@@ -81,11 +78,48 @@ def _unquote(cell: Column) -> Column:
     return F.when(quoted, F.replace(F.regexp_extract(text, '(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(text)
 
 
-def is_broken(line: Column) -> Column:
-    """A line whose quotes do not pair up, left over from a line break inside a cell."""
+def is_odd(line: Column) -> Column:
+    """A line with an odd number of quotes: a cell with a line break begins or ends in it."""
     return F.regexp_count(line, F.lit('"')) % 2 == 1
 
 
+def _odd_files(lines: DataFrame) -> DataFrame:
+    """Files that have odd lines, and whether their quotes pair up in the end."""
+    odd = lines.filter(is_odd(F.col("line")))
+    return odd.groupBy("source_file").agg((F.count("*") % 2 == 0).alias("paired"))
+
+
+def sheet_records(lines: DataFrame) -> DataFrame:
+    """Lines joined to records, so that a quoted cell may hold line breaks; columns as before.
+
+    Files without odd lines stay as they are. In the others a record begins where the quotes so far,
+    counted over the blocks of the file, pair up; it has the place of its first line. If a file's
+    quotes never pair up, some quote is no quote, and its odd lines are left out (see broken_lines).
+    """
+    files = _odd_files(lines)
+    plain = lines.join(files, "source_file", "left_anti")
+    stray = lines.join(files.filter("not paired"), "source_file", "left_semi").filter(~is_odd(F.col("line")))
+    quoted = lines.join(files.filter("paired"), "source_file", "left_semi")
+    quoted = _numbered(quoted.withColumn("odd", is_odd(F.col("line")).cast("long")), "odd", "quotes")
+    quoted = quoted.withColumn("first", ((F.col("quotes") - F.col("odd")) % 2 == 0).cast("long"))
+    quoted = _numbered(quoted, "first", "record")
+    place = F.struct("block", "seq", "line")
+    joined = quoted.groupBy("source_file", "modified_at", "record").agg(F.sort_array(F.collect_list(place)).alias("rows"))  # one record's lines
+    joined = joined.select("source_file", "modified_at", F.col("rows")[0]["block"].alias("block"), F.col("rows")[0]["seq"].alias("seq"),
+                           F.array_join("rows.line", "\n").alias("line"))
+    return plain.unionByName(stray).unionByName(joined.select(lines.columns))
+
+
+def _numbered(lines: DataFrame, flag: str, name: str) -> DataFrame:
+    """Adds the sum of `flag` up to each line of its file: within blocks, then over the totals of blocks."""
+    block = Window.partitionBy("source_file", "block")
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = lines.groupBy("source_file", "block").agg(F.sum(flag).alias("total"))
+    totals = totals.select("source_file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    own = F.sum(flag).over(block.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
+    return lines.withColumn("own", own).join(totals, ["source_file", "block"]).withColumn(name, F.col("own") + F.col("before")).drop("own", "before")
+
+
 def header_word_hits(cells: Column) -> Column:
     """How many known header words occur in a row."""
     row = F.concat_ws(" ", F.transform(cells, squeeze))
@@ -127,10 +161,10 @@ def _position(columns: Column, names: list[str]) -> Column:
 
 
 def header_rows(lines: DataFrame) -> DataFrame:
-    """Per file: number and cells of the header row, the row above it, and the text of all rows so far.
+    """Per file, from its records: number and cells of the header row, the row above it, and the text of all rows so far.
 
     The header is the first of the top rows with two known words, else the first row. Blank lines do not
-    count. A task sends at most `HEADER_SEARCH_ROWS` lines per file.
+    count. A task sends at most `HEADER_SEARCH_ROWS` records per file.
     """
     order = Window.partitionBy("source_file").orderBy("seq")
     top = (
@@ -172,24 +206,22 @@ def sheet_layouts(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse_sheets(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
+def parse_sheets(lines: DataFrame) -> DataFrame:
     """Every (product row, month) cell of every sheet as one forecast row.
 
-    `broadcast_files` is for callers that know the number of files to be small; otherwise the join adapts
-    to the measured size (and splits a file that holds most of the lines). Besides the forecast columns the
-    result has `row_order`, the place of the cell in its file.
+    Layouts are one row a file; the join adapts to their measured size (and splits a file that holds
+    most of the lines). Besides the forecast columns the result has `row_order`, the place of the cell
+    in its file.
 
-    Lines that equal the header or a line above it are no data, also when a page break repeats them.
-    They are told by their text: the numbers in `seq` hold within one scan, but not from the scan that
-    finds the layouts to the one that reads the rows, which may be split differently.
+    A record that equals, as text, the header or a record above it is no data, wherever it stands:
+    page breaks repeat headers. So the result does not depend on how Spark splits a file.
     """
-    layouts = sheet_layouts(lines)
-    if broadcast_files:
-        layouts = F.broadcast(layouts)
+    records = sheet_records(lines)
+    layouts = sheet_layouts(records)
     rows = (
-        lines.filter((F.trim("line") != "") & ~is_broken(F.col("line")))
+        records.filter(F.trim("line") != "")
         .join(layouts, "source_file")
-        .filter((F.col("block") > 0) | ~F.array_contains("head_lines", F.col("line")))
+        .filter(~F.array_contains("head_lines", F.col("line")))
         .withColumn("cells", split_cells(F.col("line")))
     )
     cell = lambda pos: F.get("cells", F.col(pos))
@@ -226,8 +258,16 @@ def parse_sheets(lines: DataFrame, broadcast_files: bool = False) -> DataFrame:
 
 
 def broken_lines(lines: DataFrame) -> DataFrame:
-    """Lines `parse_sheets` cannot split."""
-    return lines.filter(is_broken(F.col("line"))).select("source_file", "line")
+    """Odd lines of files whose quotes do not pair up; `parse_sheets` leaves them out."""
+    stray = _odd_files(lines).filter("not paired")
+    return lines.filter(is_odd(F.col("line"))).join(stray, "source_file", "left_semi").select("source_file", "line")
+
+
+def unread_headers(lines: DataFrame) -> DataFrame:
+    """Header cells (source_file, header) that hold a year but name no month, for a person to look at."""
+    columns = F.explode("others")
+    found = sheet_layouts(sheet_records(lines)).select("source_file", columns.alias("c")).select("source_file", F.col("c.name").alias("header"))
+    return found.filter(F.col("header").rlike(r"\b(19|20)\d{2}\b"))
 
 
 def newest_per_month(
@@ -255,9 +295,7 @@ def newest_per_month(
 
 def read_forecasts(spark: SparkSession, *paths: str) -> DataFrame:
     """The newest forecast per product and month over all sheets below the given folders."""
-    lines = read_sheet_lines(spark, *paths)
-    few = len(lines.inputFiles()) <= BROADCAST_FILES
-    return newest_per_month(parse_sheets(lines, broadcast_files=few)).select(FORECASTS.fieldNames())
+    return newest_per_month(parse_sheets(read_sheet_lines(spark, *paths))).select(FORECASTS.fieldNames())
 
 
 # --- wide frames ----------------------------------------------------------------
