@@ -13,8 +13,8 @@ ABC_LIMITS = (0.80, 0.95)
 XYZ_LIMITS = (0.5, 1.0)
 RELIABILITY_WEIGHTS = {"fill": 0.7, "on_time": 0.2, "complete": 0.1}
 SAFETY_FACTOR = 1.65
-# Number of value classes the ABC running sum is split into.
-ABC_CLASSES = 128
+# Value classes of the ABC running sum for each doubling of the value.
+ABC_STEPS = 64
 
 
 def demand_trend(acks: DataFrame) -> DataFrame:
@@ -116,44 +116,37 @@ def repeated_shortage(acks: DataFrame, at_least: int = 3) -> DataFrame:
     )
 
 
-def _place(value: Column, bounds: list) -> Column:
-    """How many of the sorted bounds lie below the value, by bisection."""
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value <= F.lit(bounds[middle]), search(low, middle)).otherwise(search(middle + 1, high))
-    return search(0, len(bounds))
+def _value_class(value: Column) -> Column:
+    """Number of a value's class, growing with the value: ABC_STEPS classes for each doubling."""
+    size = lambda v: F.floor(F.log2(v.cast("double")) * ABC_STEPS)
+    far = 1_000_000
+    return F.when(value > 0, size(value)).when(value == 0, F.lit(-far)).otherwise(-2 * far - size(-value))
 
 
 def abc_class(acks: DataFrame) -> DataFrame:
     """Pareto class per SKU by ordered value (cases times case price).
 
     A SKU's cumulative share covers all SKUs of at least its value. A window over all SKUs would run in
-    one task; instead distinct values fall into classes of similar size (bounds from an approximate
-    quantile, which decides the split but never the result), a running sum is taken inside each class,
-    and the totals of the higher classes, at most `ABC_CLASSES` of them, are added. The bounds and
-    the grand total are fetched first (one row), so that every later use sees the same ones.
+    one task; instead distinct values fall into classes of nearly equal values, a running sum is taken
+    inside each class, and the totals of the higher classes are added. Classes grow with the range of
+    the values only, their bounds are fixed, and nothing runs before the result is used.
     """
     value = F.coalesce(F.col("ordered_cases") * F.col("price"), F.lit(0.0)).cast("decimal(38,4)")
     skus = (
         acks.select(blank_to_null(F.col("vendor_sku")).alias("vendor_sku"), value.alias("value"))
         .filter(F.col("vendor_sku").isNotNull()).groupBy("vendor_sku").agg(F.sum("value").alias("value"))
     )
-    values = skus.groupBy("value").agg(F.sum("value").alias("total"))
-    steps = [i / ABC_CLASSES for i in range(1, ABC_CLASSES)]
-    known = values.agg(F.percentile_approx("value", steps, 10000).alias("bounds"), F.sum("total").alias("whole")).first()
-    bounds = known["bounds"] or []
-    classed = values.withColumn("class", -_place(F.col("value"), sorted(set(bounds))))  # highest values first
-    higher = (
+    classed = skus.groupBy("value").agg(F.sum("value").alias("total")).withColumn("class", _value_class(F.col("value")))
+    above = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = (  # one row a class
         classed.groupBy("class").agg(F.sum("total").alias("class_total"))
-        .withColumn("higher", F.sum("class_total").over(Window.orderBy("class")) - F.col("class_total"))
-        .select("class", "higher")
+        .select("class", F.coalesce(F.sum("class_total").over(above), F.lit(0)).alias("higher"), F.sum("class_total").over(whole).alias("whole"))
     )
     inside = F.sum("total").over(Window.partitionBy("class").orderBy(F.desc("value")))
-    running = classed.withColumn("inside", inside).join(F.broadcast(higher), "class").select(
-        "value", (F.col("inside") + F.col("higher")).alias("running"))
-    share = ratio(F.col("running").cast("double"), F.lit(known["whole"]).cast("double"))
+    running = classed.withColumn("inside", inside).join(totals, "class").select(
+        "value", (F.col("inside") + F.col("higher")).alias("running"), "whole")
+    share = ratio(F.col("running").cast("double"), F.col("whole").cast("double"))
     return skus.join(running, "value").withColumn("cumulative_share", share).select(
         "vendor_sku", F.col("value").cast("double").alias("value"), "cumulative_share",
         F.when(F.col("cumulative_share") <= ABC_LIMITS[0], "A").when(F.col("cumulative_share") <= ABC_LIMITS[1], "B")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import accuracy, coverage, filters, monthly, ranking, risk, search, supply
-from ..operators.questions import answer
+from ..operators.questions import answer, asked_entities
 from ..operators.root_cause import root_cause
 from ..schemas import ACK_LINES, FORECASTS, INVENTORY
 from ..sources.acks import read_ack_lines
@@ -128,4 +128,5 @@ class Workspace:
 
     def answer(self, questions: DataFrame, **options) -> DataFrame:
         """Answers to a table of questions (column `question`)."""
-        return answer(questions, self.root_causes(**options), self.vendor_performance())
+        asked = asked_entities(questions, self.forecasts, self.acks, names=(*ALL_KEYS, "po_number"))
+        return answer(questions, self.root_causes(asked, **options), self.vendor_performance())
