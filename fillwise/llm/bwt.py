@@ -22,9 +22,9 @@ from fillwise.llm.hashing import mix
 
 #: Bytes of a repeated string, of an anchor and of a block; blocks divide the length.
 LENGTH, ANCHOR, BLOCK = 200, 64, 40
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 100_000
 #: Bytes of pieces merged at a time, unless one anchor has more; shards whose transforms are merged.
-MERGED_BYTES, SHARDS = 2_000_000, 4
+MERGED_BYTES, SHARDS = 1_000_000, 4
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -76,36 +76,47 @@ def anchored(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return np.array(long)[text], place[first] - begin[text], windows, hashes[own[first]]
 
 
-class Shard:
-    """The transform of a shard's pieces: its suffixes sorted by blocks, and the block before each.
+def dealt(symbols: np.ndarray) -> np.ndarray:
+    """The stable order of 32-bit symbols: by their lower, then by their upper halves, each a radix sort."""
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")
+    upper = (symbols >> np.uint32(16)).astype(np.uint16)
+    return order[np.argsort(upper[order], kind="stable")] if upper.any() else order
+
+
+def suffixes(pieces: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of all suffixes of the pieces: piece, place, the block it begins with and the suffix 40 bytes before.
 
-    A suffix is a place in a piece; the last 40 have no block of their own and sort first, by symbol 0.
-    The block before a suffix is that 40 bytes earlier. The first 40 places have none before them: symbol 0.
+    A suffix is a place in a piece. Blocks are numbered from 1 by their hash; the last 40 places have
+    none, symbol 0. Stepping back from a piece's first places leads to those empty suffixes, so that
+    every suffix is met.
     """
+    sizes = np.array([len(p) for p in pieces])
+    begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    total = int((sizes + 1).sum())
+    piece = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes + 1)
+    place = (np.arange(total) - begin[piece]).astype(np.int32)
+    left = sizes.astype(np.int32)[piece] - place
+    signs = np.frombuffer(b"".join([p + b"\0" for p in pieces]), np.uint8)
+    blocks = np.zeros(total, np.uint64)
+    hashes = rolled(signs, BLOCK) | np.uint64(1) if total >= BLOCK else np.empty(0, np.uint64)
+    blocks[: len(hashes)] = hashes
+    blocks[left < BLOCK] = 0
+    symbol = np.unique(np.append(blocks, np.uint64(0)), return_inverse=True)[1][:-1].astype(np.uint32)
+    back = np.arange(-BLOCK, total - BLOCK, dtype=np.int32)
+    early = np.flatnonzero(place < BLOCK)
+    size = sizes[piece[early]]
+    back[early] = begin[piece[early]] + size - (size - place[early]) % BLOCK
+    return piece, place, symbol, back
+
 
-    def __init__(self, pieces: list[bytes], rounds: int):
-        sizes = np.array([len(p) for p in pieces])
-        begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-        total = int((sizes + 1).sum())
-        self.piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-        self.place = np.arange(total) - begin[self.piece]
-        left = sizes[self.piece] - self.place
-        signs = np.frombuffer(b"".join([p + b"\0" for p in pieces]), np.uint8)
-        symbol = np.zeros(total, np.uint64)
-        blocks = rolled(signs, BLOCK) | np.uint64(1)
-        symbol[: len(blocks)] = blocks
-        symbol[left < BLOCK] = 0
-        before = np.zeros(total, np.uint64)
-        later = np.flatnonzero(self.place >= BLOCK)
-        before[later] = symbol[later - BLOCK]
-        # Stepping back from a piece's first places leads to its empty suffixes, so that every suffix is met.
-        back = np.arange(total) - BLOCK
-        early = np.flatnonzero(self.place < BLOCK)
-        size = sizes[self.piece[early]]
-        back[early] = begin[self.piece[early]] + size - (size - self.place[early]) % BLOCK
-        order = np.arange(total)
+class Shard:
+    """The transform of a shard's suffixes: their order by blocks, and the block before each of them."""
+
+    def __init__(self, place: np.ndarray, symbol: np.ndarray, back: np.ndarray, rounds: int):
+        before = np.where(place >= BLOCK, symbol[back], np.uint32(0))  # nothing before a piece's first places
+        order = np.arange(len(place), dtype=np.int32)
         for _ in range(rounds):
-            order = back[order[np.argsort(before[order], kind="stable")]]
+            order = back[order[dealt(before[order])]]
         self.order, self.before = order, before[order]
 
 
@@ -115,43 +126,38 @@ def merged(shards: list[Shard], rounds: int) -> tuple[np.ndarray, np.ndarray]:
     Suffixes of one interval agree in `rounds` blocks. Each round reads the shards' transforms in the
     order of the interleave so far and deals the shard numbers stably by the block read.
     """
-    interleave = np.repeat(np.arange(len(shards)), [len(s.order) for s in shards])
-    interval = np.zeros(len(interleave), np.int64)
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.order) for s in shards])
+    interval = np.zeros(len(interleave), np.int32)
     for _ in range(rounds):
-        read = np.empty(len(interleave), np.uint64)
+        read = np.empty(len(interleave), np.uint32)
         for number, shard in enumerate(shards):
             read[interleave == number] = shard.before
-        dealt = np.argsort(read, kind="stable")
-        read, interval, interleave = read[dealt], interval[dealt], interleave[dealt]
+        order = dealt(read)
+        read, interval, interleave = read[order], interval[order], interleave[order]
         new = np.ones(len(read), bool)
         new[1:] = (read[1:] != read[:-1]) | (interval[1:] != interval[:-1])
-        interval = np.cumsum(new)
+        interval = np.cumsum(new, dtype=np.int32)
     return interleave, interval
 
 
 def repeated_windows(pieces: list[bytes], counts: list[int]) -> list[np.ndarray]:
     """Of each piece a flag a window: whether it is in the pieces, each taken `counts` times, more than once."""
     rounds = LENGTH // BLOCK
-    dealt = [list(range(s, len(pieces), SHARDS)) for s in range(min(SHARDS, len(pieces)))]
-    shards = [Shard([pieces[i] for i in own], rounds) for own in dealt]
-    interleave, interval = merged(shards, rounds)
-    piece, place = np.empty(len(interleave), np.int64), np.empty(len(interleave), np.int64)
-    for number, (own, shard) in enumerate(zip(dealt, shards)):
-        at = interleave == number
-        piece[at] = np.array(own)[shard.piece[shard.order]]
-        place[at] = shard.place[shard.order]
+    piece, place, symbol, back = suffixes(pieces)
     sizes = np.array([len(p) for p in pieces])
-    window = place + LENGTH <= sizes[piece]
-    weight = np.where(window, np.array(counts)[piece], 0)
+    ends = np.cumsum(sizes + 1)
+    cuts = sorted({0, len(place), *(int(ends[len(pieces) * i // SHARDS - 1]) for i in range(1, SHARDS) if len(pieces) * i // SHARDS)})
+    shards = [Shard(place[a:b], symbol[a:b], back[a:b] - np.int32(a), rounds) for a, b in zip(cuts, cuts[1:])]
+    interleave, interval = merged(shards, rounds)
+    suffix = np.empty(len(interleave), np.int64)
+    for number, (first, shard) in enumerate(zip(cuts, shards)):
+        suffix[interleave == number] = shard.order + np.int64(first)
+    window = (place + LENGTH <= sizes[piece])[suffix]
+    weight = np.where(window, np.array(counts)[piece[suffix]], 0)
     often = np.bincount(interval, weight)[interval] >= 2
-    flags = [np.zeros(max(0, n - LENGTH + 1), bool) for n in sizes.tolist()]
-    hit = np.flatnonzero(window & often)
-    order = np.argsort(piece[hit], kind="stable")
-    hit = hit[order]
-    ends = np.searchsorted(piece[hit], np.arange(len(pieces)), "right").tolist()
-    for flag, a, b in zip(flags, [0, *ends], ends):
-        flag[place[hit[a:b]]] = True
-    return flags
+    flagged = np.zeros(len(place), bool)
+    flagged[suffix[window & often]] = True
+    return [flagged[e - n - 1 : max(e - n - 1, e - LENGTH)] for e, n in zip(ends.tolist(), sizes.tolist())]
 
 
 def runs(flags: np.ndarray) -> list[tuple[int, int]]:
