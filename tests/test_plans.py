@@ -34,3 +34,22 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_ranking_limits_rows_before_the_shuffle(spark):
     plan = entry.queries()["latest_ack_lines"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+#: Most hash exchanges and scans in the final plan, with no side small enough to broadcast.
+SHAPES = {"filter_options": (9, 4), "search_po_expand": (12, 6), "abc_class": (11, 2), "rca_report": (9, 4), "rca_by_po": (34, 10)}
+
+
+@pytest.mark.parametrize("name", sorted(SHAPES))
+def test_shape_of_a_large_plan(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = entry.queries()[name](spark, SF)
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    exchanges, scans = SHAPES[name]
+    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange hashpartitioning") <= exchanges
+    assert plan.count("FileScan parquet") <= scans
