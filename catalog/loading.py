@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fillwise.functions.months import fiscal_month, month_label
 from fillwise.session import shared_folder
-from fillwise.sources import acks as ack_source, forecasts as sheets, inventory as stock
+from fillwise.sources import acks as ack_source, forecasts as sheets, inventory as stock, sinks
 from fillwise.streaming import ingest
 
 from .views import forecasts, rounded, snapshots, sql, table
@@ -159,20 +159,32 @@ def _sheet_facts(spark, d):
         "forecast_month", "month_label", "forecast_qty"), forecast_qty=4)
 
 
-def _read_sheets(spark, d):
-    """The sheets written to files, every seventh description with a line break, and read by the file reader."""
-    folder = scratch(spark, "sheets")
-    lines = _sheet_lines(spark, d).withColumn("line", F.when(
-        (F.col("seq") > 100) & (F.col("seq") % 7 == 0), F.replace("line", F.lit(", boxed"), F.lit(",\n boxed"))).otherwise(F.col("line")))
+def _write_sheets(lines, folder):
+    """One file per sheet, in a folder named after it."""
     file = F.regexp_extract("source_file", r"^plans/(.*)\.csv$", 1)
     whole = lines.groupBy(file.alias("sheet")).agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("rows"))  # one sheet
     whole.select("sheet", F.array_join("rows.line", "\n").alias("text")).repartition("sheet").write.partitionBy("sheet").format("csv").option(
         "quote", "").option("sep", "\x01").option("lineSep", "\n").option("emptyValue", "").save(folder)
+
+
+def _read_sheets(spark, d):
+    """The sheets written to files, every seventh description with a line break, and read by the file reader."""
+    folder = scratch(spark, "sheets")
+    _write_sheets(_sheet_lines(spark, d).withColumn("line", F.when(
+        (F.col("seq") > 100) & (F.col("seq") % 7 == 0), F.replace("line", F.lit(", boxed"), F.lit(",\n boxed"))).otherwise(F.col("line"))), folder)
     read = sheets.parse_sheets(sheets.read_sheet_lines(spark, folder))
     sheet = F.regexp_extract("source_file", r"sheet=([^/]*)/", 1)
     return rounded(read.select(sheet.alias("sheet"), "vendor_sku", "description", "forecast_month", "forecast_qty"), forecast_qty=4)
 
 
+def _exported(spark, d):
+    """A result written as CSV with a header, and read back."""
+    folder = scratch(spark, "export")
+    sinks.write_csv(forecasts(spark, d).withColumn("note", F.concat(F.lit('a, "'), F.col("vendor_sku"), F.lit('"'))), folder)
+    schema = "vendor_sku string, forecast_month date, forecast_qty double, note string"
+    return rounded(spark.read.schema(schema).option("header", True).option("escape", "\\").csv(folder), forecast_qty=4)
+
+
 def _header_rows(spark, d):
     return sheets.sheet_layouts(_sheet_lines(spark, d)).select(
         "source_file", "header_row", F.size("months").alias("month_columns"), "has_totals",
@@ -283,6 +295,7 @@ QUERIES = {
     "inventory_clean": _inventory_clean,
     "inventory_latest": lambda s, d: stock.latest_snapshot(stock.clean_rows(_export(s, d))),
     "stream_ingest_acks": _streamed,
+    "export_csv": _exported,
 }
 
 # --- the same in SQL -------------------------------------------------------------
@@ -355,6 +368,7 @@ ORACLE = {
     "inventory_latest": sql("""select vendor_sku, sum(qty_available) as qty_available, sum(supplier_po_qty) as supplier_po_qty,
         max(inventory_snapshot_date) as inventory_snapshot_date, min(inventory_source_file) as inventory_source_file,
         min(p_name) as inventory_description from rows where inventory_snapshot_date = date '2026-07-15' and vendor_sku is not null group by 1""", **_EXPORT),
+    "export_csv": sql("""select vendor_sku, forecast_month, round(forecast_qty, 4) as forecast_qty, 'a, "' || vendor_sku || '"' as note from v_forecasts"""),
     "stream_ingest_acks": sql("""select po_number, vendor, count(*) as lines, sum(ordered_cases * pack_value) as ordered_qty,
         sum(confirmed_cases * pack_value) as confirmed_qty from doc_lines where po_number is not null group by 1, 2""", **_DOC),
 }

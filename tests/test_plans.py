@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 ARROW = {"match_fuzzy", "match_best", "match_similar"}
-EAGER = {"stream_ingest_acks", "forecast_read_files"}
+EAGER = {"stream_ingest_acks", "forecast_read_files", "export_csv"}
 
 
 @pytest.mark.parametrize("name", sorted({name for group in entry.LIBRARY for name in group.QUERIES} - EAGER))
