@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from fillwise.llm.common import forget, stored
 
-#: Links a task contracts at a time before they are shuffled.
+#: Links a task contracts at a time; once no more are left, one task ends the work.
 LOCAL_LINKS = 500_000
 
 
@@ -68,17 +68,21 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Nodes may be of any ordered type. Null ends, links of a node to itself and repeated links do not
     matter. Each task first contracts its own links; then large-star and small-star rounds go on
-    until nothing changes, about as often as the logarithm of the longest path. Every round is
-    stored in the shared folder; only a count and a checksum reach the driver.
+    until nothing changes, about as often as the logarithm of the longest path, or until no more than
+    LOCAL_LINKS are left, which one task contracts. Every round is stored in the shared folder; only a
+    count and a checksum reach the driver.
     """
     pairs = links.select("a", "b").filter("a is not null and b is not null and a != b")
     stars = stored(pairs.mapInArrow(_local_stars, pairs.schema).distinct(), "stars")
     seen = None
     while True:
-        state = stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(state) == seen or not state[0]:
+        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if state[0] <= LOCAL_LINKS:
+            stars = stored(stars.coalesce(1).mapInArrow(_local_stars, pairs.schema), "stars")
             break
-        seen = tuple(state)
+        if state == seen:
+            break
+        seen = state
         before, stars = stars, stored(_small_star(_large_star(stars)), "stars")
         forget(before)
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -13,82 +15,114 @@ from fillwise.llm.components import connected_components
 
 #: Members of a bucket whose signatures are compared at a time; larger buckets are compared block by block.
 BLOCK_ROWS = 1024
-#: Share of equal signature values from which on a pair is checked: so far below the similarity asked
-#: for that chance hides a link at most a few times in a million.
-LIKELY = 0.6
-#: Values whose prepared form a task keeps while it checks pairs.
-KEPT_VALUES = 2_000
+#: Signature values of a first look at a pair; a pair still likely is judged by all values.
+FIRST_LOOK = 64
+#: A pair is left unchecked if its share of equal values is so many standard deviations below the
+#: similarity asked: chance hides a pair at the threshold 3 times in a million.
+DEVIATIONS = 4.5
+#: Bytes of prepared values that a task keeps while it checks pairs.
+KEPT_BYTES = 64_000_000
+#: In the first comparison of a mixed bucket each member brings only so many of its likeliest pairs.
+FIRST_PAIRS = 4
 
 
 def crowded(keys: DataFrame) -> DataFrame:
-    """Rows (key, id, size) of buckets that hold at least two different ids, each once."""
+    """Rows (key, id and size, if there) of buckets that hold at least two different ids, each once."""
     bucket = Window.partitionBy("key")
     rows = keys.withColumns({"low": F.min("id").over(bucket), "high": F.max("id").over(bucket)})
-    return rows.filter("low != high").select("key", "id", "size").distinct()
+    return rows.filter("low != high").drop("low", "high").distinct()
 
 
-def _checked(pairs: DataFrame, values: DataFrame, prepare: Callable, alike: Callable) -> DataFrame:
-    """The pairs (a, b) for which alike(prepare(value of a), prepare(value of b))."""
+def _checked(pairs: DataFrame, values: DataFrame, prepare: Callable, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets, made by `prepare` of a list of values, have a Jaccard similarity of `percent` in a hundred."""
     first = values.select(F.col("id").alias("a"), F.col("value").alias("value_a"))
     second = values.select(F.col("id").alias("b"), F.col("value").alias("value_b"))
     both = pairs.join(second, "b").join(first, "a").select("a", "b", "value_a", "value_b")
 
     def check(batches):
-        known = {}
-
-        def prepared(key, value):
-            if key not in known:
-                if len(known) >= KEPT_VALUES:
-                    known.clear()
-                known[key] = prepare(value)
-            return known[key]
-
+        known: dict = {}
+        size = 0
         for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns])
-            found = [(a, b) for a, b, x, y in rows if alike(prepared(a, x), prepared(b, y))]
+            a, b, values_a, values_b = (c.to_pylist() for c in batch.columns)
+            new = {k: v for ids, values in ((a, values_a), (b, values_b)) for k, v in zip(ids, values) if k not in known}
+            if size > KEPT_BYTES:
+                known.clear()
+                size = 0
+                new = dict(zip((*a, *b), (*values_a, *values_b)))
+            for name, own in zip(new, prepare(list(new.values()))):
+                known[name] = own
+                size += own.nbytes
+            found = [(x, y) for x, y in zip(a, b) if alike(known[x], known[y], percent)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([p[i] for p in found], batch.schema.field(i).type) for i in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(check, pairs.select("a", "b").schema)
 
 
-def _likely(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components whose 16-bit signatures agree in LIKELY or more places.
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets of hashes have a Jaccard similarity of `percent` in a hundred or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    if not len(x) or 100 * len(x) < percent * len(y):
+        return False
+    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def least_share(percent: int, values: int) -> float:
+    asked = percent / 100
+    return asked - DEVIATIONS * math.sqrt(asked * (1 - asked) / values)
+
+
+def _likely(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components whose signatures make the similarity likely.
 
     `members` has (key, id, component, signature). A bucket is cut into blocks and each pair of blocks
-    compared on its own, so no bucket has to fit in one task; only likely pairs leave it.
+    compared on its own, so no bucket has to fit in one task; only likely pairs leave it, of each member
+    the `most` likeliest (None: all). Two members that share several buckets meet in the least key only.
     """
+    keys = members.groupBy("id").agg(F.collect_list("key").alias("keys"))  # at most one a band
+    members = members.join(keys, "id")
     place = Window.partitionBy("key").orderBy("component", "id")
     count = F.count("*").over(Window.partitionBy("key"))
     rows = members.withColumns({"block": F.floor((F.row_number().over(place) - 1) / BLOCK_ROWS), "blocks": F.ceil(count / BLOCK_ROWS)})
     turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(
         F.least("block", i).alias("low"), F.greatest("block", i).alias("high")))
     rows = rows.withColumn("turn", F.explode(turns)).select(
-        "key", F.col("turn.low").alias("low"), F.col("turn.high").alias("high"), "block", "id", "component", "signature")
+        "key", F.col("turn.low").alias("low"), F.col("turn.high").alias("high"), "block", "id", "component", "signature", "keys")
     group = ["key", "low", "high"]
     rows = rows.repartition(*group).sortWithinPartitions(*group)
 
     def compare(table: pa.Table) -> tuple[list, list]:
         ids, owner = table.column("id").to_pylist(), table.column("component").to_pylist()
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
+        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+        brief = np.ascontiguousarray(signs[:, :FIRST_LOOK])
+        least, least_brief = least_share(percent, signs.shape[1]), least_share(percent, brief.shape[1])
         block = table.column("block").to_numpy()
         across = table.column("low")[0] != table.column("high")[0]
+        key, keys = table.column("key")[0].as_py(), [set(k) for k in table.column("keys").to_pylist()]
         part = np.unique(np.array(owner, object), return_inverse=True)[1]
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            rest = slice(i + 1, None)
-            good = ((signs[rest] == signs[i]).mean(axis=1) >= LIKELY) & (part[rest] != part[i])
+        found = {}  # a pair that both members bring is given once
+        for i in range(len(ids)):
+            good = ((brief == brief[i]).mean(axis=1) >= least_brief) & (part != part[i])
             if across:
-                good &= block[rest] != block[i]
-            for j in np.flatnonzero(good).tolist():
-                x, y = ids[i], ids[i + 1 + j]
-                a.append(min(x, y))
-                b.append(max(x, y))
-        return a, b
+                good &= block != block[i]
+            if most is None:
+                good[: i + 1] = False  # each pair once
+            others = np.flatnonzero(good)
+            share = (signs[others] == signs[i]).mean(axis=1)
+            own = keys[i]
+            first = np.array([s >= least and min(own & keys[j]) == key for j, s in zip(others.tolist(), share.tolist())], bool)
+            others, share = others[first], share[first]
+            if most is not None and len(others) > most:
+                others = others[np.argsort(-share, kind="stable")[:most]]
+            for j in others.tolist():
+                found[min(ids[i], ids[j]), max(ids[i], ids[j])] = True
+        return [x for x, _ in found], [y for _, y in found]
 
     def run(batches):
         held = None
-        for batch in (*batches, None):
+        for batch in itertools.chain(batches, [None]):
             table = held if batch is None else pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             if table is None or not table.num_rows:
                 continue
@@ -109,41 +143,48 @@ def _likely(members: DataFrame) -> DataFrame:
 
 
 def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign: Callable, prepare: Callable,
-            alike: Callable, percent: int | None = None) -> DataFrame:
+            percent: int) -> DataFrame:
     """node and component of all ids that are linked to another.
 
-    `keys` has (key, id, size); ids that share a key are candidates if their sizes allow a similarity
-    of `percent` in a hundred (None: whatever their sizes). `values_of` gives (id, value) for a table
-    of ids; equal rows may repeat. `sign` makes signatures, 16 bits a number, of a list of values.
+    `keys` has (key, id) and may have the sets' `size`; ids that share a key are candidates, and linked
+    if their sets have a Jaccard similarity of `percent` in a hundred (sizes that rule it out save the
+    check). `prepare` makes the sets, as sorted hashes, of a list of values. `values_of` gives (id, value) for a table
+    of ids; equal rows may repeat. `sign` makes signatures, 8 bits a number, of a list of values.
 
     First each member of a bucket is checked against the least one: a bucket of copies of one text
     costs one check a member. In buckets whose members then still lie in different components, all
-    others are compared by signature, and likely pairs of different components are checked. So no
+    others are compared by signature, and likely pairs of different components are checked: first the
+    likeliest of each member, which joins what belongs together, then all that are left. So no
     group of all pairs is ever formed, and no link between components is left out for its bucket's size.
     """
     members = stored(crowded(keys), "crowded")
     values = stored(values_of(members.select("id").distinct()), "values")
-    centers = members.groupBy("key").agg(F.min(F.struct("id", "size")).alias("center"))
-    fits = F.lit(True) if percent is None else 100 * F.least("size", "center.size") >= percent * F.greatest("size", "center.size")
-    stars = members.join(centers, "key").filter((F.col("center.id") < F.col("id")) & fits)
-    stars = stored(stars.select(F.col("center.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(_checked(stars, values, prepare, alike), "links")
+    centers = members.groupBy("key").agg(F.min("id").alias("center"))
+    stars = members.join(centers, "key").filter(F.col("center") < F.col("id"))
+    if "size" in members.columns:
+        sizes = members.select(F.col("id").alias("center"), F.col("size").alias("center_size")).distinct()
+        stars = stars.join(sizes, "center").filter(100 * F.least("size", "center_size") >= percent * F.greatest("size", "center_size"))
+    stars = stored(stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    links = stored(_checked(stars, values, prepare, percent), "links")
     components = stored(connected_components(links), "components")
-
-    left = members.join(centers, "key").filter(F.col("id") != F.col("center.id")).select("key", "id")
-    left = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    tested = stars
+    left = members.join(centers, "key").filter(F.col("id") != F.col("center")).select("key", "id")
     bucket = Window.partitionBy("key")
-    left = left.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).filter("low != high")
-    left = stored(left.select("key", "id", "component"), "mixed")
 
     def signed(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array([s.tobytes() for s in sign(batch.column("value").to_pylist())], pa.binary())], names=["id", "signature"])
 
-    kind = left.schema["id"].dataType.simpleString()
-    signatures = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    signed = left.join(signatures.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary"), "id")
-    pairs = stored(_likely(signed).join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = stored(_checked(pairs, values, prepare, alike), "links")
-    return stored(connected_components(links.unionByName(more)), "components")
+    kind = members.schema["id"].dataType.simpleString()
+    for most in (FIRST_PAIRS, None):
+        left = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        left = left.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).filter("low != high")
+        left = stored(left.select("key", "id", "component"), "mixed")
+        signatures = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+        signatures = signatures.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary")
+        pairs = stored(_likely(left.join(signatures, "id"), percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = stored(links.unionByName(_checked(pairs, values, prepare, percent)), "links")
+        components = stored(connected_components(links), "components")
+        tested, left = tested.unionByName(pairs), left.select("key", "id")
+    return components

@@ -19,20 +19,22 @@ from fillwise.llm.linking import resolve
 
 #: 40 permutations give 80 values, 20 bands of 4: a pair at similarity 0.8 is missed 3 times in 100,000.
 PERMUTATIONS, BAND_ROWS = 40, 4
-CHUNK_BYTES = 2_000_000
+#: Permutations of the longer signature of documents in mixed buckets: its 1024 values tell the similarity to 0.0125.
+LONG_PERMUTATIONS = 512
+CHUNK_BYTES = 200_000
 SETS = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("id", T.BinaryType()),
     T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("text_hash", T.LongType()),
 ])
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
+def signatures(sets: list[np.ndarray], count: int = PERMUTATIONS) -> np.ndarray:
     """Least and greatest value of each nonempty set under each permutation, side by side."""
-    factors, offsets = permutations(PERMUTATIONS, np.uint64)
+    factors, offsets = permutations(count, np.uint64)
     flat = np.concatenate(sets)
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
-    values = np.empty((len(sets), 2 * PERMUTATIONS), np.uint64)
-    for i in range(PERMUTATIONS):
+    values = np.empty((len(sets), 2 * count), np.uint64)
+    for i in range(count):
         moved = flat * factors[i] + offsets[i]
         values[:, 2 * i] = np.minimum.reduceat(moved, first)
         values[:, 2 * i + 1] = np.maximum.reduceat(moved, first)
@@ -76,31 +78,21 @@ def numbered(docs: DataFrame) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64("text"))
 
 
-def short_signatures(width: int):
-    """16 bits of each signature value, of texts that have words."""
+def long_signatures(width: int):
+    """8 bits of each value of the longer signature, of texts that have words."""
 
     def sign(texts: list[str]) -> list[np.ndarray]:
-        sets = shingle_sets([t.encode().lower() for t in texts], width)
-        return list((signatures(sets) >> np.uint64(24)).astype(np.uint16)) if sets else []
+        out: list[np.ndarray] = []
+        for a, b in chunks_by_size([len(t) for t in texts], CHUNK_BYTES // 2):
+            sets = shingle_sets([t.encode().lower() for t in texts[a:b]], width)
+            out += list((signatures(sets, LONG_PERMUTATIONS) >> np.uint64(24)).astype(np.uint8))
+        return out
 
     return sign
 
 
-def prepared_set(width: int):
-    def prepare(text: str) -> frozenset:
-        words = (text or "").encode().lower().split()
-        k = min(width, len(words))
-        return frozenset(zip(*[words[i:] for i in range(k)])) if k else frozenset()
-
-    return prepare
-
-
-def alike(percent: int):
-    def same(x: frozenset, y: frozenset) -> bool:
-        common = len(x & y)
-        return common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-
-    return same
+def hashed_sets(width: int):
+    return lambda texts: shingle_sets([(t or "").encode().lower() for t in texts], width)
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -109,7 +101,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     A document's set are the distinct shingles of `width` words of its lower-cased (A-Z) text, or
     all its words as one. Documents are linked if their sets' Jaccard similarity is `percent` in a
     hundred or more; candidates come from min-max signatures, and every link is confirmed on the full
-    sets of words. component_id is the least doc_id reachable, itself included; kept says whether
+    sets, a shingle being its 64-bit hash. component_id is the least doc_id reachable, itself included; kept says whether
     that is the row's own. Null and blank texts have no set and are linked with nothing. Rows
     without doc_id are compared with nothing: component_id null, kept true. Rows that share a doc_id
     are judged each by its own text.
@@ -129,7 +121,7 @@ def _sets_and_components(docs: DataFrame, width: int, percent: int) -> tuple[Dat
         found = numbered(docs).join(chosen.hint("shuffle_hash"), ["doc_id", "text_hash"])
         return found.select("id", F.col("text").alias("value"))
 
-    return rows, resolve(keys, values_of, short_signatures(width), prepared_set(width), alike(percent), percent)
+    return rows, resolve(keys, values_of, long_signatures(width), hashed_sets(width), percent)
 
 
 def deduplicated(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
