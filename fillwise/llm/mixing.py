@@ -11,6 +11,7 @@ last five bytes only, so a chunk's texts are scored once per distinct run of six
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fillwise.llm.common import stored
+from fillwise.llm.common import stored, worker_state
 from fillwise.llm.hashing import mix
 
 #: Slots of the count tables of orders 1 to 5, as powers of two. They bound what is sent and kept anywhere.
@@ -27,7 +28,11 @@ ORDERS, END = len(SLOT_BITS), 0xFF
 #: Slots in a row of the tables' merge.
 SLOTS_A_ROW = 1 << 16
 CHUNK_BYTES = 2_000_000
+#: Distinct windows that one task counts into tables; each task sends tables of full size.
+COUNTED_TYPES = 1_000_000
 HELD_TYPES = 2_000_000
+#: Scored windows that a worker remembers.
+KEPT_WINDOWS = 4_000_000
 #: Gates: known orders (0 to 5) times the bit's place; buckets of the last stage's logits from -8 to 8.
 GATES, BUCKETS = (ORDERS + 1) * 8, 33
 LEAST = 1e-4
@@ -132,7 +137,7 @@ def count_tables(types: DataFrame) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([order]), pa.array([row]), pa.array([part.tobytes()], pa.binary())], names=["order", "row", "counts"])
 
     schema = "order long, row long, counts binary"
-    parts = types.mapInArrow(partial, schema).repartition("order", "row").mapInArrow(merge, schema)
+    parts = types.coalesce(max(1, math.ceil(types.count() / COUNTED_TYPES))).mapInArrow(partial, schema).repartition("order", "row").mapInArrow(merge, schema)
     tables = [np.zeros((2, 1 << b), np.int64) for b in SLOT_BITS]
     for r in parts.toLocalIterator():  # SLOT_BITS bound it
         tables[r["order"]][:, r["row"] * SLOTS_A_ROW : (r["row"] + 1) * SLOTS_A_ROW] = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
@@ -218,6 +223,30 @@ def window_scores(windows: np.ndarray, stretched: list[np.ndarray], weights: np.
     return total
 
 
+class Scorer:
+    """Scores of windows; those met before, in this or an earlier chunk of the worker, are looked up."""
+
+    def __init__(self, stretched: list[np.ndarray], weights: np.ndarray, last: np.ndarray):
+        self.model = (stretched, weights, last)
+        self.known, self.scores = np.empty(0, np.uint64), np.empty(0)
+
+    def __call__(self, windows: np.ndarray) -> np.ndarray:
+        own, where = np.unique(windows, return_inverse=True)
+        at = np.searchsorted(self.known, own)
+        met = at < len(self.known)
+        met[met] = self.known[at[met]] == own[met]
+        scores = np.empty(len(own))
+        scores[met] = self.scores[at[met]]
+        scores[~met] = window_scores(own[~met], *self.model)
+        if len(self.known) + int((~met).sum()) > KEPT_WINDOWS:
+            self.known, self.scores = own, scores
+        else:
+            known = np.concatenate([self.known, own[~met]])
+            order = np.argsort(known, kind="stable")  # two sorted runs
+            self.known, self.scores = known[order], np.concatenate([self.scores, scores[~met]])[order]
+        return scores[where]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word and n over all texts."""
 
@@ -263,24 +292,25 @@ def score_documents(docs: DataFrame, *, frequent_words: int = 200_000, mixer_doc
     below = math.log10(tokens + sums[1] + (n_train > 0) + 1)
     top = words.orderBy(F.desc("n"), "word").limit(frequent_words).toArrow()  # bounded by frequent_words
     frequent = {w: math.log10(n + 1) - below for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist())}
-    tables = count_tables(count_types(train))
+    tables = count_tables(stored(count_types(train), "types"))
     order = F.md5(F.concat(F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     candidates = train.filter(F.octet_length("text") <= mixer_bytes).withColumn("place", order)
     chosen = candidates.select("place").orderBy("place").limit(mixer_docs)
     sample = candidates.join(F.broadcast(chosen), "place", "left_semi").orderBy("place").limit(mixer_docs)
     texts = [r["text"].encode() for r in sample.select("text").collect()]  # at most mixer_docs * mixer_bytes
     weights, last = fit_mixer(tables, texts)
+    token = uuid.uuid4().hex  # names this model among those a worker may have met
     model = docs.sparkSession.sparkContext.broadcast(([logits(*t) for t in tables], weights, last, frequent))
 
     def run(batches):
-        stretched, weights, last, frequent = model.value
+        *mixer, frequent = model.value
+        scores = worker_state(("mixing", token), lambda: Scorer(*mixer))
         task, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             score = np.zeros(len(raw))
             for windows, starts, owner in pieces(raw):
-                own, where = np.unique(windows, return_inverse=True)
-                np.add.at(score, owner, np.add.reduceat(window_scores(own, stretched, weights, last)[where], starts))
+                np.add.at(score, owner, np.add.reduceat(scores(windows), starts))
             n, base, known, rare = [], [], [], []
             for text in raw:
                 words = text.translate(LOWER).split()
