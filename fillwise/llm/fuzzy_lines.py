@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fillwise.llm.common import WORD, chunks_by_size, let, stored
 from fillwise.llm.hashing import band_keys, mix, permutations
@@ -16,48 +16,57 @@ from fillwise.llm.linking import resolve
 WIDTH = 8
 #: 40 MinHash values in 10 bands of 4: a pair at similarity 0.8 is missed 5 times in 1,000, at 0.9 twice in 100,000.
 VALUES, BAND_ROWS = 40, 4
-CHUNK_CHARS = 500_000
-
-
-def signatures(lines: list[str]) -> np.ndarray:
-    """MinHash values of the character shingles of each nonempty line; a shorter line is one shingle."""
-    factors, offsets = permutations(VALUES, np.uint32)
-    sizes = np.array([len(x) for x in lines], np.int64)
-    out = np.empty((len(lines), VALUES), np.uint32)
-    short = np.flatnonzero(sizes < WIDTH)
-    if len(short):
-        own = np.array([int.from_bytes(hashlib.blake2b(lines[i].encode(), digest_size=4).digest(), "little") for i in short], np.uint32)
-        out[short] = own[:, None] * factors + offsets
-    long = np.flatnonzero(sizes >= WIDTH)
-    if len(long):
-        codes = np.frombuffer("".join([lines[i] for i in long]).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        base, rolled, step = 0x9E3779B97F4A7C15, codes, 1
-        while step < WIDTH:
-            rolled = rolled[:-step] + rolled[step:] * np.uint64(base)
-            base, step = base * base % 2**64, 2 * step
-        hashes = (mix(rolled) >> np.uint64(32)).astype(np.uint32)
-        first = np.concatenate([[0], np.cumsum(sizes[long])[:-1]])
-        # Windows of a line, then those that reach into the next one, which are thrown away.
-        edges = np.stack([first, first + sizes[long] - WIDTH + 1], axis=1).ravel()[:-1]
-        for i in range(VALUES):
-            out[long, i] = np.minimum.reduceat(hashes * factors[i] + offsets[i], edges)[::2]
-    return out
+#: Values of the longer signature of lines in mixed buckets.
+LONG_VALUES = 1024
+CHUNK_CHARS = 60_000
+HAS_WORD = re.compile(WORD).search
 
 
-def short_signatures(lines: list[str]) -> list[np.ndarray]:
-    return list((signatures(lines) >> np.uint32(4)).astype(np.uint16)) if lines else []
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all character shingles of the lines, and the first and the end of each line's own.
 
+    Between two lines lie hashes of shingles that reach over both; they belong to none. A line
+    shorter than a shingle is one shingle, filled up with a sign that no text holds.
+    """
+    sizes = np.array([max(len(x), WIDTH) for x in lines], np.int64)
+    filled = [x if len(x) >= WIDTH else x + "\U0010ffff" * (WIDTH - len(x)) for x in lines]
+    rolled = np.frombuffer("".join(filled).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    base, step = 0x9E3779B97F4A7C15, 1
+    while step < WIDTH:
+        rolled = rolled[:-step] + rolled[step:] * np.uint64(base)
+        base, step = base * base % 2**64, 2 * step
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return mix(rolled), first, first + sizes - WIDTH + 1
+
+
+def signatures(lines: list[str], count: int = VALUES) -> np.ndarray:
+    """MinHash values of the character shingles of each line."""
+    factors, offsets = permutations(count, np.uint32)
+    long, first, end = hashed(lines)
+    hashes = (long >> np.uint64(32)).astype(np.uint32)
+    edges = np.stack([first, end], axis=1).ravel()[:-1]
+    out, moved = np.empty((len(lines), count), np.uint32), np.empty_like(hashes)
+    for i in range(count):
+        np.multiply(hashes, factors[i], out=moved)
+        moved += offsets[i]
+        out[:, i] = np.minimum.reduceat(moved, edges)[::2]
+    return out
 
-def shingles(line: str) -> frozenset:
-    return frozenset(line[i : i + WIDTH] for i in range(max(1, len(line) - WIDTH + 1)))
 
+def long_signatures(lines: list[str]) -> list[np.ndarray]:
+    """8 bits of each value of the longer signature."""
+    out: list[np.ndarray] = []
+    for a, b in chunks_by_size([len(x) for x in lines], CHUNK_CHARS):
+        out += list((signatures(lines[a:b], LONG_VALUES) >> np.uint32(4)).astype(np.uint8))
+    return out
 
-def alike(percent: int):
-    def same(x: frozenset, y: frozenset) -> bool:
-        common = len(x & y)
-        return 100 * common >= percent * (len(x) + len(y) - common)
 
-    return same
+def shingles(lines: list[str]) -> list[np.ndarray]:
+    """Of each line its distinct shingles, as sorted hashes."""
+    if not lines:
+        return []
+    hashes, first, end = hashed(lines)
+    return [np.unique(hashes[a:b]) for a, b in zip(first.tolist(), end.tolist())]
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -66,24 +75,44 @@ def numbered(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """key, id and size (always 1) of the bands of all lines with a word; a task gives each line once."""
+def line_table(docs: DataFrame) -> DataFrame:
+    """doc, hash, the numbers (from 0) and ids of its lines with a word, and band keys with their ids.
+
+    An id is the line's 64-bit hash, as xxhash64() gives it. A task gives a line's keys once in a stretch.
+    """
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+
         given: set[int] = set()
         for batch in batches:
-            ids, lines = batch.column("id").to_pylist(), batch.column("line").to_pylist()
+            texts = [t.split("\n") for t in batch.column("text").to_pylist()]
             if len(given) > 1_000_000:
                 given.clear()
-            new = {i: x for i, x in zip(ids, lines) if i not in given}
-            given.update(new)
-            ids, lines = list(new), list(new.values())
-            for a, b in chunks_by_size([len(x) for x in lines], CHUNK_CHARS):
-                keys = band_keys(signatures(lines[a:b]), BAND_ROWS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.repeat(np.array(ids[a:b], np.int64), keys.shape[1]))], names=["key", "id"])
-
-    return lines_of(docs).select("id", "line").mapInArrow(run, "key long, id long").withColumn("size", F.lit(1))
+            numbers = [[i for i, x in enumerate(lines) if x and HAS_WORD(x)] for lines in texts]
+            ids, owner, new, lines_new = [], [], [], []
+            for row, (lines, own) in enumerate(zip(texts, numbers)):
+                names = [xxh64_intdigest(lines[i].encode(), 42) for i in own]
+                names = [x - 2**64 if x >= 2**63 else x for x in names]
+                ids.append(names)
+                for i, name in zip(own, names):
+                    if name not in given:
+                        given.add(name)
+                        owner.append(row)
+                        new.append(name)
+                        lines_new.append(lines[i])
+            keys = [band_keys(signatures(lines_new[a:b]), BAND_ROWS) for a, b in chunks_by_size([len(x) for x in lines_new], CHUNK_CHARS)]
+            keys = np.concatenate(keys) if keys else np.empty((0, VALUES // BAND_ROWS), np.int64)
+            ends = np.searchsorted(np.array(owner, np.int64), np.arange(len(texts) + 1)) * keys.shape[1]
+            offsets = pa.array(ends.astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc"), batch.column("hash"), pa.array(numbers, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int64())),
+                 pa.ListArray.from_arrays(offsets, pa.array(keys.ravel())),
+                 pa.ListArray.from_arrays(offsets, pa.array(np.repeat(np.array(new, np.int64), keys.shape[1])))],
+                names=["doc", "hash", "numbers", "ids", "keys", "key_ids"])
+
+    schema = "doc long, hash long, numbers array<int>, ids array<long>, keys array<long>, key_ids array<long>"
+    return numbered(docs).mapInArrow(run, schema)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -97,14 +126,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Lines are linked if the Jaccard similarity of their distinct character shingles is `percent` in
     a hundred or more. Of each connected group the line with the least (doc_id, text hash, number)
-    stays. Equal lines are one node, named by a 64-bit hash.
+    stays. Equal lines are one node, named by a 64-bit hash; shingles are compared by 64-bit hashes.
     """
-    places = stored(lines_of(docs).select("doc", "hash", "number", "id"), "lines")
+    lines = stored(line_table(docs), "lines")
+    places = lines.select("doc", "hash", F.inline(F.arrays_zip(F.col("numbers").alias("number"), F.col("ids").alias("id"))))
+    keys = lines.select(F.inline(F.arrays_zip(F.col("keys").alias("key"), F.col("key_ids").alias("id"))))
 
     def values_of(ids: DataFrame) -> DataFrame:
         return lines_of(docs).select("id", F.col("line").alias("value")).join(ids.hint("shuffle_hash"), "id", "left_semi").transform(_once)
 
-    components = resolve(line_keys(docs), values_of, short_signatures, shingles, alike(percent))
+    components = resolve(keys, values_of, long_signatures, shingles, percent)
     nodes = places.groupBy("id").agg(F.count("*").alias("n"), F.min(F.struct("doc", "hash", "number")).alias("first"))
     nodes = nodes.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = nodes.groupBy("component").agg(F.sum("n").alias("n"), F.min("first").alias("first")).filter("n > 1")
