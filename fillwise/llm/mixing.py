@@ -32,7 +32,7 @@ CHUNK_BYTES = 2_000_000
 COUNTED_TYPES = 1_000_000
 HELD_TYPES = 2_000_000
 #: Scored windows that a worker remembers.
-KEPT_WINDOWS = 4_000_000
+KEPT_WINDOWS = 2_000_000
 #: Gates: known orders (0 to 5) times the bit's place; buckets of the last stage's logits from -8 to 8.
 GATES, BUCKETS = (ORDERS + 1) * 8, 33
 LEAST = 1e-4
@@ -279,7 +279,7 @@ def score_documents(docs: DataFrame, *, frequent_words: int = 200_000, mixer_doc
     mixing model's log10 probability of the text's bytes and end, bits_per_byte its cost a byte.
 
     Only the mixer's few weights are learned from a bounded sample: the `mixer_docs` training documents
-    of lowest MD5 of text and id among those of at most `mixer_bytes`. The `frequent_words` most frequent words are looked up in the tasks that
+    of lowest MD5 of text and id among those of at most `mixer_bytes`. Up to `frequent_words` of the most frequent words are looked up in the tasks that
     score; the others are joined by word, exactly. Null and empty texts have the end only. Rows
     without doc_id train. No training rows: every base probability is 1 and every bit's is one half.
     """
@@ -290,7 +290,14 @@ def score_documents(docs: DataFrame, *, frequent_words: int = 200_000, mixer_doc
     sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens = sums[0] + n_train
     below = math.log10(tokens + sums[1] + (n_train > 0) + 1)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent_words).toArrow()  # bounded by frequent_words
+    size = F.floor(F.log2("n") * 8)  # an eighth of a doubling: a few hundred sizes
+    sizes, room, least_size = words.groupBy(size.alias("size")).count().collect(), frequent_words, 1 << 30
+    for row in sorted(sizes, key=lambda r: -r["size"]):
+        room -= row["count"]
+        if room < 0:
+            break
+        least_size = row["size"]
+    top = words.filter(size >= least_size).toArrow()  # bounded by frequent_words
     frequent = {w: math.log10(n + 1) - below for w, n in zip(top.column("word").to_pylist(), top.column("n").to_pylist())}
     tables = count_tables(stored(count_types(train), "types"))
     order = F.md5(F.concat(F.md5("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
