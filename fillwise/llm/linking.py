@@ -177,12 +177,14 @@ def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign:
                 [batch.column("id"), pa.array([s.tobytes() for s in sign(batch.column("value").to_pylist())], pa.binary())], names=["id", "signature"])
 
     kind = members.schema["id"].dataType.simpleString()
+    signatures = None
     for most in (FIRST_PAIRS, None):
         left = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         left = left.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).filter("low != high")
         left = stored(left.select("key", "id", "component"), "mixed")
-        signatures = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-        signatures = signatures.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary")
+        if signatures is None:  # the second comparison is among members of the first
+            own = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+            signatures = stored(own.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary"), "signed")
         pairs = stored(_likely(left.join(signatures, "id"), percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
         links = stored(links.unionByName(_checked(pairs, values, prepare, percent)), "links")
         components = stored(connected_components(links), "components")
