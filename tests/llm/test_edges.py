@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from fillwise.llm import bpe, bwt, components, forest, fuzzy_lines, hashing, minmax, mixing, packing, pretokens, quality, secrets, token_counts
+from fillwise.llm import bpe, bwt, common, components, forest, fuzzy_lines, hashing, minmax, mixing, packing, pretokens, quality, secrets, token_counts
 from fillwise.llm.common import scratch
 from tests.llm import brute
 
@@ -330,3 +330,36 @@ def test_best_fit():
         own = sorted((places[i], sizes[i]) for i in np.flatnonzero(bins == b))
         assert [p for p, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))] and sum(n for _, n in own) == fills[b] <= 100
     assert packing.cut_pieces(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and packing.cut_pieces(4096, 2048) == [(0, 2048), (2048, 2048)]
+
+
+def _counted(spark, texts, buckets=7):
+    rows = spark.createDataFrame([(i, t, i % 5 == 2) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").repartition(3)
+    return common.stored(mixing.count_types(common.stored(mixing.chunked(rows, buckets), "chunks")), "types")
+
+
+def test_mixing_counts_every_context_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(mixing, "SLICE_TYPES", 500)
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcé \n"), int(rng.integers(0, 400)))) for _ in range(60)]
+    types = _counted(spark, texts)
+    want = {k: {} for k in range(1, 6)}  # by order: times of each context followed by a byte's first bits
+    for i, t in enumerate(texts):
+        whole = bytes(5) + t.encode() + b"\xff"
+        for p in range(5, len(whole)):
+            for k in want:
+                for bits in range(9):
+                    node = (whole[p - k : p], bits, whole[p] >> 8 - bits)
+                    want[k][node] = want[k].get(node, 0) + (i % 5 != 2)
+    low = mixing.low_orders(*mixing.count_grams(types))
+    seen = set()
+    for r in types.collect():
+        keys, n = mixing.unpacked(r["keys"], mixing.KEY), mixing.unpacked(r["n"], mixing.MANY)
+        for a, b in mixing.slices(keys):
+            counts = mixing.path_counts(keys[a:b], n[a:b], low)
+            for j, key in enumerate(keys[a:b].tolist()):
+                x3, x2, x1, x5, x4, byte = key.to_bytes(6, "big")
+                context = bytes([x5, x4, x3, x2, x1])
+                seen.add((context, byte))
+                assert all(counts[k - 1, bits, j] == want[k][context[5 - k :], bits, byte >> 8 - bits] for k in want for bits in range(9))
+    assert seen == {(c, x) for c, bits, x in want[5] if bits == 8}
