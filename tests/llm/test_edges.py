@@ -363,3 +363,14 @@ def test_mixing_counts_every_context_apart(spark, monkeypatch):
                 seen.add((context, byte))
                 assert all(counts[k - 1, bits, j] == want[k][context[5 - k :], bits, byte >> 8 - bits] for k in want for bits in range(9))
     assert seen == {(c, x) for c, bits, x in want[5] if bits == 8}
+
+
+def test_mixer_learns_from_long_documents(spark):
+    rng = np.random.default_rng(4)
+    words = ["red", "green", "blue", "house", "tree", "river"]
+    texts = [" ".join(rng.choice(words, 6000)) for _ in range(4)]
+    assert min(map(len, texts)) > 20_000
+    types = _counted(spark, texts)
+    grams = mixing.count_grams(types)
+    weights, last = mixing.fit_mixer(types, lambda: mixing.low_orders(*grams))
+    assert not np.allclose(weights, mixing.initial()[0]) and not np.allclose(last, mixing.initial()[1])
