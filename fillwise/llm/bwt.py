@@ -23,7 +23,7 @@ from fillwise.llm.hashing import mix
 #: Bytes of a repeated string, of an anchor and of a block; blocks divide the length.
 LENGTH, ANCHOR, BLOCK = 200, 64, 40
 CHUNK_BYTES = 100_000
-#: Bytes of pieces merged at a time, unless one anchor has more; shards whose transforms are merged.
+#: Bytes of pieces merged at a time; shards whose transforms are merged. Anchors with more are split by content first.
 MERGED_BYTES, SHARDS = 1_000_000, 4
 BASE = 0x9E3779B97F4A7C15
 
@@ -227,8 +227,75 @@ def _signed(columns: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     return *columns[:3], columns[3].view(np.int64)
 
 
+def anchor_place(piece: bytes) -> int:
+    """Where the anchor of a piece's windows begins."""
+    return int(np.argmin(rolled(np.frombuffer(piece[:LENGTH], np.uint8), ANCHOR) >> np.uint64(32)))
+
+
+def halved(rows: DataFrame) -> DataFrame:
+    """Pieces (anchor, low, high, at, begin, n, piece_id, piece) cut in two, their groups named anew, and part_id.
+
+    Equal windows lie equally far around their anchor. Of windows that begin `low` to `high` bytes before
+    it, all have the `low` bytes before and LENGTH - ANCHOR - `high` bytes after it: those name the group.
+    """
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[], [], [], [], [], [], [], [], []]
+            for row in batch.to_pylist():
+                piece, low, high = row["piece"], row["low"], row["high"]
+                at = anchor_place(piece) if row["at"] is None else row["at"]
+                middle, last = (low + high) // 2, len(piece) - LENGTH
+                for a, b in ((low, middle), (middle + 1, high)):
+                    i, j = max(0, at - b), min(last, at - a)
+                    if a > b or i > j:
+                        continue
+                    part, own = piece[i : j + LENGTH], at - i
+                    shared = part[own - a : own + LENGTH - b]
+                    group = hashlib.blake2b(b"%d %d " % (a, b) + shared, digest_size=8).digest()
+                    name = hashlib.blake2b(part, digest_size=16).digest()
+                    for column, value in zip(out, (int.from_bytes(group, "big", signed=True), a, b, own, row["begin"] + i, row["n"], row["piece_id"], part, name)):
+                        column.append(value)
+            kinds = (pa.int64(), *[pa.int32()] * 3, *[pa.int64()] * 2, *[pa.binary()] * 3)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, k) for x, k in zip(out, kinds)], names=["anchor", "low", "high", "at", "begin", "n", "piece_id", "piece", "part_id"])
+
+    return rows.mapInArrow(run, "anchor long, low int, high int, at int, begin long, n long, piece_id binary, piece binary, part_id binary")
+
+
 def merged_pieces(pieces: DataFrame) -> DataFrame:
-    """piece_id and the runs of repeated windows of distinct pieces (anchor, piece_id, n, piece) that have any."""
+    """piece_id and runs of repeated windows of distinct pieces (anchor, piece_id, n, piece) that have any.
+
+    Pieces of an anchor with more than MERGED_BYTES are halved, group by group, until a group is small or
+    has equal parts only (at the latest when each part is one window). A piece's runs may come in several rows.
+    """
+    size = F.sum(F.length("piece"))
+    hot = stored(pieces.groupBy("anchor").agg(size.alias("size")).filter(F.col("size") > MERGED_BYTES).select("anchor"), "hot")
+    if hot.isEmpty():
+        return _merged_groups(pieces)
+    found = _merged_groups(pieces.join(F.broadcast(hot), "anchor", "left_anti"))  # hot: one row for MERGED_BYTES at most
+    rows = pieces.join(F.broadcast(hot), "anchor", "left_semi").select(
+        "anchor", F.lit(0).alias("low"), F.lit(LENGTH - ANCHOR).alias("high"), F.lit(None).cast("int").alias("at"),
+        F.lit(0).cast("long").alias("begin"), "n", "piece_id", "piece")
+    while not rows.isEmpty():
+        rows = stored(halved(rows), "halves")
+        kinds = stored(rows.groupBy("anchor", "part_id").agg(F.sum("n").alias("n"), F.first("piece").alias("piece")), "kinds")
+        groups = stored(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), size.alias("size")), "groups")
+        hot = groups.filter((F.col("kinds") > 1) & (F.col("size") > MERGED_BYTES)).select("anchor")
+        small = groups.filter((F.col("kinds") > 1) & (F.col("size") <= MERGED_BYTES)).select("anchor")
+        several = kinds.withColumnRenamed("part_id", "piece_id").join(small, "anchor", "left_semi")
+        equal = kinds.filter("n > 1").join(groups.filter("kinds = 1").select("anchor"), "anchor", "left_semi")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("begin"), (F.length("piece") - LENGTH + 1).cast("long").alias("end")))
+        spans = _merged_groups(several.select("anchor", "piece_id", "n", "piece")).unionByName(equal.select(F.col("part_id").alias("piece_id"), whole.alias("spans")))
+        met = rows.select("part_id", "piece_id", F.col("begin").alias("moved")).join(spans.withColumnRenamed("piece_id", "part_id"), "part_id")
+        found = found.unionByName(met.select("piece_id", F.transform("spans", lambda x: F.struct(
+            (x["begin"] + F.col("moved")).alias("begin"), (x["end"] + F.col("moved")).alias("end"))).alias("spans")))
+        rows = rows.join(F.broadcast(hot), "anchor", "left_semi").drop("part_id")
+    return found
+
+
+def _merged_groups(pieces: DataFrame) -> DataFrame:
+    """merged_pieces() of anchors none of which has much more than MERGED_BYTES."""
 
     def run(batches):
         anchors, ids, counts, raw = [], [], [], []

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fillwise.llm import bpe, bwt, common, components, forest, fuzzy_lines, hashing, minmax, mixing, packing, pretokens, quality, secrets, token_counts
@@ -374,3 +375,22 @@ def test_mixer_learns_from_long_documents(spark):
     grams = mixing.count_grams(types)
     weights, last = mixing.fit_mixer(types, lambda: mixing.low_orders(*grams))
     assert not np.allclose(weights, mixing.initial()[0]) and not np.allclose(last, mixing.initial()[1])
+
+
+def test_hot_anchor_is_split_and_no_merge_is_large(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    word = lambda n: bytes(rng.integers(97, 101, n).astype(np.uint8)).decode()
+    passage, lead = word(260), word(90)
+    texts = [word(150) + passage + word(150) for _ in range(60)] + [word(20) + lead + passage[:180] + word(60) for _ in range(40)] + [word(300)] * 2
+    monkeypatch.setattr(bwt, "MERGED_BYTES", 4000)
+    sizes, merge = [], bwt._merged_groups
+
+    def watched(pieces):
+        sizes.extend(r[1] for r in pieces.groupBy("anchor").agg(F.sum(F.length("piece"))).collect())
+        return merge(pieces)
+
+    monkeypatch.setattr(bwt, "_merged_groups", watched)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.left)) for r in bwt.without_repeats(docs).collect()}
+    assert got == brute.without_repeated_strings(list(enumerate(texts)))
+    assert len(sizes) > 1 and max(sizes) <= 4000
