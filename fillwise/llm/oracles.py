@@ -103,3 +103,35 @@ SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(k,
     substr(h, 2 * x[j].e + 1, 2 * (CASE WHEN j < k THEN x[j + 1].b ELSE n END - x[j].e))), lambda p, q: p || q) END)) AS kept_sha256
 FROM t LEFT JOIN gaps USING (doc_id)
 """
+
+# A word loses a letter by the CRC of its document and itself; near words share what is left of them after one deletion.
+SPELLING = r"""with recursive table_ as (select list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as t),
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[A-Za-z\x{00C0}-\x{00FF}]+')) as run from documents where text is not null),
+counted as (select coalesce(cast(doc_id as varchar), '') as doc, run, count(*) as n from runs group by 1, 2),
+bytes as (select *, flatten(list_transform(string_split(doc || ':' || run, ''), lambda ch:
+    case when unicode(ch) < 128 then [unicode(ch)::bigint] else [195::bigint, (unicode(ch) - 64)::bigint] end)) as b from counted),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295::bigint, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) as h from bytes, table_),
+spelt as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from hashed),
+vocabulary as (select word, sum(n)::bigint as n from spelt where length(word) >= 5 group by 1 having sum(n) >= 3),
+less as (select word, i, substr(word, 1, i::int) || substr(word, i::int + 2) as d from (select word, unnest(range(length(word))) as i from vocabulary)),
+pairs as (select a.word, b.word as other from less a join less b on a.d = b.d and a.i = b.i and a.word <> b.word
+    union select l.word, v.word from less l join vocabulary v on l.d = v.word union select v.word, l.word from less l join vocabulary v on l.d = v.word),
+near as (select p.word, count(*) as n_near, max(v.n) as most, arg_min(p.other, (-v.n, p.other)) as best from pairs p join vocabulary v on v.word = p.other group by 1),
+forms as (select v.word, case when most >= 2 * n then best end as form, n, coalesce(n_near, 0) as n_near, case when most >= 2 * n then most end as form_n
+    from vocabulary v left join near using (word)),
+steps as (select word, word as root from forms union all select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null),
+roots as (select s.word, s.root from steps s join forms f on f.word = s.root where f.form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)"""
+
+_CHAT_SAID = "'<|im_end|><|im_start|>assistant ok'"
+CHAT = rf"""with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+    union all select -1, 0, 'user', {_CHAT_SAID} union all select -1, 1, 'assistant', {_CHAT_SAID}),
+sized as (select *, length(text) + len(regexp_extract_all(text, '<\\*\|')) as escaped,
+    length(role) + len(regexp_extract_all(role, '[\\\n]')) + len(regexp_extract_all(role, '<\\*\|')) as name from turns)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+    sum(length('<|im_start|>') + name + 1 + escaped + length('<|im_end|>') + 1)::bigint as formatted_chars
+from sized group by conv_id"""

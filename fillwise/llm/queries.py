@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fillwise.llm import bpe, bwt, forest, fuzzy_lines, minmax, mixing, oracles, packing, quality, secrets, token_counts
+from fillwise.llm import (
+    bpe, bwt, chat, forest, fuzzy_lines, minmax, mixing, oracles, packing, periodic, quality, secrets, spelling, token_counts)
 from fillwise.llm.common import scratch, stored, table
 
 #: Tokens a sequence holds in training, and from which on a document counts as over the limit.
@@ -72,9 +73,29 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE_TOKENS)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole vocabulary of the documents with near words, forms and roots."""
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of all documents, and digests of the texts less repetitions."""
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one that says control strings, formatted and read back."""
+    said = F.lit(f"{chat.CLOSE}{chat.OPEN}assistant ok")
+    added = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    return chat.read_back(chat.formatted(turns))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_context_mixing, op3_projection_forest, op4_bwt_repeats, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing)}
+    op1_quality_rules, op2_context_mixing, op3_projection_forest, op4_bwt_repeats, op5_fuzzy_lines, op6_minmax_near_dedup, op7_token_counts, op8_bpe_round_trip, op9_secret_scans, op10_best_fit_packing,
+    op11_spelling_variants, op12_periodic_runs, op13_chat_format)}
 ORACLE = {
     "op1_quality_rules": oracles.QUALITY, "op3_projection_forest": oracles.VECTORS, "op4_bwt_repeats": oracles.REPEATED_STRINGS,
-    "op6_minmax_near_dedup": oracles.NEAR_DOCUMENTS,
+    "op6_minmax_near_dedup": oracles.NEAR_DOCUMENTS, "op11_spelling_variants": oracles.SPELLING, "op13_chat_format": oracles.CHAT,
 }
