@@ -9,17 +9,28 @@ from fillwise.llm.common import WORD, stored, table
 from fillwise.llm.queries import SEQUENCE_TOKENS, tokenizer_path
 
 
+def _own_columns_aside(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The documents with columns that an operator also makes under private names; `_restored` undoes it."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in names if c in docs.columns})
+
+
+def _restored(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the documents, as they were."""
+    return rows.select(*[F.col(f"__own_{c}").alias(c) if f"__own_{c}" in rows.columns else F.col(c) for c in columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base and the cutoffs certified on the labels of `sf_dir`."""
     cutoffs = stored(quality.certified_cutoffs(docs, table(spark, sf_dir, "labels")), "cutoffs")
-    return quality.rated(docs, cutoffs).filter("kept").select(*docs.columns)
+    rows = quality.rated(_own_columns_aside(docs, ("counts", "base_failed", "kept")), cutoffs).filter("kept")
+    return _restored(rows, docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that repeat another; those that lose every line with a word go."""
-    left = fuzzy_lines.without_repeated_lines(docs)
+    left = fuzzy_lines.without_repeated_lines(_own_columns_aside(docs, ("n_removed",)))
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)
-    return left.filter(~emptied).select(*docs.columns)
+    return _restored(left.filter(~emptied), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
