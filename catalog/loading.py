@@ -9,6 +9,7 @@ from fillwise.functions.months import fiscal_month, month_label
 from fillwise.session import shared_folder
 from fillwise.sources import acks as ack_source, forecasts as sheets, inventory as stock, sinks
 from fillwise.streaming import ingest
+from fillwise.streaming.forecast_table import ForecastTable
 
 from .views import forecasts, rounded, snapshots, sql, table
 
@@ -177,6 +178,74 @@ def _read_sheets(spark, d):
     return rounded(read.select(sheet.alias("sheet"), "vendor_sku", "description", "forecast_month", "forecast_qty"), forecast_qty=4)
 
 
+#: Descriptions with quotes of all kinds, by product: as written in a sheet, and as text.
+_QUOTED = (
+    ("'Item ' || vendor_sku || '\" steel'", "'Item ' || vendor_sku || '\" steel'"),
+    ("'\"Item \"\"' || vendor_sku || '\"\", boxed\"'", "'Item \"' || vendor_sku || '\", boxed'"),
+    ("'\"Item' || chr(10) || vendor_sku || ',' || chr(10) || '\"\"x\"\"\"'", "'Item' || chr(10) || vendor_sku || ',' || chr(10) || '\"x\"'"),
+    ("'pipe ' || vendor_sku || '\"\" wide \"'", "'pipe ' || vendor_sku || '\"\" wide \"'"),
+    ("'\"Item\" no \"' || vendor_sku", "'Item no \"' || vendor_sku"),
+)
+
+
+def _read_quoted(spark, d):
+    """Sheets whose descriptions hold inch marks, quoted commas and line breaks, read by the file reader at two split sizes."""
+    lines = _sheet_lines(spark, d).withColumn("vendor_sku", F.regexp_extract("line", r"^(\d+),", 1))
+    kind = F.col("vendor_sku").cast("bigint") % len(_QUOTED)
+    written = F.coalesce(*[F.when(kind == i, F.expr(cell)) for i, (cell, _) in enumerate(_QUOTED)])
+    months = F.regexp_extract("line", r'^\d+,"(?:[^"]|"")*"(.*)$', 1)
+    lines = lines.withColumn("line", F.when(F.col("seq").between(100, 1 << 39), F.concat("vendor_sku", F.lit(","), written, months)).otherwise(F.col("line")))
+    folder = scratch(spark, "quoted")
+    _write_sheets(lines.drop("vendor_sku"), folder)
+    before, results = spark.conf.get("spark.sql.files.maxPartitionBytes"), []
+    try:
+        for split in ("100k", "64m"):  # planned and stored here, as the setting holds while files are cut
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            read = sheets.parse_sheets(sheets.read_sheet_lines(spark, folder))
+            sheet = F.regexp_extract("source_file", r"sheet=([^/]*)/", 1)
+            target = scratch(spark, "quoted-rows")
+            rounded(read.select(F.lit(split).alias("split"), sheet.alias("sheet"), "vendor_sku", "description", "forecast_month", "forecast_qty"),
+                    forecast_qty=4).write.parquet(target)
+            results.append(target)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return spark.read.parquet(*results)
+
+
+def _place_sheets(spark, lines, folder):
+    """The sheets as files of their own names, in one folder; a file that is there is replaced."""
+    written = scratch(spark, "written")
+    _write_sheets(lines, written)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(written)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(hadoop.Path(folder))
+    for sheet in store.listStatus(root):  # one folder a sheet
+        name = sheet.getPath().getName()
+        if name.startswith("sheet="):
+            target = hadoop.Path(f"{folder}/{name[len('sheet='):]}.csv")
+            store.delete(target, False)
+            (part,) = [f.getPath() for f in store.listStatus(sheet.getPath()) if f.getPath().getName().startswith("part-")]
+            store.rename(part, target)
+
+
+def _streamed_forecasts(spark, d):
+    """Later sheets streamed first, older ones after them, then one sheet rewritten without every second of its products."""
+    root, lines = scratch(spark, "plans"), _sheet_lines(spark, d)
+    later = F.col("source_file").endswith(" 2001-09-01.csv")
+    run = lambda: ingest.ingest_forecasts(spark, f"{root}/in", f"{root}/table", f"{root}/checkpoint").awaitTermination()
+    for some in (later, ~later):
+        _place_sheets(spark, lines.filter(some), f"{root}/in")
+        run()
+    rewritten = lines.filter(F.col("source_file") == "plans/group 0 2001-09-01.csv")
+    product = F.regexp_extract("line", r"^(\d+),", 1).try_cast("bigint")
+    _place_sheets(spark, rewritten.filter(F.coalesce(F.floor(product / 6) % 2 == 0, F.lit(True))), f"{root}/in")
+    forecasts_table = ForecastTable(spark, f"{root}/table")
+    forecasts_table.load(f"{root}/in")
+    return rounded(forecasts_table.current().select(
+        "vendor_sku", "forecast_month", F.col("snapshot_at").cast("date").alias("snapshot_at"), "forecast_qty"), forecast_qty=4)
+
+
 def _exported(spark, d):
     """A result written as CSV with a header, and read back."""
     folder = scratch(spark, "export")
@@ -284,6 +353,7 @@ QUERIES = {
     "ack_flat_variants": _flat,
     "forecast_sheet_long": _sheet_facts,
     "forecast_read_files": _read_sheets,
+    "forecast_read_quotes": _read_quoted,
     "forecast_header_row": _header_rows,
     "forecast_drop_totals": _sheet_totals,
     "fiscal_month": _fiscal,
@@ -295,6 +365,7 @@ QUERIES = {
     "inventory_clean": _inventory_clean,
     "inventory_latest": lambda s, d: stock.latest_snapshot(stock.clean_rows(_export(s, d))),
     "stream_ingest_acks": _streamed,
+    "stream_ingest_forecasts": _streamed_forecasts,
     "export_csv": _exported,
 }
 
@@ -344,6 +415,9 @@ ORACLE = {
     "forecast_read_files": sql("""select source_file[7:-5] as sheet, vendor_sku, case when (cast(vendor_sku as bigint) + 100) % 7 = 0
         then replace(description, ', boxed', ',' || chr(10) || ' boxed') else description end as description, forecast_month, round(q, 4) as forecast_qty
         from facts""", **_SHEET),
+    "forecast_read_quotes": sql(f"""select split, source_file[7:-5] as sheet, vendor_sku,
+        case cast(vendor_sku as bigint) % {len(_QUOTED)} {' '.join(f'when {i} then {text}' for i, (_, text) in enumerate(_QUOTED))} end as description,
+        forecast_month, round(q, 4) as forecast_qty from facts, (values ('100k'), ('64m')) x(split)""", **_SHEET),
     "forecast_header_row": sql("""select source_file, cast(cast(source_file[13:13] as int) // 2 + 2 as int) as header_row,
         cast(count(distinct forecast_month) as int) as month_columns, true as has_totals, min(forecast_month) as first_month
         from grid group by source_file""", **_SHEET),
@@ -368,6 +442,8 @@ ORACLE = {
     "inventory_latest": sql("""select vendor_sku, sum(qty_available) as qty_available, sum(supplier_po_qty) as supplier_po_qty,
         max(inventory_snapshot_date) as inventory_snapshot_date, min(inventory_source_file) as inventory_source_file,
         min(p_name) as inventory_description from rows where inventory_snapshot_date = date '2026-07-15' and vendor_sku is not null group by 1""", **_EXPORT),
+    "stream_ingest_forecasts": sql("""select vendor_sku, forecast_month, max(snapshot_at) as snapshot_at, round(max_by(q, snapshot_at), 4) as forecast_qty
+        from facts where snapshot_at <> date '2001-09-01' or cast(vendor_sku as bigint) % 6 <> 0 or cast(vendor_sku as bigint) // 6 % 2 = 0 group by 1, 2""", **_SHEET),
     "export_csv": sql("""select vendor_sku, forecast_month, round(forecast_qty, 4) as forecast_qty, 'a, "' || vendor_sku || '"' as note from v_forecasts"""),
     "stream_ingest_acks": sql("""select po_number, vendor, count(*) as lines, sum(ordered_cases * pack_value) as ordered_qty,
         sum(confirmed_cases * pack_value) as confirmed_qty from doc_lines where po_number is not null group by 1, 2""", **_DOC),

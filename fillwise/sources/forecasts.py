@@ -33,10 +33,13 @@ TOTALS_LAYOUT_COLUMN = "ulta item description"
 LONG_MONTH_COLUMNS, LONG_QTY_COLUMNS = ["forecast month", "month"], ["forecast qty", "forecast quantity", "qty", "quantity"]
 
 
-def _text_source(reader, *paths: str) -> DataFrame:
+def _text_source(reader, *paths: str, only: list[str] | None = None) -> DataFrame:
     reader = reader.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-    return (reader.load(paths[0]) if len(paths) == 1 else reader.load(list(paths))).select(
-        F.url_decode("_metadata.file_path").alias("source_file"),
+    lines = reader.load(paths[0]) if len(paths) == 1 else reader.load(list(paths))
+    if only is not None:  # files are chosen before any is opened
+        lines = lines.filter(F.col("_metadata.file_path").isin(only))
+    return lines.select(
+        F.url_decode("_metadata.file_path").alias("source_file"), F.col("_metadata.file_size").alias("size"),
         F.col("_metadata.file_modification_time").alias("modified_at"),
         F.col("_metadata.file_block_start").alias("block"),
         F.col("value").alias("line"))
@@ -48,9 +51,9 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
-def read_sheet_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file."""
-    return with_place(_text_source(spark.read, *paths))
+def read_sheet_lines(spark: SparkSession, *paths: str, only: list[str] | None = None) -> DataFrame:
+    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file. `only` names files (encoded paths)."""
+    return with_place(_text_source(spark.read, *paths, only=only)).drop("size")
 
 
 def stream_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -65,59 +68,116 @@ def snapshot_time(file_name: Column, modified_at: Column) -> Column:
 
 
 def split_cells(line: Column) -> Column:
-    """Cells of one CSV line; quotes may enclose commas, a doubled quote stands for one."""
+    """Cells of one CSV record. A quote that begins a cell may enclose commas and line breaks, a doubled one inside stands for one;
+    any other quote, and one that nothing closes, is a character like others."""
     cells = F.regexp_extract_all(  # possessive, so a line costs linear time
         F.concat(F.lit(","), F.regexp_replace(line, r"[\r\x{FEFF}]", "")),
-        F.lit(r',(?:\s*"[^"]*+(?:""[^"]*+)*+"\s*|[^,]*)'), F.lit(0))
+        F.lit(r',(?:"[^"]*+(?:""[^"]*+)*+"[^,]*|[^,]*)'), F.lit(0))
     return F.transform(cells, _unquote)
 
 
 def _unquote(cell: Column) -> Column:
-    text = F.trim(F.substring(cell, 2, 1 << 30))
-    quoted = (F.length(text) >= 2) & text.startswith('"') & text.endswith('"')
-    return F.when(quoted, F.replace(F.regexp_extract(text, '(?s)^"(.*)"$', 1), F.lit('""'), F.lit('"'))).otherwise(text)
+    text = F.substring(cell, 2, 1 << 30)
+    parts = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"(.*)$'
+    inside = F.regexp_extract(text, parts, 1)
+    quoted = F.concat(F.replace(inside, F.lit('""'), F.lit('"')), F.regexp_extract(text, parts, 2))
+    return F.trim(F.when(text.startswith('"') & text.rlike(parts), quoted).otherwise(text))
 
 
-def is_odd(line: Column) -> Column:
-    """A line with an odd number of quotes: a cell with a line break begins or ends in it."""
-    return F.regexp_count(line, F.lit('"')) % 2 == 1
+# A line of a sheet as a function of states: begun outside (0) or inside (1) a quoted cell, it ends in one or the other.
+# OPENS and KEEPS are the two bits of that function: the state after it if begun outside, and if begun inside.
+OPENS, KEEPS = 1, 2
 
 
-def _odd_files(lines: DataFrame) -> DataFrame:
-    """Files that have odd lines, and whether their quotes pair up in the end."""
-    odd = lines.filter(is_odd(F.col("line")))
-    return odd.groupBy("source_file").agg((F.count("*") % 2 == 0).alias("paired"))
+def quote_map(line: Column) -> Column:
+    """OPENS and KEEPS of a line: what it does to the state of the cells around it.
+
+    The line is cut at its quotes, and an automaton steps from quote to quote, from both states at once: 0 in a
+    plain cell, 1 at the start of a cell, 2 inside quotes, 3 behind a quote inside quotes, which closes the cell
+    unless another quote follows. Only in state 1 does a quote open a cell.
+    """
+    comma = lambda piece: piece.endswith(",").cast("int")
+
+    def step(state: Column, piece: Column) -> Column:
+        return (F.when(state == 0, comma(piece)).when((state == 1) | (state == 3), 2)
+                .when(piece == "", 3).otherwise(comma(piece)))
+
+    pieces = F.split(F.replace(line, F.lit("\ufeff"), F.lit("")), '"')
+    first = F.get(pieces, F.lit(0))
+    start = F.struct(F.when((first == "") | first.endswith(","), 1).otherwise(0).alias("out"), F.lit(2).alias("ins"))
+    ends = F.aggregate(F.slice(pieces, 2, F.size(pieces)), start, lambda s, p: F.struct(step(s["out"], p).alias("out"), step(s["ins"], p).alias("ins")))
+    both = F.element_at(F.transform(F.array(ends), lambda e: (e["out"] == 2).cast("int") * OPENS + (e["ins"] == 2).cast("int") * KEEPS), 1)
+    return F.when(F.contains(line, F.lit('"')), both).otherwise(KEEPS)
+
+
+def _composed(rows: DataFrame, place: Window, opens: Column, keeps: Column) -> DataFrame:
+    """Adds `key` and `flips` of all functions up to each row: the state after it is `key`, or the state before the first row
+    where that is null, turned over if `flips` is odd.
+
+    A function either sets the state (both bits alike), keeps it, or turns it over. So what counts is the last
+    one that sets it, and how many turn it over: `key` is the state it sets less the turns before it.
+    """
+    up_to = place.rowsBetween(Window.unboundedPreceding, 0)
+    turns = ((opens == 1) & (keeps == 0)).cast("int")
+    rows = rows.withColumn("flips", F.sum(turns).over(up_to) % 2)
+    return rows.withColumn("key", F.last(F.when(opens == keeps, opens.bitwiseXOR(F.col("flips"))), ignorenulls=True).over(up_to))
+
+
+def _with_records(lines: DataFrame) -> DataFrame:
+    """Lines (with `quotes`, see quote_map) with the number of their record in the file, and whether they are a whole record.
+
+    Each block of a file yields one function from state to state, composed of its lines'; a scan over the
+    blocks of the file gives the state in which each begins, and so that of every line. A quoted cell that the
+    file never closes is none: its line and all lines behind it are records of their own.
+    """
+    block, inside = ["source_file", "block"], Window.partitionBy("source_file", "block").orderBy("seq")
+    opens, keeps = F.col("quotes").bitwiseAND(OPENS), F.shiftright("quotes", 1)
+    lines = _composed(lines, inside, opens, keeps)
+    last = lines.groupBy(*block).agg(F.max_by(F.struct("key", "flips"), "seq").alias("last")).select(*block, "last.*")
+    opens, keeps = (F.coalesce("key", F.lit(begun)).bitwiseXOR(F.col("flips")) for begun in (0, 1))
+    of_file = Window.partitionBy("source_file").orderBy("block")
+    blocks = _composed(last.select(*block, opens.cast("int").alias("o"), keeps.cast("int").alias("k")), of_file, F.col("o"), F.col("k"))
+    ends = F.coalesce("key", F.lit(0)).bitwiseXOR(F.col("flips"))
+    blocks = blocks.select(*block, ends.alias("ends")).select(
+        *block, F.lag("ends", 1, 0).over(of_file).alias("begins"), F.last("ends").over(of_file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("unclosed"))
+    lines = lines.withColumns({"key_before": F.lag("key").over(inside), "flips_before": F.lag("flips", 1, 0).over(inside)}).join(blocks, block)
+    state = lambda key, flips: F.coalesce(key, "begins").bitwiseXOR(F.col(flips))
+    lines = lines.withColumns({"before": state("key_before", "flips_before"), "after": state("key", "flips")})
+    # The number of a record: how many lines up to here begin one, in the block and in those before.
+    lines = lines.withColumn("first", (F.col("before") == 0).cast("long"))
+    totals = lines.groupBy(*block).agg(F.sum("first").alias("total")).withColumns({
+        "earlier": F.coalesce(F.sum("total").over(of_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "records": F.sum("total").over(Window.partitionBy("source_file"))}).drop("total")
+    own = F.sum("first").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("own", own).join(totals, block).withColumn("record", F.col("own") + F.col("earlier"))
+    stray = (F.col("unclosed") == 1) & (F.col("record") == F.col("records"))
+    return lines.withColumns({"stray": stray, "single": stray | ((F.col("before") == 0) & (F.col("after") == 0))})
+
+
+def _marked(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines with their quote maps, and those on which a quoted cell goes over the end of the line."""
+    marked = lines.withColumn("quotes", quote_map(F.col("line")))
+    return marked, marked.filter(F.col("quotes").bitwiseAND(OPENS) == OPENS)
 
 
 def sheet_records(lines: DataFrame) -> DataFrame:
     """Lines joined to records, so that a quoted cell may hold line breaks; columns as before.
 
-    Files without odd lines stay as they are. In the others a record begins where the quotes so far,
-    counted over the blocks of the file, pair up; it has the place of its first line. If a file's
-    quotes never pair up, some quote is no quote, and its odd lines are left out (see broken_lines).
+    Where no line leaves a quoted cell open, lines are records: one look at the lines decides that now. Else only
+    the files that have such lines are numbered (see _with_records), and only the lines of records of several
+    lines are brought together; a record has the place of its first line.
     """
-    files = _odd_files(lines)
+    marked, opening = _marked(lines)
+    if opening.isEmpty():
+        return lines
+    files = opening.select("source_file").distinct()
     plain = lines.join(files, "source_file", "left_anti")
-    stray = lines.join(files.filter("not paired"), "source_file", "left_semi").filter(~is_odd(F.col("line")))
-    quoted = lines.join(files.filter("paired"), "source_file", "left_semi")
-    quoted = _numbered(quoted.withColumn("odd", is_odd(F.col("line")).cast("long")), "odd", "quotes")
-    quoted = quoted.withColumn("first", ((F.col("quotes") - F.col("odd")) % 2 == 0).cast("long"))
-    quoted = _numbered(quoted, "first", "record")
-    place = F.struct("block", "seq", "line")
-    joined = quoted.groupBy("source_file", "modified_at", "record").agg(F.sort_array(F.collect_list(place)).alias("rows"))  # one record's lines
-    joined = joined.select("source_file", "modified_at", F.col("rows")[0]["block"].alias("block"), F.col("rows")[0]["seq"].alias("seq"),
-                           F.array_join("rows.line", "\n").alias("line"))
-    return plain.unionByName(stray).unionByName(joined.select(lines.columns))
-
-
-def _numbered(lines: DataFrame, flag: str, name: str) -> DataFrame:
-    """Adds the sum of `flag` up to each line of its file: within blocks, then over the totals of blocks."""
-    block = Window.partitionBy("source_file", "block")
-    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = lines.groupBy("source_file", "block").agg(F.sum(flag).alias("total"))
-    totals = totals.select("source_file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
-    own = F.sum(flag).over(block.orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    return lines.withColumn("own", own).join(totals, ["source_file", "block"]).withColumn(name, F.col("own") + F.col("before")).drop("own", "before")
+    rows = _with_records(marked.join(files, "source_file", "left_semi"))
+    several = rows.filter(~F.col("single")).groupBy("source_file", "modified_at", "record").agg(
+        F.sort_array(F.collect_list(F.struct("block", "seq", "line"))).alias("rows"))  # one record's lines
+    several = several.select("source_file", "modified_at", F.col("rows")[0]["block"].alias("block"), F.col("rows")[0]["seq"].alias("seq"),
+                             F.array_join("rows.line", "\n").alias("line"))
+    return plain.unionByName(rows.filter("single").select(lines.columns)).unionByName(several.select(lines.columns))
 
 
 def header_word_hits(cells: Column) -> Column:
@@ -258,9 +318,10 @@ def parse_sheets(lines: DataFrame) -> DataFrame:
 
 
 def broken_lines(lines: DataFrame) -> DataFrame:
-    """Odd lines of files whose quotes do not pair up; `parse_sheets` leaves them out."""
-    stray = _odd_files(lines).filter("not paired")
-    return lines.filter(is_odd(F.col("line"))).join(stray, "source_file", "left_semi").select("source_file", "line")
+    """Lines on which a quoted cell begins that the rest of the file never closes; `parse_sheets` takes that quote as text."""
+    marked, opening = _marked(lines)
+    rows = _with_records(marked.join(opening.select("source_file").distinct(), "source_file", "left_semi"))
+    return rows.filter("stray and before = 0").select("source_file", "line")
 
 
 def unread_headers(lines: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.clean import blank_to_null, quantity
 from ..schemas import INVENTORY
-from .forecasts import is_odd
+from .forecasts import OPENS, quote_map
 
 # Column names of the inventory export.
 SKU, SUPPLIER_PO, AVAILABLE, DESCRIPTION = (
@@ -70,7 +70,8 @@ def read_inventory(spark: SparkSession, folder: str, encoding: str = "UTF-8") ->
     if newest is None or newest["path"] is None:
         return spark.createDataFrame([], INVENTORY)
     # Only a file with line breaks inside cells has to be read as a whole; any other is split.
-    breaks = not spark.read.option("encoding", encoding).text(newest["path"]).filter(is_odd(F.col("value"))).isEmpty()
+    opens = quote_map(F.col("value")).bitwiseAND(OPENS) == OPENS
+    breaks = not spark.read.option("encoding", encoding).text(newest["path"]).filter(opens).isEmpty()
     raw = spark.read.csv(newest["path"], header=True, inferSchema=False, encoding=encoding, quote='"', escape='"', multiLine=breaks)
     if not {SKU, SUPPLIER_PO, AVAILABLE} <= set(raw.columns):
         return spark.createDataFrame([], INVENTORY)

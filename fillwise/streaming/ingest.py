@@ -2,16 +2,16 @@
 
 The checkpoint remembers which files were read, so a rerun only takes new ones. Both targets survive a
 retried batch: acknowledgements go to the file sink, which commits a batch once, and forecasts to a
-folder per batch, which a retry writes again.
+table that knows the batches it holds.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_folder
 from ..sources.acks import flatten_documents, read_documents, rejected_lines, valid_lines
-from ..sources.forecasts import newest_per_month, parse_sheets, stream_sheet_lines, with_place
-from ..schemas import FORECASTS
+from ..sources.forecasts import parse_sheets, stream_sheet_lines, with_place
+from .forecast_table import ForecastTable
 
 
 def _append(df: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
@@ -36,16 +36,15 @@ def ingest_ack_rejects(spark: SparkSession, source: str, table: str, checkpoint:
 
 
 def ingest_forecasts(spark: SparkSession, source: str, table: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Add the newest rows of all new sheets below `source`.
+    """Merge all new sheets below `source` into a ForecastTable.
 
-    A batch is reduced to its newest rows and stored on its own, by month; nothing stored is read or
-    rewritten. `current_forecasts` lets later snapshots win over all batches, so a late older sheet
-    changes nothing.
+    Each batch is a version of its own: a late older sheet changes only what is not known better. The stream sees a
+    path once; `ForecastTable.load` also follows files that were rewritten or removed.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        rows = newest_per_month(parse_sheets(with_place(batch)))
-        (rows.hint("rebalance", "forecast_month").write.mode("overwrite").partitionBy("forecast_month")
-         .parquet(f"{table}/batch_id={batch_id}"))
+        lines = with_place(batch)
+        files = lines.groupBy("source_file").agg(F.first("size").alias("size"), F.first("modified_at").alias("modified_at"))
+        ForecastTable(batch.sparkSession, table).merge(parse_sheets(lines.drop("size")), files, batch=batch_id)
 
     return (
         stream_sheet_lines(spark, source).writeStream.foreachBatch(store)
@@ -55,12 +54,5 @@ def ingest_forecasts(spark: SparkSession, source: str, table: str, checkpoint: s
 
 
 def current_forecasts(spark: SparkSession, table: str) -> DataFrame:
-    """The newest row per product and month over all stored batches; a filter on the month prunes folders."""
-    return newest_per_month(spark.read.parquet(table).drop("batch_id")).select(FORECASTS.fieldNames())
-
-
-def compact_forecasts(spark: SparkSession, table: str, target: str) -> None:
-    """Write the newest rows of all batches to a new table, to keep the number of files in bounds."""
-    rows = newest_per_month(spark.read.parquet(table).drop("batch_id"))
-    rows.hint("rebalance", "forecast_month").write.mode("overwrite").partitionBy("forecast_month").parquet(
-        f"{target}/batch_id=0")
+    """The newest row per product and month of a stored table."""
+    return ForecastTable(spark, table).current()

@@ -1,12 +1,17 @@
 """Sheets, inventory exports, streams, and exports as files."""
 
 import datetime as dt
+import io
+import itertools
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from fillwise.schemas import FORECASTS
 from fillwise.sources import forecasts as sheets, inventory, sinks
 from fillwise.streaming import ingest
+from fillwise.streaming.forecast_table import ForecastTable
 
 D = dt.date
 
@@ -83,8 +88,62 @@ def test_quoted_line_breaks_whatever_the_split(spark, tmp_path, split):
     assert rows["S9"]["forecast_qty"] == 7.0 and rows["S9"]["attributes"] == {"item description": "l1\nmiddle\nl3"}
     assert rows["LAST"]["attributes"] == {"item description": 'a, "b"\n'} and rows["LAST"]["forecast_qty"] == 3.0
     # The repeated header is no product; another text in its place is one.
-    assert len(rows) == 2990 + 3 + 1 and rows["Vendor SKU"]["attributes"] == {"item description": "Note"}
-    assert rows["T2"]["forecast_qty"] == 4.0 and [r["line"] for r in broken] == ['T1,5" pipe,2']
+    assert len(rows) == 2990 + 3 + 2 and rows["Vendor SKU"]["attributes"] == {"item description": "Note"}
+    assert rows["T2"]["forecast_qty"] == 4.0 and rows["T1"]["description"] == '5" pipe' and not broken
+
+
+# Quotes inside cells, closed and open ones, in one text; what pandas reads from it is the rule.
+STRAY = [
+    'A,bolt 6" steel,5', 'B,plain,6', 'C,pipe 3" wide,7', 'D,plain,8', 'E,"two\nlines, 5"" each",9', 'F,"a""b",10', 'G,"6"" x 2""",11', 'H,"x"y "z",12',
+    'I,"""",13', 'J,"",14', 'K,""x,15', 'L, "lead",16', 'M,"\n""\n,\n",17', 'N,"end\n"" ",18', '"O",tail",19', 'P,"\n",20']
+
+
+@pytest.mark.parametrize("split", ["64", "134217728"])
+@pytest.mark.parametrize("times", [1, 40])
+def test_quotes_are_quotes_at_the_start_of_a_cell_only(spark, tmp_path, split, times):
+    text = "Vendor SKU,Description,Jul-26\n" + "".join(f"{i}{x}\n" if x[0] != '"' else f'"{i}{x[1:]}\n' for i in range(times) for x in STRAY)
+    write(tmp_path, a_csv=text, b_csv="Vendor SKU,Description,Jul-26\nZ,no quote,1\n")
+    expected = pd.read_csv(io.StringIO(text), dtype=str, keep_default_na=False)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        lines = sheets.read_sheet_lines(spark, str(tmp_path))
+        rows = {r["vendor_sku"]: (r["description"], r["forecast_qty"]) for r in sheets.parse_sheets(lines).collect()}
+        assert sheets.broken_lines(lines).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows.pop("Z") == ("no quote", 1.0) and len(rows) == len(expected) == len(STRAY) * times
+    assert rows == {r[0]: (r[1].strip(" ") or None, float(r[2])) for r in expected.itertuples(index=False)}
+
+
+@pytest.mark.parametrize("split", ["64", "134217728"])
+def test_a_quote_that_nothing_closes_is_text(spark, tmp_path, split):
+    write(tmp_path, a_csv='Vendor SKU,Description,Jul-26\nA,"two\nlines",1\nB,"6 inch,2\n' + "".join(f'S{i},"" x,{i}\n' for i in range(60)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        lines = sheets.read_sheet_lines(spark, str(tmp_path))
+        rows = {r["vendor_sku"]: (r["description"], r["forecast_qty"]) for r in sheets.parse_sheets(lines).collect()}
+        broken = [r["line"] for r in sheets.broken_lines(lines).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert rows == {"A": ("two\nlines", 1.0), "B": ('"6 inch', 2.0), **{f"S{i}": ("x", float(i)) for i in range(60)}}
+    assert broken == ['B,"6 inch,2']
+
+
+def test_line_maps_agree_with_a_walk_over_characters(spark):
+    texts = ["".join(t) for n in range(6) for t in itertools.product(',"a', repeat=n)] + ['"a"" ""b",""x"', ' "', '\ufeff"x', '"""']
+    def walk(line, state):
+        for c in line.replace("\ufeff", ""):
+            if state in ("start", "plain"):
+                state = "in" if c == '"' and state == "start" else "start" if c == "," else "plain"
+            elif state == "in":
+                state = "quote" if c == '"' else "in"
+            else:
+                state = "in" if c == '"' else "start" if c == "," else "plain"
+        return state == "in"
+
+    df = spark.createDataFrame([(t,) for t in texts], "line string").select("line", sheets.quote_map(F.col("line")).alias("q"))
+    for line, q in df.collect():
+        assert q == walk(line, "start") * sheets.OPENS + walk(line, "in") * sheets.KEEPS, line
 
 
 def test_headers_with_a_year_but_no_month_are_reported(spark, tmp_path):
@@ -134,10 +193,72 @@ def test_forecast_stream_equals_one_load(spark, tmp_path):
     run()
     run()  # nothing new
     late = ingest.current_forecasts(spark, table)
+    assert late.schema.fieldNames() == FORECASTS.fieldNames()
     assert facts(late) == facts(sheets.read_forecasts(spark, str(source)))
     assert facts(late)[("S1", D(2026, 2, 1))] == 1.0
-    ingest.compact_forecasts(spark, table, str(tmp_path / "compact"))
-    assert facts(ingest.current_forecasts(spark, str(tmp_path / "compact"))) == facts(late)
+
+
+def sheet(**months):
+    """A sheet of products by SKU, with one quantity a month (None: not in the sheet)."""
+    rows = [f"{sku},{','.join('' if q is None else str(q) for q in own)}" for sku, own in months.items()]
+    return "Vendor SKU,Jul-26,Aug-26\n" + "\n".join(rows) + "\n"
+
+
+def test_forecast_table_follows_its_files(spark, tmp_path):
+    source, table = tmp_path / "in", ForecastTable(spark, str(tmp_path / "table"), parts=3)
+    read = lambda: facts(table.current())
+    assert read() == {} and table.ledger().count() == 0
+    load = lambda: table.load(str(source))
+    write(source, **{"b__2026-07-14_csv": sheet(S1=(1, 2), S2=(3, 4))})
+    load()
+    write(source, **{"a__2026-07-01_csv": sheet(S1=(10, 20), S3=(30, 40)), "x_[1]%20,__2026-07-02_csv": sheet(S4=(5, 6))})
+    load()
+    whole = lambda: facts(sheets.read_forecasts(spark, str(source)))
+    assert read() == whole() and read()[("S1", D(2026, 7, 1))] == 1.0 and read()[("S3", D(2026, 8, 1))] == 40.0
+    versions = table._versions()
+    load()
+    assert table._versions() == versions  # nothing changed
+    # A rewritten file: what it no longer names falls back to the older sheet, or goes.
+    write(source, **{"b__2026-07-14_csv": sheet(S2=(33, 44), S5=(7, 8))})
+    load()
+    assert read() == whole() and read()[("S1", D(2026, 7, 1))] == 10.0 and read()[("S2", D(2026, 7, 1))] == 33.0
+    (source / "a 2026-07-01.csv").unlink()
+    load()
+    assert read() == whole() and ("S1", D(2026, 7, 1)) not in read() and table.ledger().count() == 2
+    before = table.current()
+    table.drop_old_versions(keep=1)
+    assert len(table._versions()) == 1 and facts(before) == read() == whole()
+    assert table.current().count() == len(read())  # each row is stored once
+    for f in list(source.iterdir()):
+        f.unlink()
+    load()
+    assert read() == {}
+
+
+def test_a_load_touches_only_the_cuts_of_its_files(spark, tmp_path):
+    source, table = tmp_path / "in", ForecastTable(spark, str(tmp_path / "table"), parts=8)
+    write(source, **{"a__2026-07-01_csv": sheet(**{f"S{i}": (i, i) for i in range(40)})})
+    table.load(str(source))
+    first = {(r["part"], r["year"]): r["newest"] for r in table._manifest()}
+    write(source, **{"b__2026-07-02_csv": "Vendor SKU,Aug-26\nS1,99\n"})
+    table.load(str(source))
+    second = {(r["part"], r["year"]): r["newest"] for r in table._manifest()}
+    assert first.keys() == second.keys() and sum(first[k] != second[k] for k in first if k[0] is not None) == 1
+    assert facts(table.current())[("S1", D(2026, 8, 1))] == 99.0
+
+
+def test_a_batch_that_is_retried_is_merged_once_and_a_failed_load_is_not_seen(spark, tmp_path):
+    source, table = tmp_path / "in", ForecastTable(spark, str(tmp_path / "table"))
+    write(source, **{"a__2026-07-01_csv": sheet(S1=(1, 2))})
+    rows = sheets.parse_sheets(sheets.read_sheet_lines(spark, str(source)))
+    files = rows.select("source_file", F.lit(1).cast("long").alias("size"), F.current_timestamp().alias("modified_at")).distinct()
+    for _ in range(2):
+        table.merge(rows, files, batch=0)
+    assert table._versions() == [1] and table.current().count() == 2
+    broken = rows.withColumn("forecast_qty", F.raise_error(F.lit("lost")).cast("double"))
+    with pytest.raises(Exception):
+        table.merge(broken, files, batch=1)
+    assert table._versions() == [1] and table.current().count() == 2
 
 
 def test_ack_stream_skips_files_already_read(spark, tmp_path):

@@ -5,8 +5,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-ARROW = {"match_fuzzy", "match_best", "match_similar"}
-EAGER = {"stream_ingest_acks", "forecast_read_files", "export_csv"}
+ARROW = {"match_fuzzy", "match_best", "match_similar", "match_misspelt"}
+EAGER = {"stream_ingest_acks", "stream_ingest_forecasts", "forecast_read_files", "forecast_read_quotes", "export_csv"}
 
 
 @pytest.mark.parametrize("name", sorted({name for group in entry.LIBRARY for name in group.QUERIES} - EAGER))
