@@ -25,6 +25,19 @@ def _targets(spark, d):
     return products(spark, d).withColumn("target_id", F.col("vendor_sku").cast("bigint"))
 
 
+# A letter of every product's name left out, another one doubled, and both ends swapped in the fourth part of the names.
+_MISSPELT = """case p_partkey % 4 when 0 then concat(substring(p_name, 1, cast(1 + p_partkey % 5 as int)), substring(p_name, cast(3 + p_partkey % 5 as int), 99))
+    when 1 then concat(substring(p_name, 1, cast(2 + p_partkey % 4 as int)), substring(p_name, cast(2 + p_partkey % 4 as int), 99))
+    when 2 then concat(substring(p_name, cast(1 + position(' ' in p_name) as int), 99), ' ', substring(p_name, 2, cast(position(' ' in p_name) - 2 as int)))
+    else replace(p_name, ' ', '') end"""
+
+
+def _misspelt(spark, d):
+    """Candidates without identifiers, with names as they are typed."""
+    return table(spark, d, "part").selectExpr(
+        "p_partkey as candidate_id", *[f"cast(null as string) as {c}" for c in ("vendor_sku", "buyer_part_number", "upc")], f"{_MISSPELT} as description")
+
+
 def _scores(spark, d):
     """Scores of all distinct pairs of a candidate text and a target text that share a word."""
     left = _candidates(spark, d).select(F.col("description").alias("a")).distinct()
@@ -40,17 +53,18 @@ _ORDERS = "select distinct {text} as {name} from orders where o_orderkey % 2 = {
 
 
 def _similar(spark, d):
-    """Descriptions of even orders against those of odd ones."""
+    """Descriptions of even orders against those of odd ones, by their common words."""
     orders = table(spark, d, "orders")
     side = lambda n, name: orders.filter(f"o_orderkey % 2 = {n}").selectExpr(f"{_ORDER} as {name}").distinct()
-    return matching.similar_pairs(side(0, "a"), side(1, "b"), 90.0)
+    return matching.word_scores(side(0, "a"), side(1, "b"), 90.0)
 
 
 QUERIES = {
     "match_similar": lambda s, d: rounded(_similar(s, d), score=6),
     "match_exact": lambda s, d: matching.match_exact(_candidates(s, d), _targets(s, d)),
     "match_fuzzy": lambda s, d: rounded(_scores(s, d), score=6),
-    "match_best": lambda s, d: rounded(matching.match_best(_candidates(s, d), _targets(s, d)), score=6),
+    "match_best": lambda s, d: rounded(matching.match_best(_candidates(s, d), _targets(s, d), 60.0), score=6),
+    "match_misspelt": lambda s, d: rounded(matching.match_best(_misspelt(s, d), _targets(s, d)), score=6),
 }
 
 _CAND = f"select {', '.join(f'{e} as {n}' for n, e in _CANDIDATE.items())} from part"
@@ -104,10 +118,16 @@ ORACLE = {
         """select r.description as a, p.description as b from (select distinct description from cand
            where candidate_id not in (select candidate_id from exact)) r cross join (select distinct description from v_products) p""",
         """, named as (select description as b, min(cast(vendor_sku as bigint)) as target_id from v_products group by 1),
-           best as (select a, target_id, score from scored join named using (b) join keyed using (a, b)
-             where len(c) > 0 and (al = 0 or bl = 0 or 200.0::double * cl / (2 * cl + 1 + al) >= 60 or 200.0::double * cl / (2 * cl + 1 + bl) >= 60)
+           best as (select a, target_id, score from scored join named using (b) where score >= 60
              qualify row_number() over (partition by a order by score desc, target_id) = 1)
            select candidate_id, target_id, round(score, 6) as score, tier from exact
            union all select candidate_id, target_id, round(score, 6), 'description' from cand join best on description = a
            where candidate_id not in (select candidate_id from exact)""", **_EXACT),
+    "match_misspelt": _scored(
+        "select a.description as a, p.description as b from (select distinct description from cand) a cross join (select distinct description from v_products) p",
+        """, named as (select description as b, min(cast(vendor_sku as bigint)) as target_id from v_products group by 1),
+           best as (select a, target_id, score from scored join named using (b) where score >= 70
+             qualify row_number() over (partition by a order by score desc, target_id) = 1)
+           select candidate_id, target_id, round(score, 6) as score, 'description' as tier from cand join best on description = a""",
+        cand=f"select p_partkey as candidate_id, {_MISSPELT} as description from part"),
 }

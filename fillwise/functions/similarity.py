@@ -1,6 +1,8 @@
 """Token-set similarity of two descriptions, 0 to 100."""
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import DoubleType
 
@@ -53,3 +55,31 @@ def _score(a: pd.Series, b: pd.Series) -> pd.Series:
 def description_score(a: Column, b: Column) -> Column:
     """`token_set_ratio` of two text columns (Arrow batches)."""
     return _score(a, b)
+
+
+#: Letters are counted in that many classes; classes that hold several letters only make the bound weaker.
+LETTER_CLASSES = 64
+
+
+def _letter_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class of letters is in the distinct words of each text, joined by blanks, and the lengths."""
+    joined = [" ".join(set(t.split())) for t in texts]
+    lengths = np.array([len(t) for t in joined])
+    letters = np.frombuffer("".join(joined).encode("utf-32-le"), np.uint32) % LETTER_CLASSES
+    counts = np.zeros((len(texts), LETTER_CLASSES), np.int32)
+    np.add.at(counts, (np.repeat(np.arange(len(texts)), lengths), letters), 1)
+    return counts, lengths
+
+
+def pairs_by_letters(batches, min_score: float):
+    """Pairs of two lists of texts (columns 0 and 1) whose common letters allow the first comparison to reach `min_score`."""
+    for batch in batches:
+        for left, right in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            (counts_a, length_a), (counts_b, length_b) = _letter_counts(left), _letter_counts(right)
+            held = [k for k in range(LETTER_CLASSES) if counts_a[:, k].any() and counts_b[:, k].any()]
+            names = np.array(right, object)
+            for i, text in enumerate(left):
+                common = sum((np.minimum(counts_a[i, k], counts_b[:, k]) for k in held), np.zeros(len(right), np.int32))
+                found = names[(common > 0) & (200.0 * common >= min_score * (length_a[i] + length_b) - 1e-6)].tolist()
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([text] * len(found), pa.string()), pa.array(found, pa.string())], names=["a", "b"])

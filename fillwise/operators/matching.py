@@ -5,16 +5,27 @@ Candidates (`candidate_id`) and targets (`target_id`) both carry `vendor_sku`, `
 their smallest id before any join: joins are many-to-one and no list of pairs is built.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clean import blank_to_null
-from ..functions.similarity import description_score
+from ..functions.similarity import description_score, pairs_by_letters
+from ..session import held
 
 # Score of each identifier, and the name of its tier.
 SKU_SCORE, UPC_SCORE, BUYER_SCORE = 100.0, 99.0, 98.0
 
-# Default of `min_score`: the score that the common words of two descriptions must reach by themselves.
-MIN_SCORE = 60.0
+# Default of `min_score`: the score that a pair of descriptions must reach.
+MIN_SCORE = 70.0
+# From this score on, pairs are found through shared pieces of words; below, no piece need be shared.
+LEAST_FILTERED = 200.0 / 3
+# Characters of a piece of a word.
+PIECE = 2
+# Keys are made of three pieces for texts of at most so many characters that must be much alike, else of two.
+THREE_FROM, THREE_LENGTH = 85.0, 48
+# Descriptions compared at a time below LEAST_FILTERED.
+BLOCK = 1000
 
 
 def _clean(df: DataFrame, id_column: str) -> DataFrame:
@@ -87,61 +98,175 @@ def _rare_first(bag: DataFrame, text: str, frequency: DataFrame, share: float) -
     return known.withColumn("keep", F.sum("weight").over(rest) >= needed).filter("keep").select(text, "token")
 
 
-def shared_score(a: Column, b: Column) -> Column:
-    """Score (0 to 100) that two descriptions get for their common words alone; 100 if one has all words of the other."""
-    bag = lambda c: F.array_distinct(F.split(F.trim(c), r"\s+"))
-    size = lambda words: F.length(F.array_join(words, " "))
-    common = F.array_intersect(bag(a), bag(b))
-    part = size(common)
-    best = F.greatest(200.0 * part / (part + size(bag(a))), 200.0 * part / (part + size(bag(b))))
-    return F.when(F.size(common) > 0, best).otherwise(0.0)
-
-
-def similar_pairs(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """All distinct pairs of descriptions (columns `a`, `b`) whose common words alone reach `min_score`, with `score`.
+def word_pairs(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """Distinct (a, b) whose common words alone reach `min_score`.
 
     The score of common words c against a whole description a is 200 |c| / (|c| + |a|), so c must make
     up min_score / (200 - min_score) of a or of b. Such pairs share one of the rare words of that
-    description; only those words are joined, against all words of the other side. What is found does
-    not depend on the other descriptions. Only pairs that pass the bound are scored in Arrow batches.
+    description; only those words are joined, against all words of the other side. The words of a text are cut once,
+    and pairs are judged where they meet, before any of them is shuffled.
     """
     share = min_score / (200.0 - min_score)
     bag_a, bag_b = _bag(left, "a"), _bag(right, "b")
     uses = bag_a.select("token").unionAll(bag_b.select("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    from_a = _rare_first(bag_a, "a", uses, share).join(bag_b.select("b", "token"), "token")
-    from_b = bag_a.select("a", "token").join(_rare_first(bag_b, "b", uses, share), "token")
-    found = from_a.select("a", "b").unionByName(from_b.select("a", "b")).distinct()
-    return found.filter(shared_score(F.col("a"), F.col("b")) >= min_score).withColumn("score", description_score(F.col("a"), F.col("b")))
+    whole = lambda bag, x: bag.withColumn(f"{x}_words", _words(F.col(x)))
+    all_a, all_b = whole(bag_a, "a").select("a", "a_words", "token"), whole(bag_b, "b").select("b", "b_words", "token")
+    rare_a, rare_b = whole(_rare_first(bag_a, "a", uses, share), "a"), whole(_rare_first(bag_b, "b", uses, share), "b")
+
+    def good(pairs: DataFrame) -> DataFrame:
+        size = lambda words: F.length(F.array_join(words, " "))
+        common = size(F.array_intersect("a_words", "b_words"))
+        reached = 200.0 * common >= min_score * (common + F.least(size(F.col("a_words")), size(F.col("b_words"))))
+        return pairs.filter(reached & (common > 0)).select("a", "b")
+
+    return good(rare_a.join(all_b, "token")).unionByName(good(all_a.join(rare_b, "token"))).distinct()
+
+
+def word_scores(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """`word_pairs` with their `score`, which is at least that of their common words."""
+    return word_pairs(left, right, min_score).withColumn("score", description_score(F.col("a"), F.col("b")))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.split(F.trim(text), r"\s+"))
 
 
-def best_descriptions(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE, exhaustive: bool = False) -> DataFrame:
+def _pieces(text: Column) -> Column:
+    """All pieces of PIECE characters of the words of a text, a blank before and behind each word; of equal pieces each has its number."""
+    padded = F.transform(_words(text), lambda w: F.concat(F.lit(" "), w, F.lit(" ")))
+    of_word = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - PIECE + 1), lambda i: F.substring(w, i, PIECE))
+    every = F.flatten(F.transform(padded, of_word))
+    one = lambda pieces: F.transform(pieces, lambda p, i: F.concat(p, F.size(F.filter(F.slice(pieces, F.lit(1), i), lambda x: x == p)).cast("string")))
+    return F.element_at(F.transform(F.array(every), one), 1)
+
+
+def least_shared(pieces: Column, length: Column, other: Column | None, min_score: float) -> Column:
+    """How many pieces a description shares at least with one that scores `min_score` by the first comparison.
+
+    The two have at most d = (1 - score) (length + other) characters of their own, some here and some there. One here is in
+    PIECE pieces, one there comes between PIECE - 1. With `other` unknown the shortest possible one is the worst.
+    """
+    score = min_score / 100.0
+    if other is None:
+        other = length * (score / (2.0 - score))
+    own = ((1.0 - score) * (length + other) + length - other) / 2
+    theirs = ((1.0 - score) * (length + other) + other - length) / 2
+    return F.ceil(pieces - PIECE * own - (PIECE - 1) * theirs - 1e-6).cast("int")
+
+
+def _keys(rows: DataFrame, min_score: float) -> DataFrame:
+    """side, id and key: descriptions of both sides that share the pieces they must have a key in common.
+
+    Pieces are put in one order, the rarest first. Of two descriptions that share n pieces, all but the last n - k
+    pieces of each hold k shared ones. So a key is made of k pieces, as many as both must share, up to two, or three for
+    short texts. Texts that must share more have keys of fewer pieces only for partners that need not: tags keep them apart.
+    """
+    each = rows.select("side", "id", "least", "length", F.explode("pieces").alias("piece"))
+    uses = each.groupBy("piece").agg(F.count("*").alias("uses"))
+    rows = held(each.join(uses, "piece").groupBy("side", "id", "least", "length").agg(
+        F.sort_array(F.collect_list(F.struct("uses", "piece")))["piece"].alias("p")), "ordered")  # one text's pieces
+    first = lambda k: F.slice("p", F.lit(1), F.size("p") - F.col("least") + k)
+    after = lambda p, i: F.slice(p, i + 2, F.size(p))
+    one = F.transform(first(1), lambda x: F.xxhash64(x))
+    two = F.flatten(F.transform(first(2), lambda x, i: F.transform(after(first(2), i), lambda y: F.xxhash64(x, y))))
+    three = F.flatten(F.flatten(F.transform(first(3), lambda x, i: F.transform(
+        after(first(3), i), lambda y, j: F.transform(F.slice(first(3), i + j + 3, F.size("p")), lambda z: F.xxhash64(x, y, z))))))
+    three_too = min_score >= THREE_FROM
+    parts = []
+
+    def add(level: int, keys: Column, tags: Column, some: Column | None = None) -> None:
+        has = F.col("least") >= level if some is None else (F.col("least") >= level) & some
+        parts.append(rows.filter(has).select("side", "id", F.explode(tags).alias("tag"), keys.alias("keys"))
+                     .select("side", "id", F.explode("keys").alias("key"), F.lit(level).alias("level"), "tag"))
+
+    def for_least(level: int) -> Column:
+        """Tags for pairs of which one must share just `level` pieces: it meets all texts, those meet it alone."""
+        left = F.col("side") == 0
+        more = F.when(left, F.array(F.lit("left more"))).otherwise(F.array(F.lit("right more")))
+        own = F.when(left, F.array(F.lit("equal"), F.lit("right more"))).otherwise(F.array(F.lit("equal"), F.lit("left more")))
+        return F.when(F.col("least") == level, own).otherwise(more)
+
+    every_one = F.array(F.lit("all"))
+    add(1, one, for_least(1))
+    if three_too:
+        add(2, two, for_least(2))
+        # A partner of a text of more than THREE_LENGTH characters is not much shorter.
+        add(2, two, every_one, F.col("length") > THREE_LENGTH * (min_score / (200.0 - min_score)))
+        add(3, three, every_one, F.col("length") <= THREE_LENGTH)
+    else:
+        add(2, two, every_one)
+    every = reduce(lambda x, y: x.unionByName(y), parts)
+    return every.select("side", "id", F.xxhash64("key", "level", "tag").alias("key"))
+
+
+def _piece_candidates(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """(a, b) whose words share as many pieces as the first comparison takes to reach `min_score`."""
+    texts = left.select(F.lit(0).alias("side"), F.col("a").alias("text")).unionByName(right.select(F.lit(1).alias("side"), F.col("b").alias("text")))
+    rows = texts.select("side", F.xxhash64("text").alias("id"), "text", _pieces(F.col("text")).alias("pieces"),
+                        F.length(F.array_join(_words(F.col("text")), " ")).alias("length"))
+    rows = held(rows.withColumn("least", least_shared(F.size("pieces"), F.col("length"), None, min_score)), "pieces")
+    keys = _keys(rows, min_score)
+    side = lambda df, n: df.filter(F.col("side") == n).drop("side")
+    pairs = side(keys, 0).withColumnRenamed("id", "ia").join(
+        side(keys, 1).withColumnRenamed("id", "ib").hint("merge"), "key").select("ia", "ib").distinct()  # far more keys than a planner expects
+    named = lambda n, x: side(rows, n).select(F.col("id").alias(f"i{x}"), F.col("text").alias(x), F.col("pieces").alias(f"p{x}"), F.col("length").alias(f"l{x}"))
+    full = pairs.join(named(0, "a"), "ia").join(named(1, "b"), "ib")
+    shared = F.size(F.array_intersect("pa", "pb"))
+    return full.filter(shared >= least_shared(F.size("pa"), F.col("la"), F.col("lb"), min_score)).select("a", "b")
+
+
+def _block_candidates(left: DataFrame, right: DataFrame, min_score: float) -> DataFrame:
+    """(a, b) by comparing blocks of descriptions with blocks: every pair whose letters allow the score.
+
+    Below LEAST_FILTERED two descriptions may score without sharing a piece, so every one is compared with
+    every other. A task holds two blocks; what it gives is what remains of their pairs.
+    """
+    def blocked(texts: DataFrame, name: str) -> tuple[DataFrame, int]:
+        n = texts.count()
+        blocks = max(1, -(-n // BLOCK))
+        rows = texts.withColumn(f"{name}_block", F.pmod(F.xxhash64(name), F.lit(blocks)).cast("int"))
+        return rows.groupBy(f"{name}_block").agg(F.collect_list(name).alias(f"{name}s")), blocks  # about BLOCK texts
+
+    (rows_a, _), (rows_b, blocks) = blocked(left, "a"), blocked(right, "b")
+    rows = rows_a.withColumn("b_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(rows_b, "b_block").select("as", "bs")
+    return rows.mapInArrow(lambda batches: pairs_by_letters(batches, min_score), "a string, b string")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """All distinct pairs of descriptions (columns `a`, `b`, of distinct texts) that score `min_score` or more, with `score`.
+
+    A pair scores by its common words alone, or by all its characters: candidates for the first share a rare word,
+    for the second they share pieces of words. Both filters are complete, so what is found does not depend on
+    the other descriptions. Below LEAST_FILTERED all are compared in blocks, which takes the product of the two numbers.
+    """
+    left, right = (held(x.filter(F.trim(c) != ""), "texts") for x, c in ((left, "a"), (right, "b")))
+    others = _piece_candidates(left, right, min_score) if min_score >= LEAST_FILTERED else _block_candidates(left, right, min_score)
+    found = word_pairs(left, right, min_score).unionByName(others).distinct() if min_score > 0 else others
+    return found.withColumn("score", description_score(F.col("a"), F.col("b"))).filter((F.col("score") >= min_score) & (F.col("score") > 0))
+
+
+def best_descriptions(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """Best target per distinct candidate description: (description, target_id, score); smallest id on a tie.
 
-    Distinct descriptions are compared, never rows. Targets are found through common words that alone
-    reach `min_score` (see similar_pairs), whatever the number of targets. With `exhaustive` every
-    description is scored against every other and any score from `min_score` on (above 0) counts;
-    that is for the caller who knows both sides to be small.
+    Distinct descriptions are compared, never rows; those without a target that scores `min_score` are left out.
     """
     wanted = _descriptions(candidates).distinct().withColumnRenamed("description", "a")
-    named = (_clean(targets, "target_id").filter(F.col("description").isNotNull())
-             .groupBy(F.col("description").alias("b")).agg(F.min("target_id").alias("target_id")))
-    if exhaustive:
-        pairs = wanted.crossJoin(named).withColumn("score", description_score(F.col("a"), F.col("b")))
-        pairs = pairs.filter((F.col("score") > 0) & (F.col("score") >= min_score))
-    else:
-        pairs = similar_pairs(wanted, named.select("b"), min_score).join(named, "b")
+    named = held(_clean(targets, "target_id").filter(F.col("description").isNotNull())
+                 .groupBy(F.col("description").alias("b")).agg(F.min("target_id").alias("target_id")), "named")
+    pairs = similar_pairs(wanted, named.select("b"), min_score).join(named, "b")
     return pairs.groupBy(F.col("a").alias("description")).agg(
         F.max_by(F.struct("target_id", "score"), F.struct("score", -F.col("target_id"))).alias("best")
     ).select("description", "best.*")
 
 
-def match_best(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE, exhaustive: bool = False) -> DataFrame:
+def match_best(candidates: DataFrame, targets: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """One target per candidate: the exact tiers decide, descriptions are compared for the rest.
 
     Candidates without any match are left out.
     """
     exact = match_exact(candidates, targets)
-    rest = _clean(candidates, "candidate_id").join(exact, "candidate_id", "left_anti")
-    fuzzy = rest.join(best_descriptions(rest, targets, min_score, exhaustive), "description").select(
+    exact = held(exact, "exact")
+    rest = held(_clean(candidates, "candidate_id").join(exact, "candidate_id", "left_anti"), "rest")
+    fuzzy = rest.join(best_descriptions(rest, targets, min_score), "description").select(
         "candidate_id", "target_id", "score", F.lit("description").alias("tier"))
     return exact.unionByName(fuzzy)

@@ -1,6 +1,8 @@
 """Session settings the operators are written for."""
 
-from pyspark.sql import SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -27,3 +29,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if not root:
         raise ValueError("set spark.checkpoint.dir to a shared folder, or pass the location")
     return f"{root.rstrip('/')}/fillwise/{name}"
+
+
+def held(df: DataFrame, name: str) -> DataFrame:
+    """The rows of `df`, written to the shared folder and read back, so that plans that use them several times stay small.
+
+    In a session without a shared folder `df` stays as it is: the result is the same, its plan larger.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        return df
+    folder = f"{shared_folder(spark, 'held')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)

@@ -1,7 +1,9 @@
 """Similarity against a plain definition, and the searches against brute force."""
 
 import itertools
+import random
 
+import pytest
 from hypothesis import given, settings, strategies as st
 
 from fillwise.functions.similarity import lcs_length, token_set_ratio
@@ -51,31 +53,40 @@ def products(spark, name, rows):
         f"{name} long, vendor_sku string, buyer_part_number string, upc string, description string")
 
 
-def by_words(x, y):
-    common = len(" ".join(set(x.split()) & set(y.split())))
-    return max(200 * common / (common + len(x)), 200 * common / (common + len(y)))
+TYPOS = ["lipstik rd", "smal red blt", "bolt cuter x1", "lip stick red", "redsmall bolt", "", "x", "r d", "bolt bolt red", "é lipstick", "cutter of bolts"]
 
 
-def test_pairs_are_exactly_those_that_reach_the_score_by_common_words(spark):
-    left, right = NAMES[::2], NAMES[1::3]
+@pytest.mark.parametrize("score", [40.0, 67.0, 70.0, 85.0, 92.0])
+def test_pairs_are_exactly_those_that_reach_the_score(spark, score):
+    left, right = sorted({*NAMES[::2], *TYPOS}), sorted({*NAMES[1::3], *TYPOS[::2], "lipstick red"})
     a = spark.createDataFrame([(x,) for x in left], "a string")
     b = spark.createDataFrame([(x,) for x in right], "b string")
-    found = {(r["a"], r["b"]): r["score"] for r in matching.similar_pairs(a, b, 60.0).collect()}
-    wanted = {(x, y) for x, y in itertools.product(left, right) if by_words(x, y) >= 60}
-    assert set(found) == wanted
-    assert all(abs(found[x, y] - token_set_ratio(x, y)) < 1e-9 for x, y in wanted)
+    found = {(r["a"], r["b"]): r["score"] for r in matching.similar_pairs(a, b, score).collect()}
+    wanted = {(x, y): token_set_ratio(x, y) for x, y in itertools.product(left, right)}
+    assert found.keys() == {p for p, s in wanted.items() if s >= score}
+    assert all(abs(found[p] - wanted[p]) < 1e-9 for p in found)
+
+
+def test_bounds_hold_for_random_texts(spark):
+    """What two texts share is at least what their score implies, whatever the piece length."""
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(30)] + ["longer" * 5, "longerlonger" * 3, "longer" * 9]
+    texts = sorted({" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(250)})
+    for score in (67.0, 88.0):
+        a = spark.createDataFrame([(x,) for x in texts[::2]], "a string")
+        b = spark.createDataFrame([(x,) for x in texts[1::2]], "b string")
+        found = {(r["a"], r["b"]) for r in matching.similar_pairs(a, b, score).collect()}
+        assert found == {(x, y) for x, y in itertools.product(texts[::2], texts[1::2]) if token_set_ratio(x, y) >= score}
 
 
 def test_best_descriptions_against_brute_force(spark):
     left, right = NAMES[::2], NAMES[1::3]
     c, t = products(spark, "candidate_id", left), products(spark, "target_id", right)
-    found = {r["description"]: (r["score"], -r["target_id"]) for r in matching.best_descriptions(c, t).collect()}
-    every = {r["description"]: (r["score"], -r["target_id"]) for r in matching.best_descriptions(c, t, 0.0, exhaustive=True).collect()}
-    for x in left:
-        scores = [(token_set_ratio(x, y), -i) for i, y in enumerate(right)]
-        near = [s for s, y in zip(scores, right) if by_words(x, y) >= 60]
-        assert found.get(x) == (max(near) if near else None)
-        assert every[x] == max(scores)
+    for score in (0.0, 70.0):
+        found = {r["description"]: (r["score"], -r["target_id"]) for r in matching.best_descriptions(c, t, score).collect()}
+        for x in left:
+            near = [s for s in ((token_set_ratio(x, y), -i) for i, y in enumerate(right)) if s[0] >= score and s[0] > 0]
+            assert found.get(x) == (max(near) if near else None)
 
 
 def test_an_answer_does_not_depend_on_the_other_targets(spark):
@@ -83,10 +94,8 @@ def test_an_answer_does_not_depend_on_the_other_targets(spark):
     few = ["lipstick red", "red bolt small x1"]
     many = few + [f"thing number {i} red" for i in range(5000)]
     for texts in (few, many):
-        got = {r["description"]: r["target_id"] for r in matching.best_descriptions(c, products(spark, "target_id", texts)).collect()}
-        assert got == {"small red bolt x9": 1}
-    every = matching.best_descriptions(c, products(spark, "target_id", few), exhaustive=True).collect()
-    assert {(r["description"], r["target_id"]) for r in every} == {("lipstik rd", 0), ("small red bolt x9", 1)}
+        got = {r["description"]: (r["target_id"], round(r["score"], 1)) for r in matching.best_descriptions(c, products(spark, "target_id", texts)).collect()}
+        assert got == {"lipstik rd": (0, 90.9), "small red bolt x9": (1, 94.1)}
 
 
 def test_hot_identifiers_make_one_row_per_candidate(spark):
