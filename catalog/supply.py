@@ -1,5 +1,7 @@
 """Fill rates, shortages, coverage, and product classes."""
 
+from pyspark.sql import functions as F
+
 from fillwise.operators import coverage, ranking, risk, supply
 
 from .views import AS_OF, acks, forecasts, inventory, rounded, sql
@@ -28,6 +30,18 @@ _CV = dict(
         sum(confirmed_qty) as cq from v_acks where trim(vendor_sku) <> '' and delivery_dt is not null group by 1, 2""",
     cv="select vendor_sku, stddev_pop(q) as std, stddev_pop(q) / avg(q) as cv from sm group by 1")
 
+
+def _approximate(spark, d):
+    """Counts from sketches of each month, next to whether each is within 2 % of the exact one."""
+    lines = acks(spark, d, with_order=True)
+    rough = supply.approximate_summary(forecasts(spark, d), supply.party_sketches(lines))
+    exact = supply.report_summary(forecasts(spark, d), lines)
+    parties = supply.PARTIES.values()
+    both = supply.one_row(rough.withColumnsRenamed({n: f"{n}_rough" for n in parties}), exact.select(*parties))
+    near = lambda n: (F.abs(F.col(f"{n}_rough") - F.col(n)) <= 0.02 * F.col(n)).alias(f"{n}_near")
+    return both.select("forecast_records", "ack_records", *map(near, parties))
+
+
 QUERIES = {
     "vendor_fill_pct": lambda s, d: rounded(supply.vendor_fill_pct(acks(s, d)), fill_rate=8),
     "vendor_performance": lambda s, d: rounded(
@@ -38,6 +52,8 @@ QUERIES = {
     "po_summary": lambda s, d: supply.po_summary(acks(s, d)),
     "dataset_status": lambda s, d: supply.dataset_status(forecasts(s, d), acks(s, d)),
     "report_summary": lambda s, d: supply.report_summary(forecasts(s, d), acks(s, d, with_order=True)),
+    "report_summary_approx": _approximate,
+    "four_panels": lambda s, d: rounded(supply.panel_data(forecasts(s, d), acks(s, d)), value=4),
     "dashboard_kpis": lambda s, d: rounded(
         supply.dashboard_kpis(forecasts(s, d), acks(s, d)),
         forecast_value=3, fill_rate=8, vendor_reliability=8, mape=8, wmape=8),
@@ -76,6 +92,15 @@ ORACLE = {
     "dataset_status": sql("select (select count(*) from v_forecasts) as forecasts, (select count(*) from v_acks) as acks"),
     "report_summary": sql("""select (select count(*) from v_forecasts) as forecast_records, count(*) as ack_records,
         count(distinct vendor) as vendors, count(distinct customer) as customers, count(distinct vendor_sku) as products from v_acks"""),
+    "report_summary_approx": sql("""select (select count(*) from v_forecasts) as forecast_records, count(*) as ack_records,
+        true as vendors_near, true as customers_near, true as products_near from v_acks"""),
+    "four_panels": sql("""select 'forecast' as panel, cast(forecast_month as varchar) as key, round(sum(forecast_qty), 4) as value from v_forecasts group by 2
+        union all select 'actual', cast(m as varchar), sum(c) from am where m is not null group by 2
+        union all select 'demand', cast(m as varchar), sum(o) from am where m is not null group by 2
+        union all select * from (select 'vendor_fill', vendor, round(fill * 100, 4) from by_vendor order by fill desc, vendor limit 10) v
+        union all select 'fill_rate_histogram', cast(cast(least(floor(case when o > 0 then c / o * 100 else 0 end / 5) * 5, 100) as int) as varchar), count(*)
+        from by_sku group by 2""", **_BY_SKU, **_BY_VENDOR,
+        am="select cast(date_trunc('month', delivery_dt) as date) as m, ordered_qty as o, confirmed_qty as c from v_acks"),
     "dashboard_kpis": sql("""select (select round(sum(forecast_qty), 3) from v_forecasts) as forecast_value,
         sum(ordered_qty) as ordered_quantity, sum(confirmed_qty) as confirmed_quantity,
         round(sum(confirmed_qty) / sum(ordered_qty), 8) as fill_rate,

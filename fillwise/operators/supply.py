@@ -2,10 +2,14 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.clean import blank_to_null, fill_ratio
-from .accuracy import mape, wmape
+from ..functions.clean import blank_to_null, delivery_day, fill_ratio, month
+
+
+# Columns whose distinct values a summary counts, and what it calls them.
+PARTIES = {"vendor": "vendors", "customer": "customers", "vendor_sku": "products"}
+SKETCH_BITS = 16  # 2^16 registers: counts are off by about 0.4 %
 
 
 def ordered() -> Column:
@@ -92,27 +96,78 @@ def dataset_status(forecasts: DataFrame, acks: DataFrame) -> DataFrame:
 
 
 def report_summary(forecasts: DataFrame, acks: DataFrame) -> DataFrame:
-    """Record counts and distinct parties. One distinct count per aggregate reads one column each and
-    needs no row expansion."""
-    distinct = lambda c, name: acks.agg(F.count_distinct(c).alias(name))
+    """Record counts and distinct parties, in one pass over the lines."""
     return one_row(
-        forecasts.agg(F.count("*").alias("forecast_records")), acks.agg(F.count("*").alias("ack_records")),
-        distinct("vendor", "vendors"), distinct("customer", "customers"), distinct("vendor_sku", "products"))
+        forecasts.agg(F.count("*").alias("forecast_records")),
+        acks.agg(F.count("*").alias("ack_records"), *[F.count_distinct(c).alias(n) for c, n in PARTIES.items()]))
+
+
+def party_sketches(acks: DataFrame) -> DataFrame:
+    """Per delivery month the number of lines and mergeable sketches of distinct parties, to be stored with the lines."""
+    return acks.groupBy(month(delivery_day(acks)).alias("month")).agg(
+        F.count("*").alias("ack_records"), *[F.hll_sketch_agg(c, SKETCH_BITS).alias(n) for c, n in PARTIES.items() if c in acks.columns])
+
+
+def approximate_summary(forecasts: DataFrame, sketches: DataFrame) -> DataFrame:
+    """`report_summary` from stored `party_sketches` of any months: counts of parties are approximate, no line is read."""
+    names = [n for n in PARTIES.values() if n in sketches.columns]
+    merged = sketches.agg(F.coalesce(F.sum("ack_records"), F.lit(0)).alias("ack_records"), *[
+        F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(n)), F.lit(0)).alias(n) for n in names])
+    return one_row(forecasts.agg(F.count("*").alias("forecast_records")), merged)
+
+
+def grouped_totals(forecasts: DataFrame, acks: DataFrame) -> DataFrame:
+    """Totals of the lines per product, per vendor, per month and of all, and forecasts per month and of all.
+
+    `level` tells which a row is. Lines are read once and reduced to one row per product, vendor and month before they are
+    grouped in the four ways; forecasts join them as months.
+    """
+    lines = acks.select(
+        blank_to_null(F.col("vendor_sku")).alias("vendor_sku"), blank_to_null(F.col("vendor")).alias("vendor"), month(delivery_day(acks)).alias("month"),
+        ordered().alias("ordered_qty"), confirmed().alias("confirmed_qty"), (confirmed() > ordered()).alias("over"))
+    lines = lines.groupBy("vendor_sku", "vendor", "month").agg(
+        F.sum("ordered_qty").alias("ordered_qty"), F.sum("confirmed_qty").alias("confirmed_qty"), F.count_if("over").alias("over"))
+    plans = forecasts.groupBy(month(F.col("forecast_month")).alias("month")).agg(F.sum("forecast_qty").alias("forecast_qty"))
+    both = lines.unionByName(plans, allowMissingColumns=True)
+    sums = [F.sum(c).alias(c) for c in ("ordered_qty", "confirmed_qty", "over", "forecast_qty")]
+    levels = {3: "vendor_sku", 5: "vendor", 6: "month", 7: "all"}  # bits of what is summed up over
+    totals = both.groupingSets([("vendor_sku",), ("vendor",), ("month",), ()], "vendor_sku", "vendor", "month").agg(F.grouping_id().alias("id"), *sums)
+    name = reduce(lambda c, kv: c.when(F.col("id") == kv[0], kv[1]), list(levels.items())[1:], F.when(F.col("id") == 3, levels[3]))
+    key = F.coalesce("vendor_sku", "vendor", F.col("month").cast("string"))
+    return totals.withColumn("level", name).drop("id").filter((F.col("level") == "all") | key.isNotNull())
 
 
 def dashboard_kpis(forecasts: DataFrame, acks: DataFrame, low_fill: float = 0.8) -> DataFrame:
     """The headline numbers as one row. `mape` and `wmape` are errors: lower is better."""
     zero = lambda c: F.coalesce(c, F.lit(0.0))
-    vendor_fill = totals_by(acks, "vendor").select(fill_ratio(confirmed(), ordered()).alias("fill"))
-    return one_row(
-        forecasts.agg(zero(F.sum("forecast_qty")).alias("forecast_value")),
-        acks.agg(
-            zero(F.sum("ordered_qty")).alias("ordered_quantity"),
-            zero(F.sum("confirmed_qty")).alias("confirmed_quantity"),
-            zero(fill_ratio(F.sum("confirmed_qty"), F.sum("ordered_qty"))).alias("fill_rate"),
-            F.count_if(confirmed() > ordered()).alias("products_over_supplied"),
-            F.lit(0).alias("high_risk_products")),
-        short_sku_count(acks).withColumnRenamed("short_skus", "products_short"),
-        vendor_fill.agg(zero(F.avg("fill")).alias("vendor_reliability"),
-                        F.count_if(F.col("fill") < low_fill).alias("high_risk_vendors")),
-        mape(forecasts, acks), wmape(forecasts, acks).select("wmape"))
+    of = lambda level, c: F.when(F.col("level") == level, c)
+    total = lambda c: F.sum(of("all", F.col(c)))
+    plan, fill = F.col("forecast_qty"), fill_ratio(confirmed(), ordered())
+    error = F.abs(plan - confirmed())
+    return grouped_totals(forecasts, acks).agg(
+        zero(total("forecast_qty")).alias("forecast_value"), zero(total("ordered_qty")).alias("ordered_quantity"),
+        zero(total("confirmed_qty")).alias("confirmed_quantity"), zero(fill_ratio(total("confirmed_qty"), total("ordered_qty"))).alias("fill_rate"),
+        F.coalesce(total("over"), F.lit(0)).alias("products_over_supplied"), F.lit(0).alias("high_risk_products"),
+        F.count_if(of("vendor_sku", ordered() > confirmed())).alias("products_short"),
+        zero(F.avg(of("vendor", fill))).alias("vendor_reliability"), F.count_if(of("vendor", fill < low_fill)).alias("high_risk_vendors"),
+        zero(F.avg(of("month", F.when(plan > 0, error / plan)))).alias("mape"),
+        zero(F.try_divide(F.sum(of("month", error)), F.sum(of("month", plan)))).alias("wmape"))
+
+
+def panel_data(forecasts: DataFrame, acks: DataFrame, top_vendors: int = 10, width: int = 5) -> DataFrame:
+    """panel, key and value of the four-panel report and its fill-rate histogram, from one pass over the lines.
+
+    Panels `forecast`, `actual` and `demand` have a value per month, `vendor_fill` the fill percentage of the best vendors,
+    `fill_rate_histogram` the number of products per class (see fill_rate_histogram).
+    """
+    percent = fill_ratio(confirmed(), ordered()) * 100
+    low = F.least(F.floor(percent / width) * width, F.lit(100)).cast("int").cast("string")
+    day = F.col("month").cast("string")
+    entry = lambda panel, level, key, value: F.when((F.col("level") == level) & value.isNotNull(), F.struct(
+        F.lit(panel).alias("panel"), key.alias("key"), value.cast("double").alias("value")))
+    entries = F.array_compact(F.array(
+        entry("forecast", "month", day, F.col("forecast_qty")), entry("actual", "month", day, confirmed()), entry("demand", "month", day, ordered()),
+        entry("vendor_fill", "vendor", F.col("vendor"), percent), entry("fill_rate_histogram", "vendor_sku", low, F.lit(1.0))))
+    rows = grouped_totals(forecasts, acks).select(F.inline(entries)).groupBy("panel", "key").agg(F.sum("value").alias("value"))
+    place = F.row_number().over(Window.partitionBy("panel").orderBy(F.desc("value"), "key"))  # months, classes, and one row a vendor
+    return rows.withColumn("place", place).filter((F.col("panel") != "vendor_fill") | (F.col("place") <= top_vendors)).drop("place")

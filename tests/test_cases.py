@@ -1,6 +1,7 @@
 """Small cases worked out by hand from the rules."""
 
 import datetime as dt
+import math
 import json
 
 import pytest
@@ -161,9 +162,24 @@ def test_rows_that_differ_in_a_map_are_no_copies(spark):
     assert direct.count() == 2
 
 
-def test_no_significance_without_a_closed_form(spark):
-    rows = spark.range(2, 9).select("id", slope_p_value(F.lit(0.5), F.col("id")).alias("p")).collect()
-    assert {r["id"] for r in rows if r["p"] is None} == {2, 7, 8} and all(0 < r["p"] < 1 for r in rows if r["p"] is not None)
+def test_significance_for_any_number_of_points(spark):
+    """The series against the closed forms of 3 to 6 points, and against the density summed up by Simpson's rule beyond."""
+    def outside(r, n):
+        v = n - 2
+        steps = 20_000
+        h = math.asin(r) / steps  # t = sqrt(v) tan(x) turns the density into a power of the cosine
+        f = lambda x: math.cos(x) ** (v - 1)
+        area = h / 3 * sum((1 if i in (0, steps) else 4 if i % 2 else 2) * f(i * h) for i in range(steps + 1))
+        return 1 - 2 * area * math.gamma((v + 1) / 2) / math.gamma(v / 2) / math.sqrt(math.pi)
+
+    closed = {3: lambda r: 1 - 2 * math.asin(r) / math.pi, 4: lambda r: 1 - r, 5: lambda r: 1 - 2 / math.pi * (math.asin(r) + r * math.sqrt(1 - r * r)),
+              6: lambda r: 1 - r * (1 + (1 - r * r) / 2)}
+    rows = spark.range(1, 25).crossJoin(spark.createDataFrame([(0.0,), (0.3,), (-0.7,), (0.99,), (1.0,)], "r double"))
+    for n, r, p in rows.select("id", "r", slope_p_value(F.col("r"), F.col("id")).alias("p")).collect():
+        if n < 3:
+            assert p is None
+        else:
+            assert abs(p - outside(abs(r), n)) < 1e-9 and (n not in closed or abs(p - closed[n](abs(r))) < 1e-12)
 
 
 def test_filters(spark):
