@@ -114,6 +114,21 @@ def test_lines(spark, docs):
     assert same >= 0.98 * len(want)
 
 
+def test_pipeline_stages_keep_columns_of_their_own_names(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"word{i} other{i * 7 % 61}" for i in range(60))
+    names = ["counts", "kept", "base_failed", "n_removed"]
+    rows = [(1, text + "\nshared line of both documents", "en", "s", None), (2, text.replace("word", "term") + "\nshared line of both documents", "en", "s", None)]
+    docs = spark.createDataFrame([(*r, *[f"{n} of {r[0]}" for n in names]) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, "
+                                 + ", ".join(f"`{n}` string" for n in names))
+    for number in (0, 1):
+        docs = spark.createDataFrame((out := corpus_pipeline.STAGES[number][1](spark, docs, SF)).collect(), out.schema)
+        assert out.columns == docs.columns and docs.count() == 2
+        for r in docs.collect():
+            assert [r[n] for n in names] == [f"{n} of {r.doc_id}" for n in names]
+
+
 def test_pipeline(spark, docs, ids):
     import corpus_pipeline
 
