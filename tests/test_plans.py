@@ -36,8 +36,10 @@ def test_ranking_limits_rows_before_the_shuffle(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-#: Most hash exchanges and scans in the final plan, with no side small enough to broadcast.
-SHAPES = {"filter_options": (9, 4), "search_po_expand": (12, 6), "abc_class": (11, 2), "rca_report": (9, 4), "rca_by_po": (34, 10)}
+#: Most hash exchanges and scans in the final plan, with no side small enough to broadcast. Tables that a query stores on the way
+#: (session.held) have plans of their own.
+SHAPES = {"filter_options": (9, 4), "search_po_expand": (12, 6), "abc_class": (11, 2), "rca_report": (9, 4), "rca_by_po": (16, 20),
+          "dashboard_kpis": (6, 3), "report_summary": (5, 3), "four_panels": (7, 3), "match_misspelt": (24, 18)}
 
 
 @pytest.mark.parametrize("name", sorted(SHAPES))
@@ -51,5 +53,5 @@ def test_shape_of_a_large_plan(spark, name):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     exchanges, scans = SHAPES[name]
-    assert plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange hashpartitioning") <= exchanges
+    assert sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in plan.splitlines()) <= exchanges
     assert plan.count("FileScan parquet") <= scans
