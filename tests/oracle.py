@@ -7,7 +7,6 @@ import datetime as dt
 import decimal
 import math
 import sys
-import tempfile
 import time
 
 import duckdb
@@ -26,8 +25,6 @@ def session(cores: int = 8) -> SparkSession:
         .config("spark.driver.memory", "10g").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="run-shared-"))
     return spark
 
 
