@@ -38,19 +38,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the folders of a stored table that nothing reads any more."""
-    spark = df.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
-    for folder in folders:
-        path = hadoop.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def row_key() -> Column:
-    """Identifies a row among rows that may repeat, for the time one stored table is read."""
-    return F.monotonically_increasing_id()
+def forget(*tables: DataFrame) -> None:
+    """Deletes the folders of stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def let(value: Column, use) -> Column:

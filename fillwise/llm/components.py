@@ -78,7 +78,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state[0] <= LOCAL_LINKS:
-            stars = stored(stars.coalesce(1).mapInArrow(_local_stars, pairs.schema), "stars")
+            if state[0]:
+                before, stars = stars, stored(stars.coalesce(1).mapInArrow(_local_stars, pairs.schema), "stars")
+                forget(before)
             break
         if state == seen:
             break

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fillwise.llm.common import stored
+from fillwise.llm.common import forget, stored
 from fillwise.llm.components import connected_components
 
 #: Members of a bucket whose signatures are compared at a time; larger buckets are compared block by block.
@@ -143,13 +143,14 @@ def _likely(members: DataFrame, percent: int, most: int | None) -> DataFrame:
 
 
 def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign: Callable, prepare: Callable,
-            percent: int) -> DataFrame:
+            percent: int, ties: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """node and component of all ids that are linked to another.
 
     `keys` has (key, id) and may have the sets' `size`; ids that share a key are candidates, and linked
     if their sets have a Jaccard similarity of `percent` in a hundred (sizes that rule it out save the
     check). `prepare` makes the sets, as sorted hashes, of a list of values. `values_of` gives (id, value) for a table
     of ids; equal rows may repeat. `sign` makes signatures, 8 bits a number, of a list of values.
+    `ties` gives links (a, b) that hold without a check, from a table of the ids in shared buckets.
 
     First each member of a bucket is checked against the least one: a bucket of copies of one text
     costs one check a member. In buckets whose members then still lie in different components, all
@@ -165,11 +166,13 @@ def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign:
         sizes = members.select(F.col("id").alias("center"), F.col("size").alias("center_size")).distinct()
         stars = stars.join(sizes, "center").filter(100 * F.least("size", "center_size") >= percent * F.greatest("size", "center_size"))
     stars = stored(stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(_checked(stars, values, prepare, percent), "links")
+    links = _checked(stars, values, prepare, percent)
+    if ties is not None:
+        links = links.unionByName(ties(members.select("id").distinct()))
+    links = stored(links, "links")
     components = stored(connected_components(links), "components")
-    tested = stars
+    tested, read = stars, [members, values, stars, links]
     left = members.join(centers, "key").filter(F.col("id") != F.col("center")).select("key", "id")
-    bucket = Window.partitionBy("key")
 
     def signed(batches):
         for batch in batches:
@@ -180,13 +183,24 @@ def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign:
     signatures = None
     for most in (FIRST_PAIRS, None):
         left = left.join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        left = left.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)}).filter("low != high")
-        left = stored(left.select("key", "id", "component"), "mixed")
+        left = stored(left, "left")
+        mixed = left.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        left, before = stored(left.join(mixed, "key", "left_semi").select("key", "id", "component"), "mixed"), left
+        forget(before)
+        read.append(left)
+        if left.isEmpty():
+            break
         if signatures is None:  # the second comparison is among members of the first
             own = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
             signatures = stored(own.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary"), "signed")
+            read.append(signatures)
         pairs = stored(_likely(left.join(signatures, "id"), percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        read.append(pairs)
+        if pairs.isEmpty():
+            continue
         links = stored(links.unionByName(_checked(pairs, values, prepare, percent)), "links")
-        components = stored(connected_components(links), "components")
+        before, components = components, stored(connected_components(links), "components")
+        read += [links, before]
         tested, left = tested.unionByName(pairs), left.select("key", "id")
+    forget(*read)
     return components

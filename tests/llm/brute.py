@@ -102,24 +102,26 @@ def near_documents(docs, width, percent=80):
     return {i: (len(s), groups.find(i)) for i, s in sets.items()}
 
 
-def similarity_of_lines(a, b, width=8):
-    x, y = ({s[i : i + width] for i in range(max(1, len(s) - width + 1))} for s in (a, b))
-    return len(x & y) / len(x | y)
+def line_set(line, width):
+    return {line[i : i + width] for i in range(max(1, len(line) - width + 1))}
 
 
-def line_groups(docs, percent=80, width=8):
-    """The texts by doc_id less lines that repeat another; what stays is each group's first by (doc_id, number)."""
+def line_groups(docs, percent=80):
+    """The texts by doc_id less lines that repeat another; what stays is each group's first by (doc_id, number).
+
+    Lines below 100 characters are compared by shingles of 3, lines of 80 or more by shingles of 8.
+    """
     places = defaultdict(list)
     for i, t in docs:
         for n, x in enumerate((t or "").split("\n")):
             if WORD.search(x):
                 places[x].append((i, n))
-    sets = {x: {x[i : i + width] for i in range(max(1, len(x) - width + 1))} for x in places}
     groups = Groups()
     for x in places:
         groups.find(x)
-    for a, b in _similar(sets, percent):
-        groups.join(a, b)
+    for width, own in ((3, [x for x in places if len(x) < 100]), (8, [x for x in places if len(x) >= 80])):
+        for a, b in _similar({x: line_set(x, width) for x in own}, percent):
+            groups.join(a, b)
     members = defaultdict(list)
     for x, own in places.items():
         members[groups.find(x)] += own
