@@ -14,8 +14,8 @@ from fillwise.llm.hashing import mix, permutations
 from fillwise.llm.linking import resolve
 
 #: Characters of a shingle. A changed character inside a line of n takes `width` shingles of either set, so 0.8 is
-#: kept from 10 * width - 1 characters on: 29 for short lines, 79 for long ones, whose sets narrow shingles would fill up.
-SHORT_WIDTH, LONG_WIDTH = 3, 8
+#: kept from 10 * width - 1 characters on: 39 for short lines, 79 for long ones, whose sets narrow shingles would fill up.
+SHORT_WIDTH, LONG_WIDTH = 4, 8
 #: Lines of fewer than SHORT_BELOW characters are compared by short shingles, those of LONG_FROM or more by long ones, those between by both.
 SHORT_BELOW, LONG_FROM = 100, 80
 #: A line is a node under its own hash for the long comparison, and under this turned one for the short comparison.

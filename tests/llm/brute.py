@@ -109,7 +109,7 @@ def line_set(line, width):
 def line_groups(docs, percent=80):
     """The texts by doc_id less lines that repeat another; what stays is each group's first by (doc_id, number).
 
-    Lines below 100 characters are compared by shingles of 3, lines of 80 or more by shingles of 8.
+    Lines below 100 characters are compared by shingles of 4, lines of 80 or more by shingles of 8.
     """
     places = defaultdict(list)
     for i, t in docs:
@@ -119,7 +119,7 @@ def line_groups(docs, percent=80):
     groups = Groups()
     for x in places:
         groups.find(x)
-    for width, own in ((3, [x for x in places if len(x) < 100]), (8, [x for x in places if len(x) >= 80])):
+    for width, own in ((4, [x for x in places if len(x) < 100]), (8, [x for x in places if len(x) >= 80])):
         for a, b in _similar({x: line_set(x, width) for x in own}, percent):
             groups.join(a, b)
     members = defaultdict(list)
