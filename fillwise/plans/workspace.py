@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import accuracy, coverage, filters, monthly, ranking, risk, search, supply
+from ..operators import accuracy, coverage, filters, monthly, postings, ranking, risk, search, supply
 from ..operators.questions import answer, asked_entities
 from ..operators.root_cause import root_cause
 from ..schemas import ACK_LINES, FORECASTS, INVENTORY
@@ -126,6 +126,23 @@ class Workspace:
         return {"forecast_matches": f, "ack_matches": a, "timeline": monthly.product_timeline(f, a),
                 "root_report": self.root_cause(query, **options)}
 
+    def investigate_all(self, texts: DataFrame, **options) -> dict[str, DataFrame]:
+        """Everything about a table of plain search texts (column `query`), each row with its `query` or `entity`."""
+        f, a = postings.search_texts(self.forecasts, self.acks, texts)
+        entities = texts.select(F.trim("query").alias("entity")).filter("entity != ''").distinct()
+        return {"forecast_matches": f, "ack_matches": a, "timeline": monthly.keyed_months(f, a, F.col("query")),
+                "root_report": self.root_causes(entities, **options)}
+
+    def write_index(self, folder: str, blocks: int = postings.BLOCKS) -> None:
+        """Stores a search index of forecasts and lines in a new folder."""
+        postings.write_index(self.forecasts, search.FORECAST_FIELDS, f"{folder}/forecasts", blocks)
+        postings.write_index(self.acks, search.ACK_FIELDS, f"{folder}/acks", blocks)
+
+    def search_index(self, folder: str, query: str | None) -> tuple[DataFrame, DataFrame]:
+        """What `search` finds, through an index that `write_index` has stored."""
+        return postings.search_index(postings.SearchIndex(self.spark, f"{folder}/forecasts", search.FORECAST_FIELDS),
+                                     postings.SearchIndex(self.spark, f"{folder}/acks", search.ACK_FIELDS), query)
+
     def answer(self, questions: DataFrame, **options) -> DataFrame:
         """Answers to a table of questions (column `question`)."""
         asked = asked_entities(questions, self.forecasts, self.acks, names=(*ALL_KEYS, "po_number"))
