@@ -74,10 +74,10 @@ def least_share(percent: int, values: int) -> float:
     return asked - DEVIATIONS * math.sqrt(asked * (1 - asked) / values)
 
 
-def _likely(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+def _likely(members: DataFrame, signatures: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Pairs (a, b) of one bucket and different components whose signatures make the similarity likely.
 
-    `members` has (key, id, component, signature). A bucket is cut into blocks and each pair of blocks
+    `members` has (key, id, component), `signatures` (id, signature). A bucket is cut into blocks and each pair of blocks
     compared on its own, so no bucket has to fit in one task; only likely pairs leave it, of each member
     the `most` likeliest (None: all). Two members that share several buckets meet in the least key only.
     """
@@ -89,7 +89,8 @@ def _likely(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     turns = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.struct(
         F.least("block", i).alias("low"), F.greatest("block", i).alias("high")))
     rows = rows.withColumn("turn", F.explode(turns)).select(
-        "key", F.col("turn.low").alias("low"), F.col("turn.high").alias("high"), "block", "id", "component", "signature", "keys")
+        "key", F.col("turn.low").alias("low"), F.col("turn.high").alias("high"), "block", "id", "component", "keys")
+    rows = rows.join(signatures, "id")  # last: a signature is longer than all the rest
     group = ["key", "low", "high"]
     rows = rows.repartition(*group).sortWithinPartitions(*group)
 
@@ -194,7 +195,7 @@ def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign:
             own = values.join(left.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
             signatures = stored(own.select("id", "value").mapInArrow(signed, f"id {kind}, signature binary"), "signed")
             read.append(signatures)
-        pairs = stored(_likely(left.join(signatures, "id"), percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
+        pairs = stored(_likely(left, signatures, percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
         read.append(pairs)
         if pairs.isEmpty():
             continue

@@ -28,9 +28,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from fillwise.llm.common import chunks_by_size, stored, worker_state
 from fillwise.llm.hashing import mix
 
-#: Slots of hashed tables of orders 1 to 5, as powers of two, for window_scores(); scoring documents needs none.
-SLOT_BITS = (16, 19, 20, 21, 21)
-ORDERS, END = len(SLOT_BITS), 0xFF
+#: Orders of the contexts, and the byte after a text.
+ORDERS, END = 5, 0xFF
 CHUNK_BYTES = 1_000_000
 #: Distinct windows after which a chunk of texts ends, and windows held before they are merged.
 CHUNK_TYPES, HELD_TYPES = 600_000, 1_200_000
@@ -77,15 +76,6 @@ def pieces(texts: list[bytes]):
         yield done()
 
 
-def slots(windows: np.ndarray, order: int, place: int) -> np.ndarray:
-    """The slot of each window's context of an order before its bit number `place` (0 is the highest)."""
-    context = (windows >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)
-    node = ((windows & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - place)
-    if order == 1:
-        return (context << np.uint64(8) | node).astype(np.int64)
-    return (mix(context << np.uint64(9) | node) >> np.uint64(64 - SLOT_BITS[order - 1])).astype(np.int64)
-
-
 def bit(windows: np.ndarray, place: int) -> np.ndarray:
     return (windows >> np.uint64(7 - place)) & np.uint64(1) == 1
 
@@ -232,39 +222,45 @@ def count_grams(types: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def totals(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(9, keys): occurrences of each key's context followed by the first 0 to 8 bits of its byte; keys are sorted."""
-    out = np.empty((9, len(keys)), np.float32)
+    """(9, keys): occurrences of each key's context followed by the first 0 to 8 bits of its byte; keys are sorted.
+
+    Whole numbers, so that their differences are exact however frequent a context is.
+    """
+    out = np.empty((9, len(keys)), np.int64)
     for bits in range(9):
         part = keys >> np.uint64(8 - bits)
         first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        out[bits] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
+        out[bits] = np.repeat(np.add.reduceat(n.astype(np.int64), first), np.diff(np.append(first, len(keys))))
     return out
 
 
 def low_orders(grams: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted keys and totals of orders 1 and 2."""
     pairs, where = np.unique(grams & np.uint64(0xFFFF), return_inverse=True)
-    return [(pairs, totals(pairs, np.bincount(where, n, len(pairs)))), (grams, totals(grams, n))] if len(grams) else []
+    return [(pairs, totals(pairs, np.bincount(where, n, len(pairs)).astype(np.int64))), (grams, totals(grams, n))] if len(grams) else []
 
 
 def path_counts(keys: np.ndarray, n: np.ndarray, low: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """(orders, 9, keys) totals of each key's path in each order; `keys` has whole contexts of order 3."""
-    out = np.empty((ORDERS, 9, len(keys)), np.float32)
+    """(orders, 2, 8, keys): how often each bit of a key came after its path in each order, and how often the other bit did.
+
+    `keys` has whole contexts of order 3.
+    """
+    out = np.empty((ORDERS, 2, 8, len(keys)), np.float32)
     for order in range(1, ORDERS + 1):
+        own, where = np.unique(context_keys(keys, order), return_inverse=True)
         if order < 3:
             known, sums = low[order - 1]
-            out[order - 1] = sums[:, np.searchsorted(known, context_keys(keys, order))]
-        elif order < ORDERS:
-            own, where = np.unique(context_keys(keys, order), return_inverse=True)
-            out[order - 1] = totals(own, np.bincount(where, n, len(own)))[:, where]
+            sums = sums[:, np.searchsorted(known, own)]
         else:
-            out[order - 1] = totals(keys, n)
+            sums = totals(own, np.bincount(where, n, len(own)).astype(np.int64))
+        out[order - 1, 0] = sums[1:].astype(np.float32)[:, where]
+        out[order - 1, 1] = (sums[:-1] - sums[1:]).astype(np.float32)[:, where]
     return out
 
 
 def inputs_of(counts: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """(keys, 8, orders): stretched probabilities of a one at each place, NaN where the context is unknown."""
-    same, other = counts[:, 1:], counts[:, :-1] - counts[:, 1:]
+    same, other = counts[:, 0], counts[:, 1]
     ones = np.stack([bit(keys, p) for p in range(8)])
     return np.ascontiguousarray(logits(np.where(ones, other, same), np.where(ones, same, other)).transpose(2, 1, 0))
 
@@ -322,7 +318,9 @@ def learn(keys: np.ndarray, n: np.ndarray, texts: np.ndarray, low: list, weights
         used = np.flatnonzero(n[a:b])
         used = used[np.argsort(mix(keys[a:b][used]))]  # neighbours share contexts
         own, times = keys[a:b][used], n[a:b][used]
-        inputs = inputs_of(np.maximum(counts[:, :, used] - (times / texts[a:b][used]).astype(np.float32), 0), own)
+        counts = counts[..., used]
+        counts[:, 0] = np.maximum(counts[:, 0] - (times / texts[a:b][used]).astype(np.float32), 0)
+        inputs = inputs_of(counts, own)
         truth = np.stack([bit(own, p) for p in range(8)], axis=1)
         nodes = np.stack([((own & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - p) for p in range(8)], axis=1).astype(np.int64)
         for i in range(0, len(own), step):
@@ -398,11 +396,6 @@ def mixed(byte: np.ndarray, inputs, weights: np.ndarray, last: np.ndarray) -> np
     return total
 
 
-def window_scores(windows: np.ndarray, stretched: list[np.ndarray], weights: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """log10 probability of each window's byte after its five others, by tables over hashed slots."""
-    return mixed(windows, lambda p: np.stack([t[slots(windows, i, p)] for i, t in enumerate(stretched, 1)], axis=1), weights, last)
-
-
 def key_scores(keys: np.ndarray, n: np.ndarray, low: list, weights: np.ndarray, last: np.ndarray) -> np.ndarray:
     """log10 probability of each key's byte after its five others, by the exact counts of a bucket."""
     out = np.empty(len(keys), np.float32)

@@ -88,14 +88,45 @@ def test_mixing(spark, docs, none):
     assert mixing.score_documents(none).count() == 0
 
 
+def _model_of(keys, n):
+    grams, where = np.unique(mixing.context_keys(keys, 2), return_inverse=True)
+    return mixing.low_orders(grams, np.bincount(where, n).astype(np.int64))
+
+
 def test_mixing_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
-    stretched = [rng.normal(size=1 << b).astype(np.float32) for b in mixing.SLOT_BITS]
-    stretched[3][::2] = np.nan
     last = np.tile(1 / (1 + np.exp(-np.linspace(-8, 8, mixing.BUCKETS))), (256, 1))
-    windows = np.arange(256, dtype=np.uint64) | np.uint64(0x6162636465 << 8)
-    total = (10 ** mixing.window_scores(windows, stretched, rng.normal(size=(mixing.GATES, 6)), last)).sum()
-    assert abs(total - 1) < 1e-6
+    keys = np.sort(mixing.keys_of(np.arange(256, dtype=np.uint64) | np.uint64(0x6162636465 << 8)))
+    n = rng.integers(0, 3, 256)
+    total = (10.0 ** mixing.key_scores(keys, n, _model_of(keys, n), rng.normal(size=(mixing.GATES, 6)), last)).sum()
+    assert abs(total - 1) < 1e-5
+
+
+def test_mixing_counts_frequent_contexts_exactly():
+    keys = np.sort(mixing.keys_of(np.array([0x10, 0x90, 0x91], np.uint64) | np.uint64(0x6162636465 << 8)))
+    n = np.array([3, 40_000_000, 1])  # three bytes that begin with a zero
+    counts = mixing.path_counts(keys, n, _model_of(keys, n))
+    for own in counts:
+        assert own[1, 0, 1:].tolist() == [3, 3] and own[1, 7].tolist() == [0, 1, 40_000_000]
+        assert own[0, 7].tolist() == n.tolist() and math.isclose(own[1, 0, 0], 40_000_001, rel_tol=1e-7)  # a count is rounded, a difference is not
+
+
+def test_mixing_inputs_by_plain_counts():
+    """Every input of a few windows against counts of bits taken one by one."""
+    rng = random.Random(3)
+    text = bytes(rng.choice(b"abAB\xe9") for _ in range(400))
+    windows = np.concatenate([w for w, _, _ in mixing.pieces([text])])
+    keys, n = np.unique(mixing.keys_of(windows), return_counts=True)
+    got = mixing.inputs_of(mixing.path_counts(keys, n, _model_of(keys, n)), keys)
+    whole = bytes(mixing.ORDERS) + text + bytes([mixing.END])
+    at = {int(mixing.keys_of(np.array([int.from_bytes(whole[i - 5 : i + 1], "big")], np.uint64))[0]): i for i in range(5, len(whole))}
+    for row in rng.sample(range(len(keys)), 30):
+        i = at[int(keys[row])]
+        for order in range(1, 6):
+            after = [whole[j] for j in range(5, len(whole)) if whole[j - order : j] == whole[i - order : i]]
+            for place in range(8):
+                bits = [x >> (7 - place) & 1 for x in after if x >> (8 - place) == whole[i] >> (8 - place)]
+                assert math.isclose(got[row, place, order - 1], math.log((sum(bits) + 0.4) / (len(bits) - sum(bits) + 0.4)), rel_tol=1e-5, abs_tol=1e-6)
 
 
 def test_long_text_in_slices(monkeypatch):
