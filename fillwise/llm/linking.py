@@ -198,6 +198,7 @@ def resolve(keys: DataFrame, values_of: Callable[[DataFrame], DataFrame], sign:
         pairs = stored(_likely(left, signatures, percent, most).join(tested, ["a", "b"], "left_anti"), "pairs")
         read.append(pairs)
         if pairs.isEmpty():
+            left = left.select("key", "id")
             continue
         links = stored(links.unionByName(_checked(pairs, values, prepare, percent)), "links")
         before, components = components, stored(connected_components(links), "components")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from fillwise.llm import bpe, bwt, common, components, forest, fuzzy_lines, hashing, minmax, mixing, packing, pretokens, quality, secrets, token_counts
+from fillwise.llm import bpe, bwt, common, components, forest, fuzzy_lines, hashing, linking, minmax, mixing, packing, pretokens, quality, secrets, token_counts
 from fillwise.llm.common import scratch
 from tests.llm import brute
 
@@ -456,3 +456,13 @@ def test_hot_anchor_is_split_and_no_merge_is_large(spark, monkeypatch):
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.left)) for r in bwt.without_repeats(docs).collect()}
     assert got == brute.without_repeated_strings(list(enumerate(texts)))
     assert len(sizes) > 1 and max(sizes) <= 4000
+
+
+def test_buckets_without_likely_pairs(spark):
+    """Members of one bucket whose signatures rule each other out: neither comparison of the bucket has pairs."""
+    keys = spark.createDataFrame([(1, n) for n in "abc"], "key long, id string")
+    values = spark.createDataFrame([("a", "0"), ("b", "100"), ("c", "200")], "id string, value string")
+    sets = lambda texts: [np.arange(int(t), int(t) + 50).astype(np.uint64) for t in texts]
+    sign = lambda texts: [np.full(128, int(t), np.uint8) for t in texts]
+    got = linking.resolve(keys, lambda ids: values.join(ids, "id"), sign, sets, 80)
+    assert got.columns == ["node", "component"] and got.count() == 0
