@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fillwise.llm.common import SPACE, WORD, let
+from fillwise.llm.common import SPACE, WORD, let, stored
 
 #: Each rule's score counts these of a document in thousandths of those; higher is worse.
 RULES = {
@@ -90,7 +90,7 @@ def allowed_failures(n: Column, limit: float, level: Column) -> Column:
 
 
 def certified_cutoffs(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", limit: float = 0.02,
-                      error: float = 0.05, weight: int = 5, holdout_rows: int = 50_000) -> DataFrame:
+                      error: float = 0.05, weight: int = 5) -> DataFrame:
     """stratum, rule and the cutoff in thousandths above which a document is rejected.
 
     With probability 1 - `error` the rules together reject at most a share `limit` of the good
@@ -100,19 +100,19 @@ def certified_cutoffs(docs: DataFrame, labels: DataFrame, *, stratum: str = "lan
     one fails. Of the certified cutoffs a rule takes the one with most rejected bad less `weight`
     times rejected good holdout documents, the most lenient of equals; with none certified it is off.
 
-    The holdout is the `holdout_rows` labelled ids of lowest MD5 (a bounded sample, for this fit
-    only). A document with contradicting labels counts as bad. Null labels and ids are left out; a
-    null stratum is the stratum ''.
+    The holdout are all labelled documents. One with contradicting labels counts as bad. Null labels
+    and ids are left out; a null stratum is the stratum ''. Texts are counted where they lie, once,
+    and only their counts meet the labels.
     """
     rows = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = rows.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(holdout_rows)  # at most holdout_rows narrow rows
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
-    held = with_counts(texts.join(F.broadcast(sample), "doc_id"))
+    held = with_counts(texts.filter("doc_id is not null")).drop("text").join(rows, "doc_id")
     good = (F.col("quality") == 1).cast("long")
     each = held.select("stratum", good.alias("good"), F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), F.ceil(score(r) / STEP).alias("bucket")) for r in RULES])).alias("x"))
     found = each.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.bucket").alias("bucket")).agg(
         F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    found = stored(found, "buckets")  # a row per stratum, rule and bucket, read twice
     # A document fails cutoff c * STEP exactly if its bucket is above c.
     spread = found.groupBy("stratum", "rule").agg(
         F.sum("good").alias("n"), F.collect_list(F.struct("bucket", "good", "bad")).alias("buckets"))

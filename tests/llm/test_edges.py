@@ -458,6 +458,13 @@ def test_hot_anchor_is_split_and_no_merge_is_large(spark, monkeypatch):
     assert len(sizes) > 1 and max(sizes) <= 4000
 
 
+def test_cutoffs_are_certified_on_all_labels(spark):
+    """1,020 good documents of a rare language prove a cutoff; five in six of them would not."""
+    rows = spark.range(61_200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 60 == 0, "rare").otherwise("en").alias("lang"), F.lit("plain words").alias("text"))
+    cutoffs = quality.certified_cutoffs(rows, rows.select("doc_id", F.lit(1).alias("quality")))
+    assert {r.stratum for r in cutoffs.collect()} == {"en", "rare"}
+
+
 def test_buckets_without_likely_pairs(spark):
     """Members of one bucket whose signatures rule each other out: neither comparison of the bucket has pairs."""
     keys = spark.createDataFrame([(1, n) for n in "abc"], "key long, id string")
