@@ -18,6 +18,10 @@ _ACK = ["source_file", "line_no", "po_number", "vendor", "vendor_sku", "buyer_pa
         "po_date", "requested_dt"]
 
 
+#: A packed file is read by one task.
+DOCUMENTS_A_FILE = 100_000
+
+
 def scratch(spark, name: str) -> str:
     """A new folder below the shared folder, which all tasks can reach; a session without one gets its own."""
     if not spark.conf.get("spark.checkpoint.dir", None):
@@ -102,11 +106,11 @@ def _flat(spark, d):
 
 
 def _streamed(spark, d):
-    """Documents written to files, read by the stream into a table, and read again (nothing is added)."""
+    """Documents written to packed files of DOCUMENTS_A_FILE, read by the stream into a table, and read again (nothing is added)."""
     root = scratch(spark, "acks")
-    _documents(spark, d).select("document").write.text(f"{root}/in")
+    _documents(spark, d).select("document").write.option("maxRecordsPerFile", DOCUMENTS_A_FILE).text(f"{root}/in", compression="gzip")
     for _ in range(2):
-        ingest.ingest_acks(spark, f"{root}/in", f"{root}/table", f"{root}/checkpoint", json_lines=True, pattern="*.txt").awaitTermination()
+        ingest.ingest_acks(spark, f"{root}/in", f"{root}/table", f"{root}/checkpoint", json_lines=True, pattern="*.txt.gz").awaitTermination()
     return spark.read.parquet(f"{root}/table").groupBy("po_number", "vendor").agg(
         F.count("*").alias("lines"), F.sum("ordered_qty").alias("ordered_qty"), F.sum("confirmed_qty").alias("confirmed_qty"))
 

@@ -55,3 +55,11 @@ def test_shape_of_a_large_plan(spark, name):
     exchanges, scans = SHAPES[name]
     assert sum("Exchange hashpartitioning" in line and "ReusedExchange" not in line for line in plan.splitlines()) <= exchanges
     assert plan.count("FileScan parquet") <= scans
+
+
+def test_streamed_documents_are_packed(spark, tmp_path, monkeypatch):
+    from catalog import loading
+
+    monkeypatch.setattr(loading, "scratch", lambda spark, name: str(tmp_path / name))
+    assert loading._streamed(spark, SF).count() > 0
+    assert {p.suffix for p in (tmp_path / "acks" / "in").glob("part-*")} == {".gz"}
