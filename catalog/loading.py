@@ -296,7 +296,7 @@ def _melted(spark, d):
     months = [r["m"] for r in _months(spark, d).select(F.explode("months").alias("m")).collect()]
     labels = [m.strftime("%b %Y") for m in months]
     wide = (
-        snapshots(spark, d).filter("snapshot_no = 1")
+        snapshots(spark, d).filter("snapshot_no = 1").repartition("vendor_sku")  # a task has the wide rows of its products only
         .groupBy("vendor_sku").pivot("forecast_month", months).agg(F.max("forecast_qty")).toDF("vendor_sku", *labels)
         .withColumn("note", F.lit("x"))
     )

@@ -63,3 +63,8 @@ def test_streamed_documents_are_packed(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(loading, "scratch", lambda spark, name: str(tmp_path / name))
     assert loading._streamed(spark, SF).count() > 0
     assert {p.suffix for p in (tmp_path / "acks" / "in").glob("part-*")} == {".gz"}
+
+
+def test_wide_rows_are_made_where_their_products_are(spark):
+    plan = entry.queries()["forecast_unpivot"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(vendor_sku") == 1
