@@ -6,7 +6,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from fillwise.functions.months import fiscal_month, month_label
-from fillwise.session import shared_folder
+from fillwise.session import held, shared_folder
 from fillwise.sources import acks as ack_source, forecasts as sheets, inventory as stock, sinks
 from fillwise.streaming import ingest
 from fillwise.streaming.forecast_table import ForecastTable
@@ -17,7 +17,6 @@ _ACK = ["source_file", "line_no", "po_number", "vendor", "vendor_sku", "buyer_pa
         "confirmed_cases", "pack_value", "ordered_qty", "confirmed_qty", "price", "status_code", "delivery_dt",
         "po_date", "requested_dt"]
 
-
 #: A packed file is read by one task.
 DOCUMENTS_A_FILE = 100_000
 
@@ -154,8 +153,9 @@ def _sheet_lines(spark, d):
             F.struct(F.lit(1 << 40).alias("seq"), F.concat(F.lit(",Overall Result,"), F.array_join(
                 F.transform("months", lambda m: F.lit("999")), ",")).alias("line"))))
     heads = files.select("source_file", F.explode(head).alias("h")).select("source_file", "h.*")
-    return body.unionByName(heads).select(
+    lines = body.unionByName(heads).select(
         "source_file", F.lit(0).cast("bigint").alias("block"), "seq", F.current_timestamp().alias("modified_at"), "line")
+    return held(lines, "sheet-lines")  # they are read several times
 
 
 def _sheet_facts(spark, d):
@@ -167,9 +167,9 @@ def _sheet_facts(spark, d):
 def _write_sheets(lines, folder):
     """One file per sheet, in a folder named after it."""
     file = F.regexp_extract("source_file", r"^plans/(.*)\.csv$", 1)
-    whole = lines.groupBy(file.alias("sheet")).agg(F.sort_array(F.collect_list(F.struct("seq", "line"))).alias("rows"))  # one sheet
-    whole.select("sheet", F.array_join("rows.line", "\n").alias("text")).repartition("sheet").write.partitionBy("sheet").format("csv").option(
-        "quote", "").option("sep", "\x01").option("lineSep", "\n").option("emptyValue", "").save(folder)
+    rows = lines.select(file.alias("sheet"), "seq", "line").repartition("sheet").sortWithinPartitions("sheet", "seq")  # streamed to its file
+    rows.select("sheet", "line").write.partitionBy("sheet").format("csv").option("quote", "").option("sep", "\x01").option("lineSep", "\n").option(
+        "emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).save(folder)
 
 
 def _read_sheets(spark, d):

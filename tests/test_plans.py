@@ -68,3 +68,12 @@ def test_streamed_documents_are_packed(spark, tmp_path, monkeypatch):
 def test_wide_rows_are_made_where_their_products_are(spark):
     plan = entry.queries()["forecast_unpivot"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(vendor_sku") == 1
+
+
+def test_sheet_lines_are_built_once(spark):
+    """Readers go over the lines several times; each would build them anew from the lines of orders."""
+    from catalog import loading
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        loading.scratch(spark, "any")
+    assert "lineitem" not in loading._sheet_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
