@@ -77,3 +77,12 @@ def test_sheet_lines_are_built_once(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         loading.scratch(spark, "any")
     assert "lineitem" not in loading._sheet_lines(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_found_by_many_texts_are_not_shuffled(spark):
+    from catalog import selection
+    from fillwise.operators import postings
+
+    f, _ = postings.search_texts(selection._fcst(spark, SF), selection._lines(spark, SF), selection._texts(spark, SF))
+    assert "HashAggregate(keys=[query#" not in "".join(
+        line for line in f._jdf.queryExecution().executedPlan().toString().splitlines(True) if "forecast_month" in line)
