@@ -167,9 +167,11 @@ def _sheet_facts(spark, d):
 def _write_sheets(lines, folder):
     """One file per sheet, in a folder named after it."""
     file = F.regexp_extract("source_file", r"^plans/(.*)\.csv$", 1)
-    rows = lines.select(file.alias("sheet"), "seq", "line").repartition("sheet").sortWithinPartitions("sheet", "seq")  # streamed to its file
-    rows.select("sheet", "line").write.partitionBy("sheet").format("csv").option("quote", "").option("sep", "\x01").option("lineSep", "\n").option(
-        "emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).save(folder)
+    # A value with a line break would be quoted, so each line of a cell is a row of its own; sorted rows are streamed to their file.
+    rows = lines.select(file.alias("sheet"), "seq", F.posexplode(F.split("line", "\n")).alias("part", "text")).repartition("sheet")
+    rows.sortWithinPartitions("sheet", "seq", "part").select("sheet", "text").write.partitionBy("sheet").format("csv").option("quote", "").option(
+        "sep", "\x01").option("lineSep", "\n").option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False).save(folder)
 
 
 def _read_sheets(spark, d):

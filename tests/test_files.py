@@ -297,3 +297,14 @@ def test_month_labels_with_a_day_or_two_digits(spark):
     none = ["total 2026", "q1 2026", "2026 total", "July", "31-Foo-26", "1 2 3"]
     rows = spark.createDataFrame([(x,) for x in july + none], "h string").select("h", month_label(F.col("h")).alias("m")).collect()
     assert {r["h"] for r in rows if r["m"] == D(2026, 7, 1)} == set(july) and {r["h"] for r in rows if r["m"] is None} == set(none)
+
+
+def test_a_sheet_is_written_as_its_lines(spark, tmp_path):
+    """A cell with a line break, a blank line and blanks around a line, in the order of the sheet."""
+    from catalog import loading
+
+    text = ["  first ", "  ", '7,"Item,\n boxed",1', "last"]
+    lines = spark.createDataFrame([("plans/group 1.csv", i, x) for i, x in enumerate(text)], "source_file string, seq long, line string").repartition(3)
+    loading._write_sheets(lines, str(tmp_path / "out"))
+    (file,) = (tmp_path / "out" / "sheet=group 1").glob("part-*")
+    assert file.read_text() == "\n".join(text) + "\n"
