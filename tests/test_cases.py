@@ -242,3 +242,17 @@ def test_workers_need_no_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows" in done.stdout, done.stderr[-2000:]
+
+
+def test_a_po_gets_lists_of_months_and_no_sku_that_its_line_covers(spark):
+    """P1 is planned under one UPC only, P2 under two: the UPC of the line covers P1, not P2."""
+    from fillwise.operators.reach import reached
+
+    f = frame(spark, "vendor_sku string, upc string, forecast_month date, forecast_qty double",
+              *[("P1", "555", D(2024, m, 1), 1.0) for m in range(1, 13)], ("P2", "555", D(2024, 1, 1), 10.0), ("P2", "556", D(2024, 1, 1), 100.0))
+    a = frame(spark, "po_number string, vendor_sku string, upc string, delivery_date string, ordered_qty double, confirmed_qty double",
+              ("PO1", "P1", "555", "2024-02-02", 1.0, 1.0), ("PO2", "P2", "555", "2024-02-02", 1.0, 1.0), ("PO3", "P2", None, "2024-02-02", 1.0, 1.0))
+    rows = reached(f, a, None, (), None).groupBy("entity").count().collect()
+    assert dict(map(tuple, rows)) == {"PO1": 1, "PO2": 3, "PO3": 1}  # lists, however many months
+    report = rca_by_po(f, a, as_of="2024-12-31", lookback_months=24)
+    assert {r["entity"]: r["total_forecast"] for r in report.collect()} == {"PO1": 22.0, "PO2": 122.0, "PO3": 110.0}
