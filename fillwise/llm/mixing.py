@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fillwise.llm.common import chunks_by_size, stored, worker_state
+from fillwise.llm.common import arrow_batches, chunks_by_size, stored, worker_state
 from fillwise.llm.hashing import mix
 
 #: Orders of the contexts, and the byte after a text.
@@ -37,6 +37,8 @@ CHUNK_TYPES, HELD_TYPES = 600_000, 1_200_000
 BUCKET_BYTES, LEAST_BUCKETS = 4_000_000, 256
 #: Windows whose counts are laid out at a time, in whole contexts of order 3.
 SLICE_TYPES = 100_000
+#: A worker and its JVM both hold a batch of rows, which are windows of whole chunks and buckets.
+BATCH = "8m"
 #: Gates: known orders (0 to 5) times the bit's place; buckets of the last stage's logits from -8 to 8.
 GATES, BUCKETS = (ORDERS + 1) * 8, 33
 LEAST = 1e-4
@@ -459,6 +461,11 @@ def score_documents(docs: DataFrame, *, frequent_words: int = 200_000) -> DataFr
     in the tasks that score; the others are joined by word, exactly. Null and empty texts have the end only. Rows
     without doc_id train. No training rows: every base probability is 1 and every bit's is one half.
     """
+    with arrow_batches(docs.sparkSession, BATCH):  # all that runs in Python is stored before it ends
+        return _scored(docs, frequent_words)
+
+
+def _scored(docs: DataFrame, frequent_words: int) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = rows.filter(~held_out(F.col("doc_id")))
     words = stored(count_words(train), "words")

@@ -473,3 +473,12 @@ def test_buckets_without_likely_pairs(spark):
     sign = lambda texts: [np.full(128, int(t), np.uint8) for t in texts]
     got = linking.resolve(keys, lambda ids: values.join(ids, "id"), sign, sets, 80)
     assert got.columns == ["node", "component"] and got.count() == 0
+
+
+def test_mixing_hands_out_small_batches(spark, docs, monkeypatch):
+    """Rows are whole buckets and chunks of windows: batches are cut by bytes, and the setting is put back."""
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(mixing, "stored", lambda df, folder: (seen.append(spark.conf.get(name)), common.stored(df, folder))[1])
+    mixing.score_documents(docs)
+    assert set(seen) == {mixing.BATCH} and spark.conf.get(name) == before
