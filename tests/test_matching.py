@@ -106,3 +106,32 @@ def test_hot_identifiers_make_one_row_per_candidate(spark):
     result = matching.match_best(c, t)
     assert result.count() == 3000
     assert {(r["target_id"], r["score"]) for r in result.collect()} == {(0, 98.0)}
+
+
+def common_reaches(a, b, score):
+    left, right = set(a.split()), set(b.split())
+    size = lambda words: sum(map(len, words)) + len(words) - 1
+    common = size(left & right)
+    return bool(left & right) and 200.0 * common >= score * (common + min(size(left), size(right)))
+
+
+@pytest.mark.parametrize("score", [30.0, 60.0, 81.0, 90.0, 100.0])
+def test_word_pairs_by_brute_force(spark, score):
+    rng = random.Random(int(score))
+    words = [f"w{'x' * (i % 5)}{i}" for i in range(30)]
+    text = lambda n: " ".join(rng.sample(words, n))
+    many = " ".join(f"m{i}" for i in range(matching.PAIRED + 8))  # texts of too many words for a list of their pairs
+    common = ["red", "red lip", "red lip  balm 12", "balm", many, f"{many} red", many.replace("m7", "n7"), " ".join(many.split()[:30])]
+    sides = [common + [text(rng.randint(1, 9)) for _ in range(60)] + [text(2)] * 150 for _ in "ab"]  # some words are frequent
+    a, b = (spark.createDataFrame([(t,) for t in [*side, None, ""]], f"{name} string") for side, name in zip(sides, "ab"))
+    found = [tuple(r) for r in matching.word_pairs(a, b, score).collect()]
+    assert len(found) == len(set(found))
+    assert set(found) == {(x, y) for x in sides[0] for y in sides[1] if common_reaches(x, y, score)}
+
+
+def test_texts_that_share_one_frequent_word_do_not_meet(spark):
+    """4-NOT SPECIFIED may miss its customer; its month is that of many, which are found by a second word as well."""
+    texts = spark.range(1200).selectExpr("cast(id % 2 as int) as side", "concat('4-NOT SPECIFIED 1996-01 c', 1000 + id, ' n', 10 + id div 2 % 50) as text")
+    finding, found = matching._word_keys(matching._rare_first(texts), 90.0 / 110.0)
+    meet = finding.filter("side = 0").alias("x").join(found.filter("side = 1").alias("y"), "key")
+    assert 0 < meet.count() <= 600 * 600 / 10
