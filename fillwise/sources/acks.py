@@ -21,6 +21,14 @@ def read_documents(spark: SparkSession, *paths: str, streaming: bool = False, js
     return df.select(F.col("value").alias("document"), F.url_decode("_metadata.file_path").alias("source_file"))
 
 
+def _first_of(*columns: Column) -> Column:
+    """`first_text` as a filter. Spark evaluates a projection with one in many small methods.
+
+    Without any, all fields of a line are one generated method, which is too long for the JVM to compile.
+    """
+    return F.get(F.filter(F.array(*columns), lambda c: c != ""), F.lit(0))
+
+
 def _fields(parent: str, *names: str) -> list[Column]:
     return [F.col(f"{parent}.{n}") for n in names]
 
@@ -49,8 +57,8 @@ def _line_fields(sum_schedules: bool) -> dict[str, Column]:
         "line_no": F.coalesce(F.col(f"{order}.LineSequenceNumber").try_cast("int"), F.col("pos") + 1),
         "vendor_sku": blank_to_null(first_text(*_fields(order, "VendorPartNumber", "vendorSku", "seller_item_id"),
                                                *_fields(flat, "vendor_sku", "vendorSku", "seller_item_id"))),
-        "buyer_part_number": blank_to_null(first_text(*_fields(order, "BuyerPartNumber", "buyer_part_variant"),
-                                                      *_fields(flat, "buyer_part_number", "buyerPartNumber"))),
+        "buyer_part_number": blank_to_null(_first_of(*_fields(order, "BuyerPartNumber", "buyer_part_variant"),
+                                                     *_fields(flat, "buyer_part_number", "buyerPartNumber"))),
         "upc": blank_to_null(first_text(*_fields(order, "GTIN"), *_fields(flat, "upc", "gtin"))),
         "description": first_text(F.get("nested.ProductOrItemDescription", F.lit(0))["ProductDescription"],
                                   F.col("flat.description")),

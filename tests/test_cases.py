@@ -12,7 +12,7 @@ from fillwise.operators import display, filters, matching, monthly, questions, r
 from fillwise.operators.root_cause import conclusions_table, rca_by_po, rca_by_sku, root_cause
 from fillwise.plans import dashboards
 from fillwise.plans.workspace import Workspace
-from fillwise.sources.acks import read_ack_lines
+from fillwise.sources.acks import flatten_documents, read_ack_lines
 
 D = dt.date
 
@@ -256,3 +256,15 @@ def test_a_po_gets_lists_of_months_and_no_sku_that_its_line_covers(spark):
     assert dict(map(tuple, rows)) == {"PO1": 1, "PO2": 3, "PO3": 1}  # lists, however many months
     report = rca_by_po(f, a, as_of="2024-12-31", lookback_months=24)
     assert {r["entity"]: r["total_forecast"] for r in report.collect()} == {"PO1": 22.0, "PO2": 122.0, "PO3": 110.0}
+
+
+def test_flat_lines_are_not_one_generated_method(spark):
+    """All fields of a line in one generated method are too much for the JVM to compile."""
+    texts = ['{"lines": [{"buyer_part_number": "", "buyerPartNumber": " B2 "}, {"buyer_part_number": "B1", "buyerPartNumber": "B2"}, {"upc": "U"}]}',
+             '{"LineItem": [{"OrderLine": {"BuyerPartNumber": "N1"}}, {"OrderLine": {"BuyerPartNumber": "", "buyerPartNumber": " "}}]}']
+    documents = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "source_file string, document string")
+    lines = flatten_documents(documents).select("source_file", "line_no", "buyer_part_number", "vendor_sku", "upc", "price", "delivery_dt")
+    assert sorted(tuple(r)[:3] for r in lines.collect()) == [
+        ("0", 1, "B2"), ("0", 2, "B1"), ("0", 3, None), ("1", 1, "N1"), ("1", 2, None)]
+    plan = lines._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert any(step.lstrip(" +-:").startswith("Project") for step in plan.splitlines())  # steps of one method have a star
