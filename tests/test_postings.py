@@ -2,10 +2,12 @@
 
 import itertools
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
+from fillwise.functions.clean import contains_text
 from fillwise.operators import postings, search
 from fillwise.plans.workspace import Workspace
 
@@ -79,3 +81,52 @@ def test_text_matches_by_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == {(t, v) for t in texts for v in values if t.lower() in v.lower()}
     none = spark.createDataFrame([], "query string")
     assert postings.text_matches(spark.createDataFrame([("abc",)], "value string"), none).count() == 0
+
+
+def test_plain_text_is_found_as_the_pattern_finds_it(spark):
+    texts = ["x100", "Widget", "wIDGET 1", "Kelvin", "kelvin", "İ", "a\nb", "", None, "STRASSE", "straße", "0"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for pattern in ["100", "widget", "WIDGET", "kelvin", "KELVIN", "i", "a\nb", " ", "ss", "é", "#", "a&b", "-", "1.0", "k|0"]:
+        got = [r[0] for r in df.select(contains_text(F.col("t"), pattern)).collect()]
+        want = [r[0] for r in df.select(F.coalesce(F.col("t").rlike("(?i)" + pattern), F.lit(False))).collect()]
+        assert got == want, pattern
+    plan = df.filter(contains_text(F.col("t"), "100"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan and "RLIKE" not in plan.upper()
+
+
+@pytest.mark.parametrize("maps", [False, True])
+def test_forecasts_of_lines_read_the_lines_once(spark, tmp_path, monkeypatch, maps):
+    """Of reached forecasts one of each set of equal rows stays, rows without identifiers included; without any all stay."""
+    named = [("A1", "B1", "U1", "red"), ("A1", "B1", "U1", "red"), (" A1", "B1", "U1", "red"), ("A1", "B1", "U1", None), (None, "B1", "", "pen"), ("", "B1", None, "pen")]
+    blank = [(None, None, None, "po-7"), (None, None, None, "po-7"), (" ", "", None, "po-7"), (None, None, None, "cap"), ("A2", "B2", None, "cap"), ("A2", "B2", None, "cap")]
+    f = spark.createDataFrame(named + blank, "vendor_sku string, buyer_part_number string, upc string, description string")
+    if maps:
+        f = f.withColumn("more", F.create_map(F.lit("a"), F.col("description")))
+    a = spark.createDataFrame([("A9", "B1", None, "PO-7"), (None, None, " ", "PO-7")], "vendor_sku string, buyer_part_number string, upc string, po_number string")
+
+    def held(df, name):
+        folder = str(tmp_path / f"{name}-{uuid.uuid4().hex}")
+        df.write.parquet(folder)
+        return spark.read.schema(df.schema).parquet(folder)
+
+    monkeypatch.setattr(search, "held", held, raising=False)
+    got = search.search_records(f, a, "PO-7")[0]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    none, _ = search.search_records(f, a, "cap")
+    want = sorted(set(named + blank[:3]), key=repr)
+    assert sorted((tuple(r)[:4] for r in got.collect()), key=repr) == want
+    assert "po_number" not in plan and (maps or "Window" not in plan)
+    assert sorted((tuple(r)[:4] for r in none.collect()), key=repr) == sorted(blank[3:], key=repr)
+
+
+def test_folders_are_written_unsorted_and_settings_come_back(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    lines = spark.createDataFrame([("S1", "P1", None), ("S1", "P1", None), (None, "P2", "V")], "vendor_sku string, po_number string, vendor string")
+    postings.write_index(lines, search.ACK_FIELDS, str(tmp_path / "index"), blocks=2)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    values = spark.read.parquet(str(tmp_path / "index/values"))
+    got = sorted(map(tuple, values.select("field", "value").distinct().collect()))
+    assert got == [("po_number", "P1"), ("po_number", "P2"), ("vendor", "V"), ("vendor_sku", "S1")]
+    assert values.count() == values.distinct().count()
+    with postings._unsorted_folders(spark, 3):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
