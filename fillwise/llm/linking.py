@@ -17,6 +17,8 @@ from fillwise.llm.components import connected_components
 BLOCK_ROWS = 1024
 #: Signature values of a first look at a pair; a pair still likely is judged by all values.
 FIRST_LOOK = 64
+#: Values of that look that are compared at a time, and pairs whose whole signatures are.
+LOOK_BYTES, PAIR_ROWS = 2_000_000, 2_000
 #: A pair is left unchecked if its share of equal values is so many standard deviations below the
 #: similarity asked: chance hides a pair at the threshold 3 times in a million.
 DEVIATIONS = 4.5
@@ -65,7 +67,7 @@ def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
         x, y = y, x
     if not len(x) or 100 * len(x) < percent * len(y):
         return False
-    common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    common = int(np.count_nonzero(y.take(np.searchsorted(y, x), mode="clip") == x))
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
@@ -94,32 +96,31 @@ def _likely(members: DataFrame, signatures: DataFrame, percent: int, most: int |
     group = ["key", "low", "high"]
     rows = rows.repartition(*group).sortWithinPartitions(*group)
 
-    def compare(table: pa.Table) -> tuple[list, list]:
-        ids, owner = table.column("id").to_pylist(), table.column("component").to_pylist()
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
-        brief = np.ascontiguousarray(signs[:, :FIRST_LOOK])
-        least, least_brief = least_share(percent, signs.shape[1]), least_share(percent, brief.shape[1])
-        block = table.column("block").to_numpy()
-        across = table.column("low")[0] != table.column("high")[0]
-        key, keys = table.column("key")[0].as_py(), [set(k) for k in table.column("keys").to_pylist()]
-        part = np.unique(np.array(owner, object), return_inverse=True)[1]
-        found = {}  # a pair that both members bring is given once
-        for i in range(len(ids)):
-            good = ((brief == brief[i]).mean(axis=1) >= least_brief) & (part != part[i])
+    def compare(key: int, across: bool, ids: list, owner: np.ndarray, signs: np.ndarray, block: np.ndarray, keys: list[set]) -> list[tuple]:
+        brief = np.ascontiguousarray(signs[:, :FIRST_LOOK].T)  # a value of all members lies together
+        least, wanted = least_share(percent, signs.shape[1]), math.ceil(least_share(percent, len(brief)) * len(brief))
+        pairs = set()  # a pair that both members bring is given once
+        step = max(1, LOOK_BYTES // brief.size)
+        for first in range(0, len(ids), step):
+            mine = slice(first, min(first + step, len(ids)))
+            found: dict[int, list] = {}
+            good = (brief[:, mine, None] == brief[:, None, :]).sum(axis=0, dtype=np.uint8) >= wanted
+            good &= owner[mine, None] != owner[None, :]
             if across:
-                good &= block != block[i]
+                good &= block[mine, None] != block[None, :]
             if most is None:
-                good[: i + 1] = False  # each pair once
-            others = np.flatnonzero(good)
-            share = (signs[others] == signs[i]).mean(axis=1)
-            own = keys[i]
-            first = np.array([s >= least and min(own & keys[j]) == key for j, s in zip(others.tolist(), share.tolist())], bool)
-            others, share = others[first], share[first]
-            if most is not None and len(others) > most:
-                others = others[np.argsort(-share, kind="stable")[:most]]
-            for j in others.tolist():
-                found[min(ids[i], ids[j]), max(ids[i], ids[j])] = True
-        return [x for x, _ in found], [y for _, y in found]
+                good &= np.arange(first, mine.stop)[:, None] < np.arange(len(ids))[None, :]  # each pair once
+            one, other = np.nonzero(good)
+            one += first
+            for at in range(0, len(one), PAIR_ROWS):
+                i, j = one[at : at + PAIR_ROWS], other[at : at + PAIR_ROWS]
+                share = np.count_nonzero(signs[i] == signs[j], axis=1) / signs.shape[1]
+                for x, y, z in zip(i[share >= least].tolist(), j[share >= least].tolist(), share[share >= least].tolist()):
+                    if min(keys[x] & keys[y]) == key:
+                        found.setdefault(x, []).append((-z, y))
+            for x, others in found.items():
+                pairs.update((min(ids[x], ids[y]), max(ids[x], ids[y])) for _, y in sorted(others)[:most])
+        return list(pairs)
 
     def run(batches):
         held = None
@@ -131,11 +132,18 @@ def _likely(members: DataFrame, signatures: DataFrame, percent: int, most: int |
             first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])).tolist()
             whole = first if batch is None else first[:-1]  # the last group may go on in the next batch
             held = None if batch is None else table.slice(first[-1])
-            a, b = [], []
+            done = table.slice(0, table.num_rows if batch is None else first[-1])
+            if not done.num_rows:
+                continue
+            pairs: list[tuple] = []
+            ids, buckets = done.column("id").to_pylist(), [set(k) for k in done.column("keys").to_pylist()]
+            owner = done.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+            signs = np.frombuffer(b"".join(done.column("signature").to_pylist()), np.uint8).reshape(len(ids), -1)
+            block = done.column("block").to_numpy()
             for i, j in zip(whole, first[1:] + [table.num_rows]):
-                x, y = compare(table.slice(i, j - i))
-                a += x
-                b += y
+                own = slice(i, j)
+                pairs += compare(int(keys[0][i]), keys[1][i] != keys[2][i], ids[own], owner[own], signs[own], block[own], buckets[own])
+            a, b = [x for x, _ in pairs], [y for _, y in pairs]
             kind = table.schema.field("id").type
             yield pa.RecordBatch.from_arrays([pa.array(a, kind), pa.array(b, kind)], names=["a", "b"])
 

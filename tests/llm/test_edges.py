@@ -482,3 +482,28 @@ def test_mixing_hands_out_small_batches(spark, docs, monkeypatch):
     monkeypatch.setattr(mixing, "stored", lambda df, folder: (seen.append(spark.conf.get(name)), common.stored(df, folder))[1])
     mixing.score_documents(docs)
     assert set(seen) == {mixing.BATCH} and spark.conf.get(name) == before
+
+
+def test_distinct_shingles():
+    for numbers in ([], [3], [3, 1, 3, 2, 1], [2**64 - 1, 0, 2**64 - 1]):
+        assert fuzzy_lines.distinct(np.array(numbers, np.uint64)).tolist() == sorted(set(numbers))
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_likely_pairs_by_brute_force(spark, monkeypatch, block):
+    """Pairs of one bucket by whole signatures, in the least key that two members share, whatever is compared at a time."""
+    rng, base = random.Random(3), random.Random(4).randbytes(256)
+    monkeypatch.setattr(linking, "BLOCK_ROWS", block)
+    monkeypatch.setattr(linking, "LOOK_BYTES", 1500)
+    monkeypatch.setattr(linking, "PAIR_ROWS", 3)
+    signs = {i: bytes(x if rng.random() < 0.95 else rng.randrange(256) for x in base) if i % 4 else rng.randbytes(256) for i in range(20)}
+    members = [(key, i, i // 2) for key in (7, 9) for i in range(20) if key == 7 or i % 3]
+    got = linking._likely(spark.createDataFrame(members, "key long, id long, component long"),
+                          spark.createDataFrame(list(signs.items()), "id long, signature binary"), 80, None)
+    same = lambda a, b, n: sum(x == y for x, y in zip(signs[a][:n], signs[b][:n])) / n
+    want = {(a, b) for a in range(20) for b in range(a + 1, 20) if a // 2 != b // 2
+            and all(same(a, b, n) >= linking.least_share(80, n) for n in (linking.FIRST_LOOK, 256))}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 50
+    few = linking._likely(spark.createDataFrame(members, "key long, id long, component long"),
+                          spark.createDataFrame(list(signs.items()), "id long, signature binary"), 80, 2).collect()
+    assert {tuple(r) for r in few} <= want and {i for r in few for i in r} == {i for r in want for i in r}
