@@ -258,6 +258,22 @@ def test_a_po_gets_lists_of_months_and_no_sku_that_its_line_covers(spark):
     assert {r["entity"]: r["total_forecast"] for r in report.collect()} == {"PO1": 22.0, "PO2": 122.0, "PO3": 110.0}
 
 
+@pytest.mark.parametrize("entries", [0, 14, 1000])
+def test_lists_that_many_pos_share_are_not_dealt_to_them(spark, monkeypatch, entries):
+    """Two UPCs with a year of plans each, on every PO; the lists go to all tasks, as many as are allowed."""
+    from fillwise.operators import reach
+
+    monkeypatch.setattr(reach, "HOT_ENTRIES", entries)
+    f = frame(spark, "vendor_sku string, upc string, forecast_month date, forecast_qty double",
+              *[(f"P{u}", u, D(2024, m, 1), float(u)) for u in ("555", "556") for m in range(1, 13)])
+    a = frame(spark, "po_number string, vendor_sku string, upc string, delivery_date string, ordered_qty double, confirmed_qty double",
+              *[(f"PO{i}", None, u, "2024-02-02", 2.0, 1.0) for i in range(20) for u in ("555", "556")])
+    found, hot = reach.reached_terms(f, a, None, (), None)
+    assert found.filter("rows is not null").count() == {0: 40, 14: 20, 1000: 0}[entries] and hot.count() == {0: 0, 14: 1, 1000: 2}[entries]
+    report = rca_by_po(f, a, as_of="2024-12-31", lookback_months=24).collect()
+    assert {r["entity"]: r["total_forecast"] for r in report} == {f"PO{i}": 12.0 * (555 + 556) for i in range(20)}
+
+
 def test_flat_lines_are_not_one_generated_method(spark):
     """All fields of a line in one generated method are too much for the JVM to compile."""
     texts = ['{"lines": [{"buyer_part_number": "", "buyerPartNumber": " B2 "}, {"buyer_part_number": "B1", "buyerPartNumber": "B2"}, {"upc": "U"}]}',
