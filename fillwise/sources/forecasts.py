@@ -12,11 +12,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions.clean import number, squeeze
 from ..functions.months import fiscal_month, month_label
 from ..schemas import FORECASTS
+from ..session import held
 
 # Words that mark a header row; two of them in one row are enough.
 HEADER_WORDS = ["upc", "vendor", "vendor sku", "sku", "retail", "retail item", "description", "brand",
                 "department", "forecast", "qty", "quantity", "month", "forecast month", "report date"]
 HEADER_SEARCH_ROWS = 20
+#: Text that a task reads, if the files are cut into smaller blocks.
+TASK_BYTES = 32 << 20
+#: Groups that the records of a file are dealt to where its layout is joined.
+SPREAD = 32
 
 # Header names (after `squeeze`) of the known product columns, first match wins.
 PRODUCT_COLUMNS = {
@@ -51,9 +56,22 @@ def with_place(lines: DataFrame) -> DataFrame:
     return lines.withColumn("seq", F.monotonically_increasing_id())
 
 
+def _size(spark: SparkSession, *paths: str) -> int:
+    """Bytes of the files below the paths, as the file system counts them."""
+    hadoop, total = spark._jvm.org.apache.hadoop.fs, 0
+    for path in map(hadoop.Path, paths):
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        total += sum(store.getContentSummary(found.getPath()).getLength() for found in store.globStatus(path) or [])
+    return total
+
+
 def read_sheet_lines(spark: SparkSession, *paths: str, only: list[str] | None = None) -> DataFrame:
-    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file. `only` names files (encoded paths)."""
-    return with_place(_text_source(spark.read, *paths, only=only)).drop("size")
+    """Lines of all CSV sheets with their place: `(block, seq)` orders the lines of one file. `only` names files (encoded paths).
+
+    A task reads several blocks if they are small, so that small splits or files cost no task each.
+    """
+    tasks = max(2 * spark.sparkContext.defaultParallelism, _size(spark, *paths) // TASK_BYTES + 1)
+    return with_place(_text_source(spark.read, *paths, only=only).coalesce(tasks)).drop("size")
 
 
 def stream_sheet_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -172,7 +190,7 @@ def sheet_records(lines: DataFrame) -> DataFrame:
         return lines
     files = opening.select("source_file").distinct()
     plain = lines.join(files, "source_file", "left_anti")
-    rows = _with_records(marked.join(files, "source_file", "left_semi"))
+    rows = held(_with_records(marked.join(files, "source_file", "left_semi")).select(*lines.columns, "record", "single"), "sheet-records")
     several = rows.filter(~F.col("single")).groupBy("source_file", "modified_at", "record").agg(
         F.sort_array(F.collect_list(F.struct("block", "seq", "line"))).alias("rows"))  # one record's lines
     several = several.select("source_file", "modified_at", F.col("rows")[0]["block"].alias("block"), F.col("rows")[0]["seq"].alias("seq"),
@@ -269,18 +287,18 @@ def sheet_layouts(lines: DataFrame) -> DataFrame:
 def parse_sheets(lines: DataFrame) -> DataFrame:
     """Every (product row, month) cell of every sheet as one forecast row.
 
-    Layouts are one row a file; the join adapts to their measured size (and splits a file that holds
-    most of the lines). Besides the forecast columns the result has `row_order`, the place of the cell
+    Layouts are one row a file, repeated for SPREAD groups of its records: a few large files are parsed by more
+    tasks than there are files, and what follows is not dealt by file. Besides the forecast columns the result has `row_order`, the place of the cell
     in its file.
 
     A record that equals, as text, the header or a record above it is no data, wherever it stands:
     page breaks repeat headers. So the result does not depend on how Spark splits a file.
     """
     records = sheet_records(lines)
-    layouts = sheet_layouts(records)
+    layouts = sheet_layouts(records).withColumn("_group", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     rows = (
-        records.filter(F.trim("line") != "")
-        .join(layouts, "source_file")
+        records.filter(F.trim("line") != "").withColumn("_group", F.pmod(F.xxhash64("block", "seq"), F.lit(SPREAD)).cast("int"))
+        .join(layouts, ["source_file", "_group"])
         .filter(~F.array_contains("head_lines", F.col("line")))
         .withColumn("cells", split_cells(F.col("line")))
     )
@@ -311,7 +329,8 @@ def parse_sheets(lines: DataFrame) -> DataFrame:
         *PRODUCT_COLUMNS, "source_file", "block", "seq", "snapshot_at", "attributes", F.explode(facts).alias("fact"),
     ).select(
         *PRODUCT_COLUMNS, "fact.forecast_month", "fact.month_label",
-        F.coalesce(number(F.col("fact.qty")), F.lit(0.0)).alias("forecast_qty"),
+        # An empty cell is known for one: a failed cast costs more than all the rest of a cell.
+        F.coalesce(number(F.nullif(F.col("fact.qty"), F.lit(""))), F.lit(0.0)).alias("forecast_qty"),
         "attributes", "source_file", "snapshot_at",
         F.struct("block", "seq", "fact.pos").alias("row_order"),
     )

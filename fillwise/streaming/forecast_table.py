@@ -121,7 +121,7 @@ class ForecastTable:
             touched |= {tuple(r) for r in self._with_cut(old).select("cut_part", "cut_year").distinct().collect()}
         stay = self._read([c for c in cuts if c[1:] in touched]).join(F.broadcast(replaced), "source_file", "left_anti")
         merged = self._write(stay.unionByName(fresh), f"rows/{load}")
-        self._write(newest_per_month(merged), f"newest/{load}")
+        self._write_newest(merged, f"newest/{load}")
         left = {tuple(r) for r in self._with_cut(merged).select("cut_part", "cut_year").distinct().collect()}
         ledger = self.ledger().join(replaced, "source_file", "left_anti").unionByName(files)
         self._stored(ledger, f"ledger/{load}", LEDGER)
@@ -148,6 +148,13 @@ class ForecastTable:
         (cut.hint("rebalance", "cut_part", "cut_year").write.partitionBy("cut_part", "cut_year").parquet(f"{self.path}/{name}"))
         return self.spark.read.schema(ROWS).parquet(f"{self.path}/{name}")
 
+    def _write_newest(self, rows: DataFrame, name: str) -> None:
+        """The newest of the rows, by cut: a product's month lies in one cut, so one shuffle brings together what is compared and what is written."""
+        cut = self._with_cut(rows).repartition("cut_part", "cut_year")
+        newest = newest_per_month(cut, keys=("vendor_sku", "forecast_month", "cut_part", "cut_year"))
+        newest = newest.withColumn("cut_year", F.coalesce(F.col("cut_year").cast("string"), F.lit("none")))
+        newest.write.partitionBy("cut_part", "cut_year").parquet(f"{self.path}/{name}")
+
     def drop_old_versions(self, keep: int = 2) -> None:
         """Delete all but the last `keep` manifests and the folders that only older ones name, such as those of loads that failed."""
         versions = self._versions()

@@ -71,6 +71,39 @@ def test_lines_of_a_split_file_keep_their_layout(spark, tmp_path):
     assert len(found) == 4000 and found[("S3999", D(2026, 7, 1))] == 3999.0
 
 
+def test_a_large_file_is_parsed_by_many_tasks(spark, tmp_path):
+    """The rows of one file, without a layout small enough to be sent, and after the file's rows are made unique."""
+    write(tmp_path, **{"big_csv": "Vendor SKU,Jul-26,Aug-26\n" + "".join(f"S{i},{i},\n" for i in range(2000))})
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        parsed = sheets.parse_sheets(sheets.read_sheet_lines(spark, str(tmp_path)))
+        unique = sheets.newest_per_month(parsed, keys=("vendor_sku", "forecast_month", "source_file"))
+        for rows in (parsed, unique):
+            sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+            assert sum(sizes) == 4000 and max(sizes) < 2000
+        assert {r["forecast_qty"] for r in parsed.filter("month(forecast_month) = 8").collect()} == {0.0}  # empty cells
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    write(tmp_path, big_csv="Vendor SKU,Jul-26\n" + "".join(f"S{i},{i}\n" for i in range(20000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = sheets.read_sheet_lines(spark, str(tmp_path))
+        assert lines.select("block").distinct().count() > 100
+        assert lines.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+        ordered = [r["line"] for r in lines.orderBy("block", "seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ordered == ["Vendor SKU,Jul-26", *[f"S{i},{i}" for i in range(20000)]]
+
+
 BREAKS = ('Report of July\n"Vendor SKU","Item\nDescription",Jul-26\nS9,"l1\nmiddle\nl3",7\nVendor SKU,Note,Jul-26\n'
           + "".join(f"S{i},plain {i},{i}\n" for i in range(10, 3000)) + '"Vendor SKU","Item\nDescription",Jul-26\nLAST,"a, ""b""\n",3\n')
 
